@@ -6,7 +6,7 @@ import importlib
 
 from panelweave.workload.standins import Query
 
-AREAS = ["quality"]
+AREAS = ["quality", "markers", "metrics"]
 
 
 def all_queries() -> list[Query]:
