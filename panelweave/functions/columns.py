@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Label columns looked for, in this order.
 CLUSTER_COLUMNS = ["leiden", "louvain", "clusters", "cluster"]
@@ -53,7 +54,7 @@ def resolve_column(df: DataFrame, requested: str | None, candidates: Sequence[st
     raise ValueError(f"none of {[requested, *candidates]} among {names}")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided p value of a standard normal score."""
     x = np.abs(z.to_numpy(dtype=float)) / math.sqrt(2.0)

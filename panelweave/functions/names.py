@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,63 +47,78 @@ def _clean(name: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.h5ad$", "")
 
 
-def parse_panel_name(df: DataFrame, name: str = "name") -> DataFrame:
-    """Add filter, baseline, strategy, panel_size, addon_type, filling_method and n_factors."""
-    full = _clean(F.col(name))
-    df = df.withColumn("_full", full)
-    nf = F.regexp_extract("_full", r"_(\d+)factors_", 1)
-    df = df.withColumn("n_factors", F.when(nf != "", nf.cast("int")))
-    df = df.withColumn("_core", F.regexp_replace("_full", r"_(\d+)factors_", "_"))
-    filling = F.lit(None).cast("string")
-    for f in reversed(FILLINGS):
-        filling = F.when(F.contains("_core", F.lit(f)), F.lit(f)).otherwise(filling)
-    df = df.withColumn("filling_method", filling)
-    df = df.withColumn("_core", F.when(
-        F.col("filling_method").isNotNull(), F.replace("_core", F.concat(F.lit("_"), "filling_method"), F.lit(""))
-    ).otherwise(F.col("_core")))
-    core = F.col("_core")
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` bound once.
+
+    Plain nesting would copy the value's whole expression to every place it is
+    used when Spark merges projections and filters.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _strategy(core: Column) -> Column:
     tok = F.split(core, "_")
-    strategy = (
+    s = (
         F.when(F.array_contains(tok, "Spapros") & ~core.endswith("Spapros-addon"), "Spapros")
         .when((F.array_contains(tok, "mMulti") | core.contains("mMulti_v1")) & ~core.endswith("mMulti-addon"), "mMulti_v1")
         .when(F.array_contains(tok, "5k") & ~core.contains("5k-addon"), "5k")
     )
-    for s in SIMPLE_STRATEGIES:
-        strategy = strategy.when(core.contains(f"_{s}_") | core.endswith(f"_{s}"), s)
-    for s in ("Random", "HVG"):
-        strategy = strategy.when(F.array_position(tok, s) > 2, s)
+    for name in SIMPLE_STRATEGIES:
+        s = s.when(core.contains(f"_{name}_") | core.endswith(f"_{name}"), name)
+    for name in ("Random", "HVG"):
+        s = s.when(F.array_position(tok, name) > 2, name)
     for p in (DIMRED_PATTERN, COMBINED_PATTERN):
-        found = F.regexp_extract(core, p, 1)
-        strategy = strategy.when(found != "", found)
-    df = df.withColumn("strategy", strategy.otherwise(core))
-    parts = F.split("_full", "_")
-    first = F.element_at(parts, 1)
-    external = F.col("strategy").isin(EXTERNAL)
-    second = F.get(parts, F.lit(1))
+        s = s.when(F.regexp_like(core, F.lit(p)), F.regexp_extract(core, p, 1))
+    return s.otherwise(core)
+
+
+def _core(full: Column) -> Column:
+    c = F.regexp_replace(full, r"_(\d+)factors_", "_")
+    f = _filling(full)
+    return F.when(f.isNotNull(), F.replace(c, F.concat(F.lit("_"), f), F.lit(""))).otherwise(c)
+
+
+def _filling(full: Column) -> Column:
+    return F.coalesce(*[F.when(full.contains(f), F.lit(f)) for f in FILLINGS])
+
+
+def _attributes(full: Column, strategy: Column) -> Column:
+    parts = F.split(full, "_")
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     addon = F.get(F.filter(parts, lambda p: p.contains("addon") & (
         p.contains("5k-addon") | p.contains("mMulti-addon") | ~p.contains("no-addon"))), F.lit(0))
-    addon_type = (
+    nf = F.regexp_extract(full, r"_(\d+)factors_", 1)
+    return F.struct(
+        strategy.alias("strategy"), _filling(full).alias("filling_method"), F.when(nf != "", nf.cast("int")).alias("n_factors"),
+        F.when(~(strategy.isin(EXTERNAL) & first.isin("5k", "mMulti", "mMulti_v1")), first).alias("filter"),
+        F.when(second.contains("All-Genes") | second.contains("HVG"), second).when(second.isNotNull(), "All-Genes").alias("baseline"),
         F.when(addon.contains("5k-addon"), "5k-addon").when(addon.contains("mMulti-addon"), "mMulti-addon")
-        .when(addon.isNotNull(), "addon").when(F.col("strategy") == "5k", "5k-reference")
-        .when(F.col("strategy") == "mMulti_v1", "mMulti-reference").otherwise("no-addon")
+        .when(addon.isNotNull(), "addon").when(strategy == "5k", "5k-reference")
+        .when(strategy == "mMulti_v1", "mMulti-reference").otherwise("no-addon").alias("addon_type"),
+        F.get(F.filter(parts, lambda p: p.rlike(r"^[0-9]+$")), F.lit(0)).alias("panel_size"),
     )
-    return df.withColumns({
-        "filter": F.when(~(external & first.isin("5k", "mMulti", "mMulti_v1")), first),
-        "baseline": F.when(second.contains("All-Genes") | second.contains("HVG"), second).when(second.isNotNull(), "All-Genes"),
-        "addon_type": addon_type,
-        "panel_size": F.get(F.filter(parts, lambda p: p.rlike(r"^[0-9]+$")), F.lit(0)),
-    }).drop("_full", "_core")
+
+
+def attributes(name: Column) -> Column:
+    """Struct of filter, baseline, strategy, panel_size, addon_type, filling_method and n_factors."""
+    return bound(_clean(name), lambda full: bound(bound(_core(full), _strategy), lambda s: _attributes(full, s)))
+
+
+def parse_panel_name(df: DataFrame, name: str = "name") -> DataFrame:
+    """Add the attributes of a panel name as columns."""
+    return df.withColumn("_a", attributes(F.col(name))).select(*df.columns, "_a.*")
 
 
 def group_panels(df: DataFrame, name: str = "name") -> DataFrame:
     """Group key per name; external 5k / mMulti panels join every matching add-on group."""
-    p = parse_panel_name(df.select(name), name)
-    own = p.filter(~F.col("strategy").isin("5k", "mMulti_v1")).select(
-        name, F.concat_ws("_", F.coalesce("filter", F.lit("unknown-filter")), F.coalesce("baseline", F.lit("unknown-baseline")),
-                          F.coalesce("panel_size", F.lit("unknown-size")), "addon_type").alias("group_key"),
-    )
-    kind = F.when(F.col("strategy") == "5k", "5k-addon").otherwise("mMulti-addon")
-    ext = p.filter(F.col("strategy").isin("5k", "mMulti_v1")).select(name, kind.alias("_kind"))
+    p = df.select(name, attributes(F.col(name)).alias("_a"))
+    kind = bound(F.col("_a"), lambda a: F.when(a["strategy"] == "5k", "5k-addon").when(a["strategy"] == "mMulti_v1", "mMulti-addon"))
+    key = bound(F.col("_a"), lambda a: F.concat_ws(
+        "_", F.coalesce(a["filter"], F.lit("unknown-filter")), F.coalesce(a["baseline"], F.lit("unknown-baseline")),
+        F.coalesce(a["panel_size"], F.lit("unknown-size")), a["addon_type"]))
+    p = p.select(name, kind.alias("_kind"), key.alias("group_key"))
+    own = p.filter(F.col("_kind").isNull()).select(name, "group_key")
+    ext = p.filter(F.col("_kind").isNotNull()).select(name, "_kind")
     keys = own.select("group_key").distinct().withColumn(
         "_kind", F.when(F.col("group_key").contains("5k-addon"), "5k-addon").when(F.col("group_key").contains("mMulti-addon"), "mMulti-addon")
     )
@@ -112,12 +127,11 @@ def group_panels(df: DataFrame, name: str = "name") -> DataFrame:
 
 def filter_by_keywords(df: DataFrame, keywords: Sequence[str], name: str = "name") -> DataFrame:
     """Keep names whose strategy contains a keyword or is contained in one (case-insensitive)."""
-    p = parse_panel_name(df, name)
-    s = F.lower("strategy")
-    hit = F.lit(False)
-    for k in keywords:
-        hit = hit | s.contains(k.lower()) | F.contains(F.lit(k.lower()), s)
-    return p.filter(hit).select(*df.columns)
+    def hit(a: Column) -> Column:
+        s = F.lower(a["strategy"])
+        return _any(s.contains(k.lower()) | F.contains(F.lit(k.lower()), s) for k in keywords)
+
+    return df.filter(bound(attributes(F.col(name)), hit))
 
 
 def _any(terms) -> Column:
@@ -135,36 +149,38 @@ def filter_panels(
     deg_filling: bool | None = None, preferred_strategy: str | None = None,
 ) -> DataFrame:
     """All given criteria must hold; an empty criterion is off."""
-    p = parse_panel_name(df, name)
-    low = F.lower("strategy")
-    flat = F.replace(low, F.lit("_"), F.lit(""))
-    keep = F.lit(True)
-    if strategies:
-        keep = keep & _any(low.contains(s.lower()) for s in strategies)
-    if sizes:
-        keep = keep & (F.col("panel_size").isNull() | F.col("panel_size").cast("long").isin(list(sizes)))
-    if filter_methods:
-        word = {"scanpy": "Scanpy", "10x": "Xenium", "no_filter": "No-Filter"}
-        keep = keep & F.coalesce(_any(F.col("filter").contains(word[m]) for m in filter_methods), F.lit(False))
-    if hvg_subset:
-        word = {"true": "HVG", "false": "All-Genes"}
-        keep = keep & F.coalesce(_any(F.col("baseline").contains(word[o]) for o in hvg_subset), F.lit(False))
-    if reduction_types:
-        keep = keep & _any(low.contains(r) for r in reduction_types)
-    if analysis_types:
-        keep = keep & _any(low.contains(a) for a in analysis_types)
-    if dimred_methods:
-        keep = keep & _any(flat.contains(m.replace("_", "")) for m in dimred_methods)
-    if rf_percentages:
-        keep = keep & F.coalesce(F.regexp_extract("strategy", r"(?:DT|RF)([0-9.]+)", 1).try_cast("double").isin(list(rf_percentages)), F.lit(False))
-    if dimred_percentages:
-        keep = keep & F.coalesce(F.regexp_extract("strategy", r"Dimred([0-9.]+)", 1).try_cast("double").isin(list(dimred_percentages)), F.lit(False))
-    for wanted, label in zip((celltype_filling, global_filling, deg_filling), FILLINGS):
-        if wanted is not None:
-            keep = keep & (F.col("filling_method").eqNullSafe(F.lit(label)) == F.lit(wanted))
-    if preferred_strategy:
-        keep = keep & (F.col("filling_method").isNull() | F.lower("filling_method").contains(preferred_strategy.lower()))
-    return p.filter(keep).select(*df.columns)
+    def keep_row(a: Column) -> Column:
+        low = F.lower(a["strategy"])
+        flat = F.replace(low, F.lit("_"), F.lit(""))
+        keep = F.lit(True)
+        if strategies:
+            keep = keep & _any(low.contains(s.lower()) for s in strategies)
+        if sizes:
+            keep = keep & (a["panel_size"].isNull() | a["panel_size"].cast("long").isin(list(sizes)))
+        if filter_methods:
+            word = {"scanpy": "Scanpy", "10x": "Xenium", "no_filter": "No-Filter"}
+            keep = keep & F.coalesce(_any(a["filter"].contains(word[m]) for m in filter_methods), F.lit(False))
+        if hvg_subset:
+            word = {"true": "HVG", "false": "All-Genes"}
+            keep = keep & F.coalesce(_any(a["baseline"].contains(word[o]) for o in hvg_subset), F.lit(False))
+        if reduction_types:
+            keep = keep & _any(low.contains(r) for r in reduction_types)
+        if analysis_types:
+            keep = keep & _any(low.contains(a) for a in analysis_types)
+        if dimred_methods:
+            keep = keep & _any(flat.contains(m.replace("_", "")) for m in dimred_methods)
+        if rf_percentages:
+            keep = keep & F.coalesce(F.regexp_extract(a["strategy"], r"(?:DT|RF)([0-9.]+)", 1).try_cast("double").isin(list(rf_percentages)), F.lit(False))
+        if dimred_percentages:
+            keep = keep & F.coalesce(F.regexp_extract(a["strategy"], r"Dimred([0-9.]+)", 1).try_cast("double").isin(list(dimred_percentages)), F.lit(False))
+        for wanted, label in zip((celltype_filling, global_filling, deg_filling), FILLINGS):
+            if wanted is not None:
+                keep = keep & (a["filling_method"].eqNullSafe(F.lit(label)) == F.lit(wanted))
+        if preferred_strategy:
+            keep = keep & (a["filling_method"].isNull() | F.lower(a["filling_method"]).contains(preferred_strategy.lower()))
+        return keep
+
+    return df.filter(bound(attributes(F.col(name)), keep_row))
 
 
 def find_panels_like(df: DataFrame, pattern: str, name: str = "name") -> DataFrame:

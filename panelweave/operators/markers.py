@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.columns import normal_two_sided_p
 from panelweave.functions.ranks import SAMPLE_RATE, row_index, running_min_from_end, tie_ranks
+from panelweave.session import pin
 from panelweave.schema import ExprData, grid, group_sizes, total_cells, with_celltype
 
 
@@ -66,7 +67,9 @@ def rank_genes_wilcoxon(
         _fold_change(F.col("s") / na, mean_rest).alias("logfoldchanges"),
     )
     if p_values:
-        out = bh_adjust(out.withColumn("pvals", normal_two_sided_p("scores")), sample_rate=sample_rate)
+        # The adjustment reads this small table several times: write it once.
+        out = pin(out.withColumn("pvals", normal_two_sided_p("scores")))
+        out = bh_adjust(out, sample_rate=sample_rate)
     return out
 
 

@@ -47,15 +47,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """Cut the lineage of ``df``: write it once to the shared folder and read it back.
 
-    Survives the loss of executors, unlike a local checkpoint.
+    The written table outlives lost executors, is computed once however many
+    branches read it, and its size is known to the optimizer, which may then
+    broadcast it when (and only when) it is small.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = fresh_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:

@@ -73,12 +73,12 @@ KEYWORD = f"WITH {PARSE} SELECT name FROM p WHERE contains(lower(strategy), 'pca
 
 
 def by_args(spark, sf):
-    return nm.filter_panels(names(spark, sf), strategies=["nmf", "PCA"], sizes=[100, 200], filter_methods=["scanpy", "10x"], hvg_subset=["false"],
+    return nm.filter_panels(names(spark, sf), strategies=["nmf", "PCA"], sizes=[50, 100, 200], filter_methods=["scanpy", "no_filter"], hvg_subset=["false", "true"],
                             analysis_types=["per_celltype"], dimred_methods=["method_b"], rf_percentages=[0.25], dimred_percentages=[0.75], deg_filling=False)
 
 
-ARGS = f"""WITH {PARSE} SELECT name FROM p WHERE (contains(lower(strategy), 'nmf') OR contains(lower(strategy), 'pca')) AND panel_size IN ('100', '200')
-AND (contains(filter, 'Scanpy') OR contains(filter, 'Xenium')) AND contains(baseline, 'All-Genes') AND contains(strategy, 'per_celltype') AND contains(strategy, 'method_b')
+ARGS = f"""WITH {PARSE} SELECT name FROM p WHERE (contains(lower(strategy), 'nmf') OR contains(lower(strategy), 'pca')) AND panel_size IN ('50', '100', '200')
+AND (contains(filter, 'Scanpy') OR contains(filter, 'No-Filter')) AND contains(strategy, 'per_celltype') AND contains(strategy, 'method_b')
 AND contains(strategy, 'RF0.25_') AND contains(strategy, 'Dimred0.75_') AND coalesce(filling_method, '') <> 'DEG-based-filling'"""
 
 
