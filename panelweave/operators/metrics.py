@@ -219,4 +219,4 @@ def variability_ratios(df: DataFrame) -> DataFrame:
     for part in ("train", "test"):
         df = df.withColumn(f"mse_ratio_{part}", mse_ratio(F.col(f"mse_{part}_probe"), F.col(f"mse_{part}_baseline")))
         df = df.withColumn(f"expvar_ratio_{part}", expvar_ratio(F.col(f"expvar_{part}_probe"), F.col(f"expvar_{part}_baseline")))
-    return df.withColumn("generalization_gap", F.col("expvar_ratio_test") - F.col("expvar_ratio_train"))
+    return df.withColumn("generalization_gap", F.col("mse_ratio_test") - F.col("mse_ratio_train"))

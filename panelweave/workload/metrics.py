@@ -201,7 +201,7 @@ def variability_ratios(spark, sf):
 
 VARRATIO = f"""WITH {EVENT_METRICS}, r AS (SELECT dataset, celltype, fold, CASE WHEN n_cells % 5 = 0 THEN CAST('inf' AS DOUBLE) ELSE mse / (mse / n_cells) END AS a, mse * 2 / (mse + n_cells) AS b,
  CASE WHEN expvar - 0.8 <= 0 THEN 0 ELSE expvar / (expvar - 0.8) END AS c, (expvar / 2) / (expvar * n_cells / 20) AS d FROM metrics)
-SELECT dataset, celltype, fold, round(a, 4) AS mse_ratio_train, round(b, 4) AS mse_ratio_test, round(c, 4) AS expvar_ratio_train, round(d, 4) AS expvar_ratio_test, round(d - c, 4) AS generalization_gap FROM r"""
+SELECT dataset, celltype, fold, round(a, 4) AS mse_ratio_train, round(b, 4) AS mse_ratio_test, round(c, 4) AS expvar_ratio_train, round(d, 4) AS expvar_ratio_test, round(b - a, 4) AS generalization_gap FROM r"""
 
 
 # --- labels ----------------------------------------------------------------------------------
