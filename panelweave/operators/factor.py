@@ -99,6 +99,11 @@ def solve_usage(h: np.ndarray, row: np.ndarray, idx: np.ndarray, val: np.ndarray
     return w
 
 
+def with_scopes(p: Packed, scopes: list[str]) -> Packed:
+    """The same packed cells, some scopes only."""
+    return Packed(p.cells.filter(F.col("scope").isin(scopes)), p.genes, {s: n for s, n in p.n_cells.items() if s in set(scopes)})
+
+
 def _batched(keys: list, values_each: int) -> list[list]:
     """Groups of factors small enough to ship to every task together."""
     per = max(1, MAX_FACTOR_VALUES // max(1, values_each))
@@ -160,17 +165,14 @@ def _errors(h: np.ndarray, s: dict, n_cells: int) -> dict:
     x2, x1 = s["x"][0]
     cross = s["xwh"].sum()
     fit2 = float((s["ww"] * (h.T @ h)).sum())
-    fit1 = float(s["w"][0] @ h.sum(0))
     sse = max(x2 - 2 * cross + fit2, 0.0)
     var_x = x2 / n - (x1 / n) ** 2
-    var_r = sse / n - ((x1 - fit1) / n) ** 2
     per = []
-    hh, hsum = (h * h).sum(0), h.sum(0)
+    hh = (h * h).sum(0)
     for f in range(h.shape[1]):
         e = x2 - 2 * s["xwh"][0, f] + s["ww"][f, f] * hh[f]
-        d = (x1 - s["w"][0, f] * hsum[f]) / n
-        per.append(1 - (e / n - d * d) / var_x if var_x > 0 else 0.0)
-    return {"sse": sse, "mse": sse / n, "expvar": 1 - var_r / var_x if var_x > 0 else 0.0, "factor_r2": per}
+        per.append(float(1 - e / n / var_x) if var_x > 0 else 0.0)
+    return {"sse": float(sse), "mse": float(sse / n), "expvar": float(1 - sse / n / var_x) if var_x > 0 else 0.0, "factor_r2": per}
 
 
 def panel_errors(p: Packed, hs: dict[tuple[str, str], np.ndarray], keep: dict[tuple[str, str], np.ndarray], iters: int = 100,

@@ -72,13 +72,14 @@ def one_vs_other(df: DataFrame, target: str, group: str = "celltype", out: str =
     return df.withColumn(out, F.when(F.col(group) == target, F.col(group)).otherwise("other"))
 
 
-def gene_holdout(genes: DataFrame, n_test: int = 20, trials: int = 10, seed: int = 42) -> DataFrame:
-    """(trial, gene, role): ``n_test`` random held-out genes per trial, drawn from all genes."""
-    g = genes.select("gene").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+def gene_holdout(genes: DataFrame, n_test: int = 20, trials: int = 10, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, trial, gene, role): ``n_test`` random held-out genes per trial, drawn from all genes."""
+    g = genes.select(*by, "gene").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     h = F.md5(F.concat_ws(":", "gene", (F.col("trial") + seed).cast("string")).cast("binary"))
-    w = Window.partitionBy("trial").orderBy(h, "gene")
-    test = g.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= n_test).select("trial", "gene", F.lit("test").alias("role"))
-    return g.join(test, ["trial", "gene"], "left").na.fill("train", ["role"])
+    w = Window.partitionBy(*by, "trial").orderBy(h, "gene")
+    keys = [*by, "trial", "gene"]
+    test = g.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= n_test).select(*keys, F.lit("test").alias("role"))
+    return g.join(test, keys, "left").na.fill("train", ["role"])
 
 
 def bootstrap_draws(genes: DataFrame, n: int, draws: int = 10, seed: int = 42) -> DataFrame:
