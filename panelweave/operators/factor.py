@@ -175,6 +175,19 @@ def _errors(h: np.ndarray, s: dict, n_cells: int) -> dict:
     return {"sse": float(sse), "mse": float(sse / n), "expvar": float(1 - sse / n / var_x) if var_x > 0 else 0.0, "factor_r2": per}
 
 
+def _update_spectra(h: np.ndarray, s: dict, inner: int, loss: str) -> np.ndarray:
+    """Gene-side update from one pass's sums.
+
+    The squared error given the usages depends on the data only through these
+    sums, so it can be driven down by many small steps without another pass.
+    """
+    if loss == "frobenius":
+        for _ in range(max(1, inner)):
+            h = h * s["gene"] / (h @ s["ww"] + EPS)
+        return h
+    return h * s["gene"] / (np.broadcast_to(s["w"], h.shape) + EPS)
+
+
 def panel_errors(p: Packed, hs: dict[tuple[str, str], np.ndarray], keep: dict[tuple[str, str], np.ndarray], iters: int = 100,
                  loss: str = "frobenius") -> dict[tuple[str, str], dict]:
     """Errors over all genes of usages solved on gene subsets, many subsets in one pass."""
@@ -197,8 +210,11 @@ class NmfFit:
 
     def loadings(self, spark) -> DataFrame:
         """loadings(run, scope, factor, gene, loading)."""
-        rows = [(run, sc, f, g, float(h[i, f])) for (run, sc), h in self.h.items() for i, g in enumerate(self.genes) for f in range(h.shape[1])]
-        return spark.createDataFrame(pd.DataFrame(rows, columns=["run", "scope", "factor", "gene", "loading"]), "run string, scope string, factor int, gene string, loading double")
+        rows = [(run, sc, f, h[:, f].tolist()) for (run, sc), h in self.h.items() for f in range(h.shape[1])]
+        packed = spark.createDataFrame(rows, "run string, scope string, factor int, v array<double>")
+        names = spark.createDataFrame(list(enumerate(self.genes)), "i int, gene string")
+        long = packed.select("run", "scope", "factor", F.posexplode("v").alias("i", "loading"))
+        return long.join(names, "i").select("run", "scope", "factor", "gene", "loading")
 
     def metrics(self, spark) -> DataFrame:
         rows = [(run, sc, f, e["sse"], e["mse"], e["expvar"], float(r)) for (run, sc), e in self.errors.items() for f, r in enumerate(e["factor_r2"])]
@@ -243,8 +259,7 @@ def nmf(p: Packed, k: int, iters: int = 20, loss: str = "frobenius", seed: int =
                 if it == iters or flat:
                     live.discard(key)
                     continue
-                den = h @ s["ww"] if loss == "frobenius" else np.broadcast_to(s["w"], h.shape)
-                hs[key] = h * s["gene"] / (den + EPS)
+                hs[key] = _update_spectra(h, s, inner, loss)
             if not live:
                 break
         done.update(hs)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import md5_key
+from panelweave.functions.ranks import row_index
 from panelweave.operators import factor as fa
 from panelweave.operators import filters as fl
 from panelweave.operators import loadings as ld
@@ -66,8 +67,8 @@ def select_deg(deg: DataFrame, size: int, n_groups: int, max_pval: float = 0.05)
 
 
 def with_rank(panel: DataFrame, score: str = "selection_score") -> DataFrame:
-    """Rank a gene table by score, best first; one row per gene of the panel's candidates."""
-    return panel.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "gene")).cast("long"))
+    """Rank a gene table by score, best first, ties by gene."""
+    return row_index(panel, [], F.struct((-F.col(score)).alias("s"), F.col("gene").alias("g")), "rank")
 
 
 def forest_gene_summary(scores: DataFrame) -> DataFrame:
@@ -126,7 +127,9 @@ def select_hvg(flags: DataFrame, size: int) -> DataFrame:
     s = F.when(F.isnan(score), None).otherwise(F.col(score))
     p = flags.select("gene", s.alias("selection_score")).filter(F.col("selection_score").isNotNull())
     best = p.orderBy(F.desc("selection_score"), "gene").limit(size)
-    return with_rank(best).withColumn("selected_initial", F.lit(True))
+    # At most ``size`` rows are numbered.
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("selection_score"), "gene")).cast("long"))
+    return best.withColumn("selected_initial", F.lit(True))
 
 
 def _enough(df: DataFrame, genes: DataFrame, n: int) -> DataFrame:
@@ -160,16 +163,15 @@ def select_dimred(loadings: DataFrame, means: DataFrame | None, size: int, k: in
         res = pin(ld.resolve_across_celltypes(ld.resolve_duplicates(raw, loadings, k), raw))
         n_ct = loadings.select("scope").distinct().count()
         chosen = ld.select_from_pool_per_celltype(res, size, k, n_ct).select("gene", F.lit(True).alias("_sel"))
-        order = [F.desc("n_celltypes"), F.desc("weight"), F.asc("gene")]
+        order = F.struct((-F.col("n_celltypes")).alias("n"), (-F.col("weight")).alias("w"), F.col("gene").alias("g"))
     else:
         raw = ld.factor_pool(loadings, pool)
         raw = raw if means is None else ld.pool_expression_filter(raw, means, False)
         res = pin(ld.assign_primary_factor(raw).withColumn("celltype", F.lit("global")))
         chosen = ld.select_from_pool_global(res, size, k).select("gene", F.lit(True).alias("_sel"))
-        order = [F.desc("weight"), F.asc("gene")]
+        order = F.struct((-F.col("weight")).alias("w"), F.col("gene").alias("g"))
     p = res.join(chosen, "gene", "left").withColumn("selected_initial", F.coalesce("_sel", F.lit(False))).drop("_sel", "scope", "source")
-    # The resolved pool holds at most scopes x factors x pool genes.
-    return p.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select(
+    return row_index(p, [], order, "rank").select(
         "*", F.col("weight").alias("selection_score"), F.col("factor").cast("string").alias("component"))
 
 

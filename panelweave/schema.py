@@ -42,7 +42,7 @@ def every_label(cells: DataFrame, group: str = "celltype") -> Column:
     Labels are a vocabulary; a column with more than ``LABEL_LIMIT`` distinct
     values is not one, and the query fails instead of building a huge array.
     """
-    labels = cells.select(group).distinct()
+    labels = cells.select(group).distinct().limit(LABEL_LIMIT + 1)
     arr = F.array_sort(F.collect_set(group))
     checked = F.when(F.count(F.lit(1)) > LABEL_LIMIT, F.raise_error(F.lit(f"{group}: too many labels"))).otherwise(arr)
     return labels.agg(checked.alias("labels")).scalar()

@@ -59,11 +59,17 @@ def read_panels(spark: SparkSession, root: str, genes: DataFrame | None = None)
     Paths look like filter/subset/strategy/[N_factors/]SIZE-genes/results/selected_*.csv.
     Intermediate and bootstrap files are left out; ``genes`` restricts to genes in the data.
     """
-    lines = raw_lines(spark, root, "selected_*.csv", recursive=True)
+    # A list may be one file or a folder of part files as Spark writes it.
+    lines = raw_lines(spark, root, "*.csv", recursive=True)
+    listed = F.regexp_replace("path", r"/part-[^/]*$", "")
     shape = r"/[^/]+/[^/]+/[^/]+/([^/]*_factors/)?[^/]*-genes/results/selected_(genes|hvg_|random_)[^/]*\.csv$"
-    name = F.element_at(F.split("path", "/"), -1)
-    lines = lines.filter(F.col("path").rlike(shape) & ~name.startswith("intermediate_") & ~name.contains("_bootstrap"))
-    p = _genes(lines).select(panel_name_from_path(F.col("path")).alias("panel"), "gene", "position")
+    name = F.element_at(F.split(listed, "/"), -1)
+    lines = lines.filter(listed.rlike(shape) & ~name.startswith("intermediate_") & ~name.contains("_bootstrap"))
+    p = _genes(lines).select("path", panel_name_from_path(listed).alias("panel"), "gene", "position")
+    sizes = p.groupBy("panel", "path").agg(F.max("position").alias("_n"))
+    before = Window.partitionBy("panel").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("panel", "path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    p = p.join(offs, ["panel", "path"]).select("panel", "gene", (F.col("position") + F.col("_off")).alias("position"))
     return p if genes is None else p.join(genes.select("gene"), "gene", "left_semi").select("panel", "gene", "position")
 
 

@@ -82,9 +82,7 @@ def panels_dir(spark, sf):
     t = table(spark, sf, "part")
     for strategy, size, name in (("deg_only", 50, "selected_genes"), ("rf_deg", 100, "selected_genes_DEG-based-filling")):
         d = t.filter((F.col("p_size") > 25) == F.lit(size == 50)).select(F.lit(0).alias("rank"), F.concat(F.lit("P"), "p_partkey").alias("gene"), "p_type")
-        folder = f"{root}/Scanpy-Filter/All-Genes/{strategy}/{size}-genes/results"
-        d.coalesce(1).write.csv(f"{folder}/tmp", header=True)
-        _rename_single(spark, f"{folder}/tmp", f"{folder}/{name}.csv")
+        d.write.csv(f"{root}/Scanpy-Filter/All-Genes/{strategy}/{size}-genes/results/{name}.csv", header=True)
     return sp.read_panels(spark, root, lin_genes(spark, sf)).select("panel", "gene")
 
 
@@ -92,15 +90,6 @@ def lin_genes(spark, sf):
     return table(spark, sf, "part").filter("p_partkey % 5 > 0").select(F.concat(F.lit("P"), "p_partkey").alias("gene"))
 
 
-def _rename_single(spark, folder, target):
-    """Move the one part file of ``folder`` to ``target``."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    src = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = src.getFileSystem(conf)
-    part = [s.getPath() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-")][0]
-    fs.rename(part, jvm.org.apache.hadoop.fs.Path(target))
-
-
 PANELS_DIR = """SELECT 'Scanpy-Filter_All-Genes_deg_only_50' AS panel, 'P' || p_partkey AS gene FROM part WHERE p_size > 25 AND p_partkey % 5 > 0
 UNION ALL SELECT 'Scanpy-Filter_All-Genes_rf_deg_100_DEG-based-filling', 'P' || p_partkey FROM part WHERE p_size <= 25 AND p_partkey % 5 > 0"""
 
