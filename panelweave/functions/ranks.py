@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.session import pin
+
 SAMPLE_RATE = 32_768
 MAX_RANGES = 256
 _RANGE = "_range"
@@ -163,9 +165,10 @@ def exact_quantiles(
     Unlike ``percentile`` this keeps no per-key buffer of all distinct values.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+    # Distinct values with counts, written once: the input is read a single time.
+    counted = pin(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_w")
-    )
+    ))
     placed = weight_before(counted, keys, F.col("_v"), F.col("_w"), "_b", sample_rate, total="_n")
 
     def at(pos: Column) -> Column:

@@ -61,6 +61,7 @@ def resolve_duplicates(pool: DataFrame, loadings: DataFrame, k: int, target: int
     ``target`` None means pool rows of the scope // k.  Factors are served in
     order, all scopes at once; each step works on tables of pool size.
     """
+    pool, loadings = pin(pool), pin(loadings)
     chosen = assign_primary_factor(pool).withColumn("source", F.lit("pool"))
     counts = chosen.groupBy("scope", "factor").agg(F.count(F.lit(1)).alias("_c"))
     every = loadings.select("scope", "factor").distinct()
@@ -91,7 +92,7 @@ def resolve_across_celltypes(resolved: DataFrame, pool: DataFrame) -> DataFrame:
 
 def fill_gap_factor_aware(loadings: DataFrame, used: DataFrame, gaps: DataFrame, k: int) -> DataFrame:
     """``gaps(scope, gap)`` spread evenly over factors 0..k-1, best unused signed loading first."""
-    taken = pin(used.select("scope", "gene"))
+    taken, loadings = pin(used.select("scope", "gene")), pin(loadings)
     out = None
     for f in range(k):
         quota = (F.floor(F.col("gap") / k) + F.when(F.lit(f) < F.col("gap") % k, 1).otherwise(0)).alias("_q")
@@ -129,6 +130,7 @@ def select_from_pool_global(assigned: DataFrame, size: int, k: int) -> DataFrame
     lowest loadings among each factor's removable tail, then the lowest overall.
     """
     per = math.ceil(size / k)
+    assigned = pin(assigned)
     w = Window.partitionBy("factor").orderBy(F.desc("weight"), "gene")
     s = assigned.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per)
     s = s.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("factor")))
@@ -146,6 +148,7 @@ def select_from_pool_global(assigned: DataFrame, size: int, k: int) -> DataFrame
 def select_from_pool_per_celltype(resolved: DataFrame, size: int, k: int, n_celltypes: int) -> DataFrame:
     """ceil(size/types/k) per (celltype, factor); short: fill by n_celltypes, over: drop lowest loading."""
     per = math.ceil(size / n_celltypes / k)
+    resolved = pin(resolved)
     w = Window.partitionBy("celltype", "factor").orderBy(F.desc("weight"), "gene")
     s = resolved.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per).drop("_r")
     s = s.withColumn("source", F.lit("strict"))

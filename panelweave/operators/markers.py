@@ -22,12 +22,12 @@ def rank_genes_wilcoxon(
 ) -> DataFrame:
     """Rank-sum score of every (group, gene) against all other cells, zeros included.
 
-    Ranks are taken over distinct values: the facts shrink to (gene, value,
-    group, count) before anything is ordered, and the implicit zeros of a gene
-    are a single row.
+    Ranks are taken over distinct values: one pass shrinks the facts to (gene,
+    value, group, count), written once; only that table is ordered and joined,
+    and the implicit zeros of a gene are a single row.
     """
     total = total_cells(data.cells)
-    counted = (
+    counted = pin(
         with_celltype(data.expr.filter(F.col(value) != 0), data.cells, group)
         .groupBy("gene", group, F.col(value).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
@@ -46,15 +46,14 @@ def rank_genes_wilcoxon(
         F.sum(F.col("c") * F.col("v")).alias("s"),
     )
     zero_rank = ranks.filter(F.col("v") == 0).select("gene", F.col("r").alias("r0"))
-    sums = counted.groupBy("gene").agg(F.sum(F.col("c") * F.col("v")).alias("s_all"))
     d = (
         grid(data.genes, data.cells, group)
         .join(stats, [group, "gene"], "left")
         .join(zero_rank, "gene", "left")
-        .join(sums, "gene", "left")
         .join(group_sizes(data.cells, group), group)
-        .na.fill(0, ["rsum", "nnz", "s", "r0", "s_all"])
-        .withColumn("n", total)
+        .na.fill(0, ["rsum", "nnz", "s", "r0"])
+        # A gene has one row per label here.
+        .withColumns({"n": total, "s_all": F.sum("s").over(Window.partitionBy("gene"))})
     )
     na, n = F.col("n_cells"), F.col("n")
     nr = n - na
@@ -67,9 +66,7 @@ def rank_genes_wilcoxon(
         _fold_change(F.col("s") / na, mean_rest).alias("logfoldchanges"),
     )
     if p_values:
-        # The adjustment reads this small table several times: write it once.
-        out = pin(out.withColumn("pvals", normal_two_sided_p("scores")))
-        out = bh_adjust(out, sample_rate=sample_rate)
+        out = bh_adjust(out.withColumn("pvals", normal_two_sided_p("scores")), sample_rate=sample_rate)
     return out
 
 
@@ -79,11 +76,11 @@ def rank_genes_ttest(data: ExprData, group: str = "celltype", value: str = "valu
     per = with_celltype(data.expr, data.cells, group).groupBy(group, "gene").agg(
         F.sum(v).alias("s1"), F.sum(v * v).alias("s2")
     )
-    allg = per.groupBy("gene").agg(F.sum("s1").alias("a1"), F.sum("s2").alias("a2"))
+    labels = Window.partitionBy("gene")
     d = (
-        grid(data.genes, data.cells, group).join(per, [group, "gene"], "left").join(allg, "gene", "left")
-        .join(group_sizes(data.cells, group), group).na.fill(0.0, ["s1", "s2", "a1", "a2"])
-        .withColumn("n", total_cells(data.cells))
+        grid(data.genes, data.cells, group).join(per, [group, "gene"], "left")
+        .join(group_sizes(data.cells, group), group).na.fill(0.0, ["s1", "s2"])
+        .withColumns({"n": total_cells(data.cells), "a1": F.sum("s1").over(labels), "a2": F.sum("s2").over(labels)})
     )
     na = F.col("n_cells")
     d = d.withColumns({
@@ -108,6 +105,7 @@ def rank_genes_ttest(data: ExprData, group: str = "celltype", value: str = "valu
 def bh_adjust(df: DataFrame, p: str = "pvals", group: str = "group", key: str = "gene", out: str = "pvals_adj",
               sample_rate: int = SAMPLE_RATE) -> DataFrame:
     """Benjamini-Hochberg adjusted p within each group."""
+    df = pin(df)
     order = F.struct(F.col(p).alias("p"), F.col(key).alias("k"))
     ranked = row_index(df, [group], order, "_rk", sample_rate)
     sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_m"))

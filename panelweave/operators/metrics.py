@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.columns import safe_div
 from panelweave.functions.ranks import SAMPLE_RATE, tie_ranks, weight_before
 from panelweave.schema import ExprData, group_sizes, with_celltype
+from panelweave.session import pin
 
 
 def paired(truth: DataFrame, pred: DataFrame, value: str = "value") -> DataFrame:
@@ -81,9 +82,10 @@ def reconstruction_metrics(truth: DataFrame, pred: DataFrame, cells: DataFrame,
 
 def spearman(truth: DataFrame, pred: DataFrame, n: Column, by: str = "gene", sample_rate: int = SAMPLE_RATE) -> DataFrame:
     """Rank correlation per gene (``n`` cells) or per cell (``n`` genes), average ranks, zeros included."""
-    pairs = paired(truth, pred).filter((F.col("x") != 0) | (F.col("y") != 0)).groupBy(by, "x", "y").agg(
+    # One pass over the facts; everything after works on distinct (x, y) with counts.
+    pairs = pin(paired(truth, pred).filter((F.col("x") != 0) | (F.col("y") != 0)).groupBy(by, "x", "y").agg(
         F.count(F.lit(1)).alias("c")
-    )
+    ))
     stored = pairs.groupBy(by).agg(F.sum("c").alias("stored"))
     both_zero = stored.select(by, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (n - F.col("stored")).alias("c")).filter(F.col("c") > 0)
     pairs = pairs.unionByName(both_zero)
@@ -116,7 +118,7 @@ def celltype_profile_quality(truth: ExprData, pred: DataFrame, group: str = "cel
     p = p.withColumns({"x": F.col("x") / F.col("n_cells"), "y": F.col("y") / F.col("n_cells")})
     n = shared.agg(F.count(F.lit(1))).scalar()
     m = pair_metrics(p.groupBy(group, "n_cells").agg(*_sums()), n, [group, "n_cells"])
-    m = m.select(group, "n_cells", "pearson", "mse", "explained_variance")
+    m = pin(m.select(group, "n_cells", "pearson", "mse", "explained_variance"))
     m = m.withColumn("_w", m.agg(F.max("mse")).scalar())
     return m.withColumn("score", F.when(F.col("_w") > 0, 1 - F.col("mse") / F.col("_w")).otherwise(1.0)).drop("_w")
 
@@ -192,6 +194,7 @@ def competition_rank(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
     ``df`` has one row per dataset (panel).
     """
+    df = pin(df)
     out = df
     for m in metrics:
         seen = df.filter(F.col(m).isNotNull()).groupBy(F.col(m).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))

@@ -35,14 +35,14 @@ def provenance(events: DataFrame, strategy: str) -> DataFrame:
     gone = F.max(F.when(rem & (F.col("stage") == "blacklist"), 1)).alias("bl_failed")
     first_death = F.min(F.when(rem, F.col("_o"))).alias("first_death")
     g = e.groupBy("gene").agg(born, died, forced, gone, first_death).filter(F.col("born").isNotNull())
-    ran = events.agg(*[F.bool_or(F.col("stage") == s).alias(s) for s in ("xenium", "odt")])
-    g = g.withColumns({f"_ran_{s}": ran.select(s).scalar() for s in ("xenium", "odt")})
+    ran = events.agg(F.struct(*[F.bool_or(F.col("stage") == s).alias(s) for s in ("xenium", "odt")]).alias("r"))
+    g = g.withColumn("_ran", ran.scalar())
     stage, dead = F.col("born.stage"), F.col("died.stage")
 
     def tested(s: str):
         at = STAGES.index(s) * 1000
         alive = (F.col("born._o") < at) & (F.col("first_death").isNull() | (F.col("first_death") >= at))
-        return F.when(dead == s, "failed").when(stage == s, "passed").when(alive & F.col(f"_ran_{s}"), "passed").otherwise("not_tested")
+        return F.when(dead == s, "failed").when(stage == s, "passed").when(alive & F.col(f"_ran.{s}"), "passed").otherwise("not_tested")
 
     blacklist = (
         F.when(F.col("bl_failed") == 1, "failed").when(stage == "force", "exempt")

@@ -215,6 +215,7 @@ def dot_size(fraction: Column, smallest: float = 0.0, largest: float = 200.0, ex
 # --- variable-gene ranking -------------------------------------------------------------------
 
 def _top(df: DataFrame, n: int, score: str) -> DataFrame:
+    df = pin(df)
     best = df.filter(F.col(score).isNotNull() & is_finite(F.col(score))).orderBy(F.desc(score), "gene").limit(n)
     flag = best.select("gene", F.lit(True).alias("highly_variable"))
     return df.join(flag, "gene", "left").na.fill(False, ["highly_variable"])
@@ -229,10 +230,11 @@ def _mean_dispersion(data: ExprData, value: str) -> DataFrame:
 def hvg_seurat(data: ExprData, n: int = 2000, bins: int = 20, value: str = "value") -> DataFrame:
     """Normalised log dispersion within equal-width bins of log mean; input is log1p data."""
     raw = ExprData(data.expr.withColumn(value, F.expm1(value)), data.cells, data.genes)
-    d = _mean_dispersion(raw, value).select(
+    # Gene-sized and read by several branches below: one pass over the facts.
+    d = pin(_mean_dispersion(raw, value).select(
         "gene", F.log1p(F.when(F.col("mean") == 0, 1e-12).otherwise(F.col("mean"))).alias("means"),
         F.when(F.col("disp") > 0, F.log("disp")).alias("dispersions"),
-    )
+    ))
     lo, hi = d.agg(F.min("means")).scalar(), d.agg(F.max("means")).scalar()
     d = d.withColumns({"_lo": lo, "_hi": hi})
     width = (F.col("_hi") - F.col("_lo")) / bins
@@ -269,7 +271,7 @@ def hvg_cell_ranger(data: ExprData, n: int = 8000, value: str = "value") -> Data
 
 def hvg_seurat_v3(data: ExprData, n: int = 2000, value: str = "value") -> DataFrame:
     """Variance of clipped standardised counts; the mean-variance trend is a quadratic in log10."""
-    m = gene_moments(data.expr, data.cells, data.genes, value).select("gene", "n", "mean", "var_samp")
+    m = pin(gene_moments(data.expr, data.cells, data.genes, value).select("gene", "n", "mean", "var_samp"))
     fit = m.filter((F.col("mean") > 0) & (F.col("var_samp") > 0)).select(
         F.log10("mean").alias("x"), F.log10("var_samp").alias("y")
     )

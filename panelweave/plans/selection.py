@@ -193,7 +193,7 @@ def select_combination(rf: DataFrame, dimred: DataFrame, size: int, forced: Data
     filtered; genes that did not pass are expected to be gone.
     """
     n_rf, n_dim = pn.combination_targets(size, n_forced, rf_share)
-    c = pn.combine_rf_dimred(rf, dimred, n_rf, n_dim, forced)
+    c = pin(pn.combine_rf_dimred(rf, dimred, n_rf, n_dim, forced))
     return pn.gap_fill(c, pn.gap_fill_tiers(analysis_type, dimred, global_pool, rf), size)
 
 
