@@ -50,6 +50,10 @@ def pack(expr: DataFrame, cells: DataFrame, genes: DataFrame, scope: str | None
     rows = e.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("x"))
     rows = rows.join(who, "cell_id").filter(F.col("scope").isin(list(sizes)))
     rows = rows.select("scope", "cell_id", F.col("x.idx").alias("idx"), F.col("x.v").alias("val"))
+    if len(sizes) > 1:
+        # Keep a scope's cells together so that a task meets few scopes and returns
+        # few partial factors; a range over (scope, cell) still splits a big scope.
+        rows = rows.repartitionByRange("scope", "cell_id")
     return Packed(pin(rows), names, sizes)
 
 

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def local_session(cores: str = "8", app: str = "panelweave") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
     return (
@@ -36,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_dirs[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -62,7 +62,7 @@ def read_k_varying(spark: SparkSession, root: str, metrics: Sequence[str] = ("ma
 
 def read_stability(spark: SparkSession, root: str) -> DataFrame:
     """(gene, n_selected): in how many iter_Y folders a gene was selected."""
-    r = csv_rows(spark, root, "selected_genes*.csv")
+    r = csv_rows(spark, root).filter(F.col("path").rlike(r"/selected_genes[^/]*(/part-[^/]*)?$"))
     it = F.regexp_extract("path", r"/iter_0*(\d+)/", 1)
     return r.filter(it != "").select(it.alias("i"), field("gene").alias("gene")).filter("gene is not null").groupBy("gene").agg(F.count_distinct("i").alias("n_selected"))
 

@@ -89,6 +89,26 @@ def pca_global(spark, sf):
     return fa.pca(fa.pack(d.expr, d.cells, d.genes), 5)
 
 
+def pca_per_celltype(spark, sf):
+    d = lin(spark, sf)
+    l = fa.pca(fa.pack(d.expr, d.cells, d.genes, "celltype", min_cells=10), 3)
+    return l.select("scope", "factor", "gene", "loading", "ratio")
+
+
+def variability_summary(spark, sf):
+    t = event_metrics(spark, sf)
+    n = F.col("n_cells")
+    rows = t.select("dataset", "celltype", "fold", F.col("mse").alias("mse_test_probe"), (F.col("mse") / 2).alias("mse_test_baseline"), F.col("expvar").alias("expvar_test_probe"),
+                    (F.col("expvar") * n / 50).alias("expvar_test_baseline"), "n_cells", "skipped")
+    d = ev.variability_summary(rows)
+    return d.select("dataset", "fold", "total_cells", "n_celltypes_processed", "n_celltypes_skipped", *[r6(c).alias(c) for c in sorted(d.columns) if c.startswith(("weighted", "macro"))])
+
+
+_V = {"mse_test_probe": "mse", "mse_test_baseline": "mse / 2", "expvar_test_probe": "expvar", "expvar_test_baseline": "expvar * n_cells / 50"}
+VAR_SUMMARY = f"WITH {EVENT_METRICS} SELECT dataset, fold, CAST(SUM(n_cells) FILTER (NOT skipped) AS BIGINT) AS total_cells, COUNT(*) FILTER (NOT skipped) AS n_celltypes_processed, COUNT(*) FILTER (skipped) AS n_celltypes_skipped, " + ", ".join(
+    f"round(SUM({e} * n_cells) FILTER (NOT skipped) / SUM(n_cells) FILTER (NOT skipped), 6) AS weighted_{n}, round(AVG({e}) FILTER (NOT skipped), 6) AS macro_{n}" for n, e in _V.items()) + " FROM metrics GROUP BY 1, 2"
+
+
 def pca_variance(spark, sf):
     """Properties of a full decomposition that SQL can state: total variance and unit lengths."""
     d = emb(spark, sf)
@@ -289,7 +309,7 @@ QUERIES = [
     Query("nmf_transform", nmf_transform, TRANSFORM), Query("nmf_transform_kl", nmf_transform_kl, TRANSFORM_KL),
     Query("nmf_global", nmf_global), Query("nmf_per_celltype", nmf_per_celltype), Query("nmf_init", nmf_init, INIT),
     Query("pca_global", pca_global), Query("pca_per_celltype_variance", pca_variance, PCA_VAR), Query("pca_predict", pca_predict, PCA_PREDICT),
-    Query("fastica", fastica), Query("scaling_factor", scaling_factor, SCALING), Query("validate_feature_map", feature_map, FEATURE_MAP),
+    Query("pca_per_celltype", pca_per_celltype), Query("variability_summary", variability_summary, VAR_SUMMARY), Query("fastica", fastica), Query("scaling_factor", scaling_factor, SCALING), Query("validate_feature_map", feature_map, FEATURE_MAP),
     Query("mapping_weights", mapping_weights, "WITH " + _MAP + " SELECT cell_id, spot_id, round(weight, 8) AS weight FROM w"), Query("project_mapping", project_mapping, PROJECT),
     Query("mapping_gene_scores", mapping_scores, MAP_SCORES), Query("density_priors", density_priors, PRIORS),
     Query("holdout_gene_experiment", holdout), Query("predictors", predictors),

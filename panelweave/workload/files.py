@@ -107,7 +107,67 @@ def k_varying(spark, sf):
 
 K_VARYING = f"WITH {EVENT_METRICS} SELECT fold AS k_value, CASE dataset WHEN 'click' THEN 0 ELSE 1 END AS iteration, dataset AS selection_method, COUNT(*) AS n, round(AVG(mse), 6) AS mse FROM metrics WHERE dataset IN ('click', 'view') GROUP BY 1, 2, 3"
 
+def gene_lists(spark, sf):
+    """Four header styles, written from the part table and read by the same reader."""
+    root = fresh_path(spark, "lists")
+    t = table(spark, sf, "part")
+    g = F.concat(F.lit("P"), "p_partkey")
+    t.select(g.alias("gene"), (F.col("p_size") > 20).alias("selected_final")).write.csv(f"{root}/a", header=True)
+    t.select("p_size", g.alias("Gene_Symbol")).write.csv(f"{root}/b", header=True)
+    t.select(F.concat(F.lit("ENS"), "p_partkey").alias("x")).write.csv(f"{root}/c", header=False)
+    t.select(F.concat_ws(", ", g, "p_name").alias("whatever"), "p_size").write.csv(f"{root}/d", header=True)
+    out = None
+    for name in "abcd":
+        o = sp.read_gene_list(spark, f"{root}/{name}").select(F.lit(name).alias("list"), "gene")
+        out = o if out is None else out.unionByName(o)
+    return out
+
+
+GENE_LISTS = """SELECT 'a' AS list, 'P' || p_partkey AS gene FROM part WHERE p_size > 20 UNION ALL SELECT 'b', 'P' || p_partkey FROM part
+UNION ALL SELECT 'c', 'ENS' || p_partkey FROM part UNION ALL SELECT 'd', 'P' || p_partkey || ', ' || p_name FROM part"""
+
+
+def vendor_panel(spark, sf):
+    path = fresh_path(spark, "vendor")
+    table(spark, sf, "part").select(F.col("p_name").alias("symbol"), F.concat(F.lit("P"), "p_partkey").alias("gene_id"), "p_size").write.csv(path, header=True)
+    return sp.read_10x_panel(spark, path).select("gene")
+
+
+def external(spark, sf):
+    path = fresh_path(spark, "external")
+    table(spark, sf, "part").orderBy("p_partkey").select(F.concat(F.lit("P"), "p_partkey").alias("gene")).write.csv(path, header=True)
+    d = sp.read_external_panels(spark, {"vendorA": path, "vendorB": path}, lin_genes(spark, sf), [0, 10_000_000])
+    return d.groupBy("panel").agg(F.count(F.lit(1)).alias("n"))
+
+
+EXTERNAL = "SELECT p AS panel, COUNT(*) AS n FROM part, (SELECT unnest(['vendorA', 'vendorB']) AS p) WHERE p_partkey % 5 > 0 GROUP BY 1"
+
+
+def stability(spark, sf):
+    root = fresh_path(spark, "stability")
+    li = table(spark, sf, "lineitem").select(F.pmod("l_orderkey", F.lit(4)).alias("r"), F.concat(F.lit("P"), "l_partkey").alias("gene")).distinct()
+    for i in range(4):
+        li.filter(F.col("r") == i).select("gene").write.csv(f"{root}/iter_{i}/selected_genes", header=True)
+    return rs.read_stability(spark, root)
+
+
+STABILITY = "SELECT 'P' || l_partkey AS gene, COUNT(DISTINCT l_orderkey % 4) AS n_selected FROM lineitem GROUP BY 1"
+
+
+def variability(spark, sf):
+    root = fresh_path(spark, "variability")
+    m = event_metrics(spark, sf)
+    for ds in ("click", "view"):
+        m.filter(F.col("dataset") == ds).select(F.lit("per_celltype").alias("analysis_type"), "celltype", "fold", "mse").write.csv(f"{root}/{ds}", header=True)
+    return rs.read_variability(spark, root, ["mse"]).select("dataset", "celltype", "fold", r6("mse").alias("mse"))
+
+
+VARIABILITY = f"WITH {EVENT_METRICS} SELECT dataset, celltype, fold, round(mse, 6) AS mse FROM metrics WHERE dataset IN ('click', 'view')"
+
+
 QUERIES = [
+    Query("read_gene_list", gene_lists, GENE_LISTS), Query("read_10x_panel", vendor_panel, "SELECT 'P' || p_partkey AS gene FROM part"), Query("read_external_panels", external, EXTERNAL),
+    Query("read_stability", stability, STABILITY), Query("read_variability", variability, VARIABILITY),
     Query("read_write_expr", expr_tables, EXPR_TABLES), Query("write_ranked_list", ranked, f"WITH {FILL_CTE} SELECT gene, final_selection AS in_panel, rank FROM done WHERE coalesce(passed_xenium, true)"),
     Query("write_summary_json", summary, SUMMARY),
     Query("write_per_dataset", per_dataset, f"WITH {EVENT_METRICS} SELECT dataset, celltype, round(AVG(mse), 6) AS mse, COUNT(*) AS n FROM metrics WHERE dataset = 'view' GROUP BY 1, 2"),
