@@ -454,6 +454,8 @@ def project(expr: DataFrame, cells: DataFrame, loadings: DataFrame, value: str =
 
     Only stored values are joined; the zeros' share is one constant per factor.
     """
+    # Gene-sized: written first so that its size is known when it meets the facts.
+    loadings = pin(loadings.select("factor", "gene", "loading", "mean"))
     base = loadings.groupBy("factor").agg((-F.sum(F.col("mean") * F.col("loading"))).alias("base"))
     moved = expr.join(loadings.select("gene", "factor", "loading"), "gene").groupBy("cell_id", "factor").agg(
         F.sum(F.col(value) * F.col("loading")).alias("s"))

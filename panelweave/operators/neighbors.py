@@ -29,8 +29,9 @@ GRAPH_KS = [5, 10, 15, 20, 30, 50]
 
 def vectors(expr: DataFrame, cells: DataFrame, genes: DataFrame, value: str = "value") -> DataFrame:
     """(cell_id, vec): dense vectors over ``genes`` in name order; panel-sized gene sets only."""
-    order = genes.select("gene").distinct().agg(F.array_sort(F.collect_list("gene"))).scalar()
-    v = expr.join(genes.select("gene"), "gene", "left_semi").groupBy("cell_id").agg(
+    names = pin(genes.select("gene").distinct())
+    order = names.agg(F.array_sort(F.collect_list("gene"))).scalar()
+    v = expr.join(names, "gene", "left_semi").groupBy("cell_id").agg(
         F.map_from_entries(F.collect_list(F.struct("gene", value))).alias("m"))
     v = cells.select("cell_id").join(v, "cell_id", "left").withColumn("_g", order)
     return v.select("cell_id", F.transform("_g", lambda g: F.coalesce(F.try_element_at(F.col("m"), g), F.lit(0.0))).alias("vec"))

@@ -96,13 +96,13 @@ def filter_genes(data: ExprData, min_cells: int = MIN_CELLS_PER_GENE, value: str
     kept = data.expr.filter(F.col(value) > 0).groupBy("gene").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") >= min_cells
     )
-    return ExprData(data.expr.join(kept, "gene", "left_semi"), data.cells, data.genes.join(kept, "gene", "left_semi"))
+    return keep_genes(data, kept)
 
 
 def filter_genes_min_counts(data: ExprData, min_counts: float = 1, value: str = "value") -> ExprData:
     """Keep genes whose total over all cells is at least ``min_counts``."""
     kept = data.expr.groupBy("gene").agg(F.sum(value).alias("t")).filter(F.col("t") >= min_counts)
-    return ExprData(data.expr.join(kept, "gene", "left_semi"), data.cells, data.genes.join(kept, "gene", "left_semi"))
+    return keep_genes(data, kept)
 
 
 def normalize_total(
@@ -326,7 +326,10 @@ def hvg(data: ExprData, flavor: str = "seurat", n: int = 2000, value: str = "val
 
 
 def keep_genes(data: ExprData, genes: DataFrame) -> ExprData:
-    return ExprData(
-        data.expr.join(genes.select("gene"), "gene", "left_semi"), data.cells,
-        data.genes.join(genes.select("gene"), "gene", "left_semi"),
-    )
+    """Restrict facts and dimension to some genes.
+
+    The list is written first: its size is then known when the join with the
+    facts is planned, and a small list is broadcast without shuffling them.
+    """
+    names = pin(genes.select("gene").distinct())
+    return ExprData(data.expr.join(names, "gene", "left_semi"), data.cells, data.genes.join(names, "gene", "left_semi"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.schema import ExprData, every_label
+from panelweave.session import pin
 
 
 def annotate_cells(cells: DataFrame, annotation: DataFrame, key: str = "cell_id") -> DataFrame:
@@ -128,7 +129,9 @@ def map_symbols(genes: DataFrame, mapping: DataFrame, keep_if_missing: bool = Tr
 
 def subset_to_panels(expr: DataFrame, panels: DataFrame, normalize: bool = False, value: str = "value") -> DataFrame:
     """Every panel's sub-matrix at once: (panel, cell_id, gene, value)."""
-    out = expr.join(panels.select("panel", "gene").distinct(), "gene").select("panel", "cell_id", "gene", value)
+    # Written first so that its size is known and the facts need no shuffle when it is small.
+    members = pin(panels.select("panel", "gene").distinct())
+    out = expr.join(members, "gene").select("panel", "cell_id", "gene", value)
     if normalize:
         total = F.sum(value).over(Window.partitionBy("panel", "cell_id"))
         out = out.withColumn("_t", total).withColumn(value, F.when(F.col("_t") == 0, F.col(value)).otherwise(F.col(value) / F.col("_t") * 1e4))

@@ -11,13 +11,14 @@ from panelweave.workload.standins import EMB, LIN, Query, emb, lin, lin_sql, r6,
 def deg_table(spark, sf):
     """deg(group, gene, scores, pvals, logfoldchanges) from events."""
     t = table(spark, sf, "events").groupBy(F.col("event_type").alias("group"), F.concat(F.lit("u"), "user_id").alias("gene")).agg(
-        F.round(F.avg("value"), 3).alias("scores"), F.pmod(F.round(F.sum("value") * 100).cast("long"), F.lit(997)).alias("p"),
+        # The mean from an exact number of cents, so that no rounding tie depends on summation order.
+        (F.round(F.sum("value") * 100).cast("long").cast("double") / 100.0 / F.count(F.lit(1))).alias("scores"), F.pmod(F.round(F.sum("value") * 100).cast("long"), F.lit(997)).alias("p"),
         F.count(F.lit(1)).alias("n"))
     return t.select("group", "gene", "scores", (F.col("p") / 4000.0).alias("pvals"), (F.col("n") / 8.0).alias("logfoldchanges"))
 
 
 DEG = """
-deg AS (SELECT event_type AS "group", 'u' || user_id AS gene, round(AVG(value), 3) AS scores,
+deg AS (SELECT event_type AS "group", 'u' || user_id AS gene, CAST(CAST(round(SUM(value) * 100) AS BIGINT) AS DOUBLE) / CAST(100 AS DOUBLE) / COUNT(*) AS scores,
   (CAST(round(SUM(value) * 100) AS BIGINT) % 997) / 4000.0 AS pvals, COUNT(*) / 8.0 AS logfoldchanges FROM events GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY pvals, gene) AS rk, COUNT(*) OVER (PARTITION BY "group") AS m FROM deg),
 adj AS (SELECT "group", gene, scores, pvals, logfoldchanges,
