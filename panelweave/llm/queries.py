@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.common import table
+from panelweave.llm.mixing import mix
 from panelweave.llm.quality_rules import quality_rules
 from panelweave.llm.token_counts import token_counts
+from panelweave.llm.token_files import token_digests
 from panelweave.llm.url_filter import Rule, judge_urls
 
 #: The rules every page is held against.
@@ -24,6 +26,14 @@ URL_GLOBS = [
 ]
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), (5, 2, 1), 3)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,9 +66,30 @@ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN host <>
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op10_url_rules": op10_url_rules,
 }
 
-SQL: dict[str, str] = {"op10_url_rules": _op10_sql()}
+#: Source targets by filling up sources in order of cap per weight, then Pareto order within each source.
+_OP3_SQL = r"""WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
+ md5(concat_ws('|', '7', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(md5(text), 'null'))) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][CAST((place - 1) % 3 + 1 AS INT)] AS weight, 3 * source_size AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio, (SELECT sum(source_size) FROM w) AS words, (SELECT sum(weight) FROM w) AS weights FROM w),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps_before,
+ weights - coalesce(sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_w FROM r),
+l AS (SELECT CAST(words - caps_before AS DOUBLE) / CAST(left_w AS DOUBLE) AS level FROM o WHERE CAST(caps_before AS DOUBLE) + ratio * CAST(left_w AS DOUBLE) >= words ORDER BY ratio, place LIMIT 1),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM l) * weight) AS target FROM w),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS times FROM t),
+p AS (SELECT *, floor(times) AS certain, times - floor(times) AS p, target - floor(times) * source_size AS missing FROM e),
+q AS (SELECT d.doc_id, d.size, d.k, p.* EXCLUDE (source), d.source, (CAST(CAST('0x' || substr(k, 1, 13) AS BIGINT) AS DOUBLE) * 2 + 1) / 9007199254740992 AS u FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+c AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM q),
+g AS (SELECT source, q, k, sum(size) AS size FROM c WHERE p > 0 GROUP BY source, q, k),
+h AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM g),
+z AS (SELECT c.*, CAST(c.certain AS BIGINT) + CASE WHEN h.k IS NOT NULL AND h.start + h.size / 2 <= c.missing THEN 1 ELSE 0 END AS copies FROM c LEFT JOIN h ON c.source IS NOT DISTINCT FROM h.source AND c.k = h.k)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM z"""
+
+SQL: dict[str, str] = {"op3_mixing": _OP3_SQL, "op10_url_rules": _op10_sql()}
