@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.common import table
 from panelweave.llm.mixing import mix
+from panelweave.llm import quality_cnn, toxicity
 from panelweave.llm.quality_rules import quality_rules
+from panelweave.llm.secret_scan import scan_secrets
 from panelweave.llm.token_counts import token_counts
 from panelweave.llm.token_files import token_digests
 from panelweave.llm.url_filter import Rule, judge_urls
@@ -26,6 +28,11 @@ URL_GLOBS = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,6 +45,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", 0.3)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,9 +81,12 @@ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN host <>
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_quality_cnn": op7_quality_cnn,
     "op8_quality_rules": op8_quality_rules,
     "op10_url_rules": op10_url_rules,
 }
