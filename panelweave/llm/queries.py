@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.llm.common import table
+from panelweave.llm.decontam import find_items
 from panelweave.llm.mixing import mix
+from panelweave.llm.near_dedup import near_duplicates
 from panelweave.llm import quality_cnn, toxicity
 from panelweave.llm.quality_rules import quality_rules
 from panelweave.llm.secret_scan import scan_secrets
@@ -45,6 +47,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
 
@@ -85,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_cnn": op7_quality_cnn,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
     "op10_url_rules": op10_url_rules,
 }
 
@@ -110,4 +122,12 @@ h AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, k ROWS
 z AS (SELECT c.*, CAST(c.certain AS BIGINT) + CASE WHEN h.k IS NOT NULL AND h.start + h.size / 2 <= c.missing THEN 1 ELSE 0 END AS copies FROM c LEFT JOIN h ON c.source IS NOT DISTINCT FROM h.source AND c.k = h.k)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM z"""
 
-SQL: dict[str, str] = {"op3_mixing": _OP3_SQL, "op10_url_rules": _op10_sql()}
+#: Exact containment of every item in every document by its shingles.
+_OP9_SQL = r"""WITH w AS (SELECT 0 AS kind, row_number() OVER () AS row, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+UNION ALL SELECT 1, row_number() OVER (), item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+s AS (SELECT kind, row, id, unnest(list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])) AS s FROM w WHERE len(w) >= 5),
+n AS (SELECT row, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY row),
+p AS (SELECT d.row AS d_row, i.row AS i_row, any_value(d.id) AS doc_id, any_value(i.id) AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.s = i.s AND d.kind = 0 AND i.kind = 1 GROUP BY d.row, i.row)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment, true AS contaminated FROM p JOIN n ON p.i_row = n.row WHERE 100 * n_shared >= 75 * n_item"""
+
+SQL: dict[str, str] = {"op9_decontamination": _OP9_SQL, "op3_mixing": _OP3_SQL, "op10_url_rules": _op10_sql()}
