@@ -151,15 +151,18 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _clean_of(items: Items):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        out = np.ones(len(texts), bool)
+        out[[d for d, _, _ in items.contained(texts)]] = False
+        return pa.array(out)
+
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     for items in item_blocks(benchmark):
-
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array, items: Items = items) -> pa.Array:
-            out = np.ones(len(texts), bool)
-            out[[d for d, _, _ in items.contained(texts)]] = False
-            return pa.array(out)
-
-        docs = docs.filter(clean(F.col("text").cast("string")))
+        docs = docs.filter(_clean_of(items)(F.col("text").cast("string")))
     return docs
