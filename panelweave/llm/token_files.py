@@ -11,6 +11,7 @@ binary cells of Parquet files, which any Spark store can hold.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,9 @@ from panelweave.session import fresh_path, pin
 
 BLOCK_IDS = 1 << 20
 #: Words whose ids a worker remembers; beyond it the memory is started afresh.
-KEEP_WORDS = 500_000
+KEEP_WORDS = 700_000
+#: Marks after a word that never join with its letters.
+STOPS = ".,;:!?"
 MAGIC = b"RPB1"
 #: Symbols are stored in 16 bits; rules take what the vocabulary leaves.
 SYMBOLS = 1 << 16
@@ -40,43 +43,90 @@ _BUCKETS = 18
 class WordEncoder:
     """Ids of texts, word by word.
 
-    The vocabulary's rules drop white space and never join across it, so the library encodes each distinct word once.
+    The vocabulary's rules drop white space and never join across it, so the library encodes each distinct word once.  A
+    word of letters with stops after it is two pieces to these rules, and the letters' case does not matter.  Pieces of
+    letters only are one token group each, closed by a token that ends a word: many of them go to the library as one text,
+    and their ids are told apart at those tokens.  All other words go to it one by one.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
+        self.closes = np.zeros(self.size, bool)
+        for token, i in self.library.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.known: dict[str, int] = {"": 0}
+        self.first, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.used = np.zeros(1 << 14, np.uint16 if self.size <= SYMBOLS else np.uint32), 0
+
+    def _store(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, at = len(pieces), len(self.known)
+        while at + n > len(self.first):
+            self.first, self.length = np.resize(self.first, 2 * len(self.first)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.first[at : at + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[at : at + n] = lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(at, at + n)))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces that are not known yet."""
+        joined = [p for p in pieces if p.isalpha() and (p.isascii() or unicodedata.normalize("NFC", p).lower().isalpha())]
+        for lo in range(0, len(joined), 2000):
+            part = joined[lo : lo + 2000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part):
+                self._store(part, ids, np.diff(ends, prepend=0))
+        rest = [p for p in pieces if p not in self.known]
+        for lo in range(0, len(rest), 2000):
+            part = rest[lo : lo + 2000]
+            each = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            self._store(part, np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each], np.int64))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by ``end``, and the number of ids of each text."""
         codes, at, words = split_words(texts)
-        spelled = words.to_pylist()
-        new = [w for w in spelled if w not in self.known]
+        heads, tails = [], []
+        for w in words.to_pylist():
+            head = w.rstrip(STOPS)
+            if head.isalpha():
+                heads.append(head.lower() if head.isascii() else head)
+                tails.append(w[len(head) :])
+            else:
+                heads.append(w)
+                tails.append("")
+        new = list(dict.fromkeys(p for p in (*heads, *tails) if p not in self.known))
         if len(self.known) + len(new) > KEEP_WORDS:
             self._clear()
-            new = spelled
-        for lo in range(0, len(new), 20_000):
-            for w, e in zip(new[lo : lo + 20_000], self.library.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)):
-                self.known[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-        used = [self.ids[self.known[w]] for w in spelled]
-        table = np.concatenate([*used, np.array([end], np.uint32)])
-        length = np.array([len(x) for x in used] + [1], np.int64)
+            new = list(dict.fromkeys((*heads, *tails)))[:]
+        self._learn([p for p in new if p])
+        pieces = np.empty(2 * len(heads), np.int64)
+        pieces[::2] = [self.known[p] for p in heads]
+        pieces[1::2] = [self.known[p] for p in tails]
+        n = self.length[pieces]
+        table = np.append(self.flat[_spread(self.first[pieces], n)], end).astype(self.flat.dtype)
+        length = np.append(n[::2] + n[1::2], 1)
         first = np.cumsum(length) - length
         # The end id is one more word after each text.
-        closed = np.insert(codes.astype(np.int64), at[1:], len(used))
+        closed = np.insert(codes.astype(np.int64), at[1:], len(heads))
         n = length[closed]
-        ids = table[np.repeat(first[closed] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        ids = table[_spread(first[closed], n)]
         word_ends = np.concatenate([[0], np.cumsum(n)])
         stops = word_ends[at[1:] + np.arange(1, len(at))]
         return ids, np.diff(np.concatenate([[0], stops]))
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of every run of n."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -189,9 +239,7 @@ class Block:
             return np.zeros(0, np.uint32)
         lo, hi = int(np.searchsorted(self._places, start, "right")) - 1, int(np.searchsorted(self._places, stop, "left"))
         part = self.symbols[lo:hi]
-        n = self.lengths[part]
-        at = np.repeat(self.first[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self._spelled()[at][start - int(self._places[lo]) : stop - int(self._places[lo])]
+        return self._spelled()[_spread(self.first[part], self.lengths[part])][start - int(self._places[lo]) : stop - int(self._places[lo])]
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2) -> None:
@@ -221,7 +269,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2) -> N
 
         for batch in batches:
             texts = strings(batch.column(1))
-            for lo, hi in slices(texts, 1 << 21):
+            for lo, hi in slices(texts, 1 << 22):
                 got, n = coder.encode(texts.slice(lo, hi - lo), end)
                 ids.append(got), counts.append(n), owners.append(batch.column(0).slice(lo, hi - lo))
                 held += len(got)
