@@ -13,9 +13,7 @@ from pyspark.sql import types as T
 
 # Label columns looked for, in this order.
 CLUSTER_COLUMNS = ["leiden", "louvain", "clusters", "cluster"]
-ANNOTATION_COLUMNS = [
-    "annot", "cell_type", "celltype", "cell_types", "annotation", "leiden", "louvain", "cluster", "clusters",
-]
+ANNOTATION_COLUMNS = ["annot", "cell_type", "celltype", "cluster", "celltypes_v2"]
 
 
 def safe_div(num: Column, den: Column, default: float | None = 0.0) -> Column:
@@ -44,14 +42,16 @@ def shifted_log(value: Column, shift: float = 0.0) -> Column:
 
 
 def resolve_column(df: DataFrame, requested: str | None, candidates: Sequence[str] = CLUSTER_COLUMNS) -> str:
-    """The requested column when present, else the first candidate that is."""
+    """The requested column, which must be present; without a request the first candidate that is."""
     names = df.columns
-    if requested and requested in names:
+    if requested is not None:
+        if requested not in names:
+            raise ValueError(f"no column {requested} among {names}")
         return requested
     for c in candidates:
         if c in names:
             return c
-    raise ValueError(f"none of {[requested, *candidates]} among {names}")
+    raise ValueError(f"none of {list(candidates)} among {names}")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -9,14 +9,24 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.ranks import row_index
+from panelweave.session import pin
+
 
 def cluster_to_n(edges: DataFrame, n: int, max_iter: int = 20) -> DataFrame:
     """Exactly ``n`` clusters of a neighbour graph (power iteration on similarities)."""
-    sim = edges.select(
-        F.least("cell_id", "neighbor").alias("src"), F.greatest("cell_id", "neighbor").alias("dst"), (1.0 / (1.0 + F.col("dist"))).alias("weight")
+    edges = pin(edges.select("cell_id", "neighbor", "dist"))
+    # The solver wants integer ids; ids of any type are numbered and mapped back.
+    nodes = pin(edges.select(F.explode(F.array("cell_id", "neighbor")).alias("_id")).distinct())
+    nodes = pin(row_index(nodes, [], F.col("_id"), "_no"))
+    ends = edges.join(nodes.select(F.col("_id").alias("cell_id"), F.col("_no").alias("_a")), "cell_id").join(
+        nodes.select(F.col("_id").alias("neighbor"), F.col("_no").alias("_b")), "neighbor")
+    sim = ends.select(
+        F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"), (1.0 / (1.0 + F.col("dist"))).alias("weight")
     ).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     pic = PowerIterationClustering(k=n, maxIter=max_iter, initMode="degree", weightCol="weight")
-    return pic.assignClusters(sim).select(F.col("id").alias("cell_id"), F.col("cluster").cast("string").alias("cluster"), F.lit(n).alias("n_clusters"))
+    return pic.assignClusters(sim).join(nodes, F.col("id") == F.col("_no")).select(
+        F.col("_id").alias("cell_id"), F.col("cluster").cast("string").alias("cluster"), F.lit(n).alias("n_clusters"))
 
 
 def kmeans_clusters(vecs: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, float]:
@@ -62,7 +72,7 @@ def select_k(metrics: DataFrame, method: str = "elbow") -> DataFrame:
 def kmeans_elbow(vecs: DataFrame, k_min: int = 1, k_max: int = 10, default: int = 3, min_size: int = 5, seed: int = 42) -> tuple[int, DataFrame]:
     """K at the knee of the inertia curve, lowered until every cluster has ``min_size`` cells."""
     spark = vecs.sparkSession
-    data = vecs.persist()
+    data = pin(vecs)
     runs = {k: kmeans_clusters(data, k, seed) for k in range(max(2, k_min), k_max + 1)}
     curve = [(k, c) for k, (_, c) in runs.items()]
     if k_min <= 1:
@@ -76,7 +86,7 @@ def kmeans_elbow(vecs: DataFrame, k_min: int = 1, k_max: int = 10, default: int
         if labels.groupBy("cluster").count().agg(F.min("count")).first()[0] >= min_size:
             return k, labels
         k -= 1
-    return 1, vecs.select("cell_id", F.lit("0").alias("cluster"))
+    return 1, data.select("cell_id", F.lit("0").alias("cluster"))
 
 
 def component_clusters(usage: DataFrame) -> DataFrame:

@@ -45,7 +45,8 @@ def pack(expr: DataFrame, cells: DataFrame, genes: DataFrame, scope: str | None
     sc = F.col(scope) if scope else F.lit("global")
     who = cells.select("cell_id", F.coalesce(sc.cast("string"), F.lit("null")).alias("scope"))
     sizes = {r.scope: r.n for r in who.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).collect() if r.n >= min_cells}
-    index = expr.sparkSession.createDataFrame([(g, i) for i, g in enumerate(names)], "gene string, idx int")
+    # Written, so that its size is known: the facts meet it without being shuffled by gene.
+    index = pin(expr.sparkSession.createDataFrame([(g, i) for i, g in enumerate(names)], "gene string, idx int"))
     e = expr.filter(F.col(value) != 0).select("cell_id", "gene", F.col(value).cast("double").alias("v")).join(index, "gene")
     rows = e.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("x"))
     rows = rows.join(who, "cell_id").filter(F.col("scope").isin(list(sizes)))

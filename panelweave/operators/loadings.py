@@ -40,7 +40,9 @@ def pool_expression_filter(pool: DataFrame, means: DataFrame, per_celltype: bool
     and cell types without any means are left alone.
     """
     if not per_celltype:
-        m = means.groupBy("gene").agg(F.avg("mean_expr").alias("_m"))
+        # A type without a row for the gene has mean zero there.
+        types = means.agg(F.count_distinct("celltype")).scalar()
+        m = means.groupBy("gene").agg(F.sum("mean_expr").alias("_s")).select("gene", (F.col("_s") / types).alias("_m"))
         return pool.join(m, "gene", "left").filter(F.coalesce("_m", F.lit(0.0)).between(lo, hi)).drop("_m")
     m = means.select(F.col("celltype").alias("scope"), "gene", F.col("mean_expr").alias("_m"))
     known = means.select(F.col("celltype").alias("scope")).distinct().withColumn("_k", F.lit(True))

@@ -80,13 +80,19 @@ def reconstruction_metrics(truth: DataFrame, pred: DataFrame, cells: DataFrame,
     return pair_metrics(sums, F.col("n_cells") * F.col("n_genes"), [group, "n_cells", "n_genes"])
 
 
-def spearman(truth: DataFrame, pred: DataFrame, n: Column, by: str = "gene", sample_rate: int = SAMPLE_RATE) -> DataFrame:
-    """Rank correlation per gene (``n`` cells) or per cell (``n`` genes), average ranks, zeros included."""
+def spearman(truth: DataFrame, pred: DataFrame, n: Column | DataFrame, by: str = "gene", sample_rate: int = SAMPLE_RATE) -> DataFrame:
+    """Rank correlation per gene (``n`` cells) or per cell (``n`` genes), average ranks, zeros included.
+
+    ``n`` is one number for all keys, or a table of ``by`` and the key's number.
+    """
     # One pass over the facts; everything after works on distinct (x, y) with counts.
     pairs = pin(paired(truth, pred).filter((F.col("x") != 0) | (F.col("y") != 0)).groupBy(by, "x", "y").agg(
         F.count(F.lit(1)).alias("c")
     ))
     stored = pairs.groupBy(by).agg(F.sum("c").alias("stored"))
+    if isinstance(n, DataFrame):
+        own = next(c for c in n.columns if c != by)
+        stored, n = stored.join(n, by), F.col(own)
     both_zero = stored.select(by, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (n - F.col("stored")).alias("c")).filter(F.col("c") > 0)
     pairs = pairs.unionByName(both_zero)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.session import pin
+
 # Stages in order, and the texts written to the report.
 STAGES = ["initial", "blacklist", "force", "xenium", "odt"]
 REASONS = {"blacklist": "blacklist_filter", "force": "replaced_by_force_include",
@@ -66,14 +68,22 @@ def provenance(events: DataFrame, strategy: str) -> DataFrame:
     )
 
 
-def inherit_celltype(prov: DataFrame, celltypes: DataFrame, depth: int = 3) -> DataFrame:
-    """Add celltype; a replacement takes the type of the gene it replaced, through up to ``depth`` links."""
-    p = prov.join(celltypes.select("gene", "celltype"), "gene", "left")
-    p = p.withColumn("_for", F.coalesce("blacklist_replacement_for", "xenium_replacement_for", "odt_replacement_for"))
-    for _ in range(depth):
-        up = p.select(F.col("gene").alias("_g"), F.col("celltype").alias("_ct"))
-        p = p.join(up, F.col("_for") == F.col("_g"), "left").withColumn("celltype", F.coalesce("celltype", "_ct")).drop("_g", "_ct")
-    return p.drop("_for")
+def inherit_celltype(prov: DataFrame, celltypes: DataFrame) -> DataFrame:
+    """Add celltype; a replacement takes the type of the nearest gene with one along its chain of replaced genes.
+
+    Every round a gene without type looks at the gene it points to, takes that one's type or else points where that one
+    points, so a chain of n links takes log2(n) rounds.  Rings without a type keep null.
+    """
+    prov = pin(prov)
+    link = F.coalesce("blacklist_replacement_for", "xenium_replacement_for", "odt_replacement_for").alias("_for")
+    p = pin(prov.select("gene", link).join(celltypes.select("gene", "celltype"), "gene", "left"))
+    reach, n = 1, p.count()
+    while reach <= n and p.filter("celltype is null and _for is not null").limit(1).count():
+        up = p.select(F.col("gene").alias("_g"), F.col("celltype").alias("_ct"), F.col("_for").alias("_next"))
+        p = pin(p.join(up, F.col("_for") == F.col("_g"), "left").select(
+            "gene", F.coalesce("celltype", "_ct").alias("celltype"), F.when(F.coalesce("celltype", "_ct").isNull(), F.col("_next")).alias("_for")))
+        reach *= 2
+    return prov.join(p.select("gene", "celltype"), "gene", "left")
 
 
 def final_panel(prov: DataFrame) -> DataFrame:

@@ -19,10 +19,8 @@ MIN_GENES_PER_CELL = 100
 MIN_CELLS_PER_GENE = 3
 
 
-def is_raw_counts(expr: DataFrame, value: str = "value", sample: float | None = None) -> DataFrame:
+def is_raw_counts(expr: DataFrame, value: str = "value") -> DataFrame:
     """One row: are all stored values whole numbers within floating tolerance?"""
-    if sample is not None:
-        expr = expr.sample(fraction=sample, seed=0)
     v, r = F.col(value), F.round(F.col(value))
     ok = F.abs(v - r) <= 1e-8 + 1e-5 * F.abs(r)
     return expr.agg(F.coalesce(F.bool_and(F.when(v != 0, ok)), F.lit(True)).alias("is_raw_counts"))

@@ -101,17 +101,19 @@ def gene_sharing_summary(panel: DataFrame) -> DataFrame:
                  F.max(n).alias("max_celltypes"), (F.sum(n * g) / F.sum(g)).alias("avg_celltypes"))
 
 
-def f1_matrix(report: DataFrame, datasets: Sequence[str]) -> DataFrame:
-    """Cell types by datasets of F1, rows ordered by their mean."""
-    wide = report.groupBy("celltype").pivot("dataset", list(datasets)).agg(F.first("f1", ignorenulls=True))
+def f1_matrix(report: DataFrame, datasets: Sequence[str], key: str | None = None) -> DataFrame:
+    """Cell types by datasets of F1, rows ordered by their mean; of several values that of the smallest ``key``, else the smallest."""
+    order = F.struct(*([key] if key else []), "f1")
+    wide = report.groupBy("celltype").pivot("dataset", list(datasets)).agg(F.min_by("f1", F.when(F.col("f1").isNotNull(), order)))
     total = sum((F.coalesce(F.col(f"`{d}`"), F.lit(0.0)) for d in datasets), F.lit(0.0))
     have = sum((F.when(F.col(f"`{d}`").isNotNull(), 1).otherwise(0) for d in datasets), F.lit(0))
     return wide.withColumn("row_mean", F.when(have > 0, total / have)).orderBy(F.desc("row_mean"), "celltype")
 
 
-def preservation_matrix(scores: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """Datasets by neighbourhood size of the preservation score."""
-    return scores.groupBy("dataset").pivot("k", [str(k) for k in ks]).agg(F.first("preservation_score", ignorenulls=True))
+def preservation_matrix(scores: DataFrame, ks: Sequence[int], key: str | None = None) -> DataFrame:
+    """Datasets by neighbourhood size of the preservation score; of several values that of the smallest ``key``, else the smallest."""
+    order = F.struct(*([key] if key else []), "preservation_score")
+    return scores.groupBy("dataset").pivot("k", [str(k) for k in ks]).agg(F.min_by("preservation_score", F.when(F.col("preservation_score").isNotNull(), order)))
 
 
 def results_reshape(df: DataFrame, metrics: Sequence[str]) -> DataFrame:

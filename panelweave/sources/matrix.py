@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.schema import ExprData
+from panelweave.session import pin
 from panelweave.sources.text import csv_fields, line_numbers, raw_lines
 
 
@@ -51,12 +52,15 @@ def read_mtx_folder(spark: SparkSession, folder: str, matrix: str = "matrix.mtx.
 
 def read_wide_matrix(spark: SparkSession, matrix: str, coordinates: str | None = None) -> ExprData:
     """A gene-by-cell CSV, transposed; coordinates (columns 1 and 2) belong to the cells in column order."""
-    wide = spark.read.csv(matrix, header=True)
-    gene, *cells = wide.columns
-    long = wide.unpivot([gene], cells, "cell_id", "value").select("cell_id", F.col(gene).alias("gene"), F.col("value").cast("double").alias("value"))
-    names = spark.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in cells])).alias("i", "cell_id"))
+    lines = line_numbers(raw_lines(spark, matrix)).filter("trim(line) <> ''").withColumn("f", csv_fields(F.col("line")))
+    rest = F.slice("f", F.lit(2), F.greatest(F.size("f") - 1, F.lit(0)))
+    # One row per cell and per stored value: neither the number of columns nor their names matter to the plan.
+    names = pin(lines.filter("line_no = 0").select(F.posexplode(rest).alias("i", "cell_id")))
+    body = lines.filter("line_no > 0")
+    values = body.select(F.element_at("f", 1).alias("gene"), F.posexplode(rest).alias("i", "v")).select("gene", "i", F.col("v").try_cast("double").alias("value"))
+    long = values.filter("value <> 0").join(names, "i").select("cell_id", "gene", "value")
     if coordinates:
         n = line_numbers(raw_lines(spark, coordinates)).filter("line_no > 0 and trim(line) <> ''").withColumn("f", csv_fields(F.col("line")))
         xy = n.select((F.col("line_no") - 1).alias("i"), F.get("f", F.lit(1)).cast("double").alias("x"), F.get("f", F.lit(2)).cast("double").alias("y"))
         names = names.join(xy, "i", "left")
-    return ExprData(long.filter("value <> 0"), names.drop("i"), wide.select(F.col(gene).alias("gene")))
+    return ExprData(long, names.drop("i"), body.select(F.element_at("f", 1).alias("gene")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A comma outside double quotes.
-_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# A field with the comma before it: quoted parts and others, in one pass over the line.
+_FIELD = ',((?:"[^"]*"|[^",])*+)'
 
 
 def raw_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
@@ -33,7 +33,9 @@ def line_numbers(lines: DataFrame) -> DataFrame:
 
 
 def csv_fields(line: Column) -> Column:
-    return F.transform(F.split(line, _COMMA, -1), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))
+    plain = F.split(line, ",", -1)
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), 1)
+    return F.transform(F.when(line.contains('"'), quoted).otherwise(plain), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))
 
 
 def csv_rows(spark: SparkSession, path: str | list[str], glob: str = "*.csv", recursive: bool = True) -> DataFrame:

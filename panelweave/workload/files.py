@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelweave.functions.ranks import row_index
 from panelweave.operators import panels as pn
 from panelweave.operators.markers import bh_adjust
 from panelweave.session import fresh_path, pin
@@ -12,6 +13,7 @@ from panelweave.sources import panels as sp
 from panelweave.sources import results as rs
 from panelweave.workload.markers import DEG, deg_table
 from panelweave.workload.panels import FILL_CTE
+from panelweave.workload.summaries import DATASETS
 from panelweave.workload.standins import EVENT_METRICS, LIN, PART_PANEL, Query, event_metrics, lin, part_panel, r6, table
 
 
@@ -19,10 +21,47 @@ def expr_tables(spark, sf):
     path = fresh_path(spark, "expr")
     mx.write_expr(lin(spark, sf), path)
     d = mx.read_expr(spark, path)
-    return d.expr.join(d.cells, "cell_id").filter("gene >= 'Brand#2'").groupBy("gene", "celltype").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return d.expr.join(d.cells, "cell_id").groupBy("gene", "celltype").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-EXPR_TABLES = f"WITH {LIN} SELECT gene, celltype, COUNT(*) AS n, SUM(value) AS total FROM expr JOIN cells USING (cell_id) WHERE gene >= 'Brand#2' GROUP BY 1, 2"
+EXPR_TABLES = f"WITH {LIN} SELECT gene, celltype, COUNT(*) AS n, SUM(value) AS total FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2"
+
+
+def wide_matrix(spark, sf):
+    """The embeddings as a gene-by-cell CSV with dotted cell names."""
+    path = fresh_path(spark, "wide")
+    e = table(spark, sf, "embeddings")
+    names = F.transform(F.array_sort(F.collect_list("vec_id")), lambda i: F.concat(F.lit("c."), i.cast("string")))
+    head = e.agg(F.lit(-1).alias("g"), F.concat(F.lit("gene,"), F.array_join(names, ",")).alias("value"))
+    v = e.select("vec_id", F.posexplode("embedding").alias("g", "x"))
+    row = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.col("x").cast("double").alias("x")))), lambda s: s["x"].cast("string"))
+    body = v.groupBy("g").agg(F.concat(F.lit("g"), F.col("g").cast("string"), F.lit(","), F.array_join(row, ",")).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("g").select("value").write.text(path)
+    d = mx.read_wide_matrix(spark, path)
+    return d.expr.withColumn("cell_id", F.regexp_extract("cell_id", r"c\.(\d+)", 1).cast("long")).select("cell_id", "gene", r6("value").alias("value"))
+
+
+WIDE = "SELECT vec_id AS cell_id, 'g' || (i - 1) AS gene, round(CAST(x AS DOUBLE), 6) AS value FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE x <> 0"
+
+
+def mtx_folder(spark, sf):
+    """The lines of orders as coordinates with barcodes and features by line."""
+    root = fresh_path(spark, "mtx")
+    d = lin(spark, sf)
+    b = pin(row_index(d.cells.select("cell_id").distinct(), [], F.col("cell_id"), "ci"))
+    g = pin(row_index(d.genes.select("gene").distinct(), [], F.col("gene"), "gi"))
+    e = d.expr.join(b, "cell_id").join(g, "gene")
+    size = e.agg(F.lit(1).alias("o"), F.concat_ws(" ", F.lit(g.count()), F.lit(b.count()), F.count(F.lit(1))).alias("value"))
+    note = spark.range(1).select(F.lit(0).alias("o"), F.lit("%%MatrixMarket matrix coordinate real general").alias("value"))
+    rows = e.select(F.lit(2).alias("o"), F.concat_ws(" ", "gi", "ci", "value").alias("value"))
+    note.unionByName(size).unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{root}/matrix.mtx.gz")
+    b.coalesce(1).sortWithinPartitions("ci").select(F.col("cell_id").cast("string").alias("value")).write.text(f"{root}/barcodes.tsv.gz")
+    g.coalesce(1).sortWithinPartitions("gi").select(F.concat_ws("\t", "gene", F.lower("gene")).alias("value")).write.text(f"{root}/features.tsv.gz")
+    out = mx.read_mtx_folder(spark, root)
+    return out.expr.join(out.genes, "gene").select(F.col("cell_id").cast("long").alias("cell_id"), "gene", "symbol", "value")
+
+
+MTX = f"WITH {LIN} SELECT cell_id, gene, lower(gene) AS symbol, value FROM expr WHERE value <> 0"
 
 
 def ranked(spark, sf):
@@ -46,19 +85,19 @@ SUMMARY = f"""WITH {FILL_CTE} SELECT 'deg_only' AS strategy, 900 AS target_size,
 def per_dataset(spark, sf):
     path = fresh_path(spark, "datasets")
     rs.write_per_dataset(event_metrics(spark, sf), path)
-    return spark.read.parquet(path).filter("dataset = 'view'").groupBy("dataset", "celltype").agg(r6(F.avg("mse")).alias("mse"), F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).groupBy("dataset", "celltype").agg(r6(F.avg("mse")).alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
 def reconstruction(spark, sf):
     path = fresh_path(spark, "recon")
-    m = event_metrics(spark, sf).filter("fold = 0").withColumn("_private", F.lit(1))
+    m = event_metrics(spark, sf).withColumn("_private", F.lit(1))
     glob = m.groupBy("dataset").agg(F.avg("mse").alias("mse"))
     rs.write_reconstruction(glob, m.select("dataset", "celltype", "mse", "_private"), glob, path)
     d = spark.read.csv(path + "/per_celltype", header=True)
     return d.select("dataset", "celltype", r6(F.col("mse")).alias("mse"))
 
 
-RECON = f"WITH {EVENT_METRICS} SELECT dataset, celltype, round(mse, 6) AS mse FROM metrics WHERE fold = 0 UNION ALL SELECT dataset, '__summary__', round(AVG(mse), 6) FROM metrics WHERE fold = 0 GROUP BY 1"
+RECON = f"WITH {EVENT_METRICS} SELECT dataset, celltype, round(mse, 6) AS mse FROM metrics UNION ALL SELECT dataset, '__summary__', round(AVG(mse), 6) FROM metrics GROUP BY 1"
 
 
 def deg_results(spark, sf):
@@ -97,7 +136,7 @@ UNION ALL SELECT 'Scanpy-Filter_All-Genes_rf_deg_100_DEG-based-filling', 'P' ||
 def k_varying(spark, sf):
     root = fresh_path(spark, "kvar")
     m = event_metrics(spark, sf).select(F.concat(F.lit("k_"), F.lpad(F.col("fold").cast("string"), 2, "0")).alias("k"), "dataset", "celltype", F.col("mse").alias("macro_mse"), F.col("expvar").alias("macro_expvar"))
-    for i, ds in enumerate(("click", "view")):
+    for i, ds in enumerate(DATASETS):
         for k in range(5):
             d = m.filter((F.col("dataset") == ds) & (F.col("k") == f"k_0{k}"))
             d.select(F.lit(ds).alias("selection_method"), F.lit("nmf").alias("eval_method"), "macro_mse", "macro_expvar").write.csv(f"{root}/k_0{k}/iter_{i}/res", header=True)
@@ -105,7 +144,7 @@ def k_varying(spark, sf):
     return d.groupBy("k_value", "iteration", "selection_method").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("macro_mse")).alias("mse"))
 
 
-K_VARYING = f"WITH {EVENT_METRICS} SELECT fold AS k_value, CASE dataset WHEN 'click' THEN 0 ELSE 1 END AS iteration, dataset AS selection_method, COUNT(*) AS n, round(AVG(mse), 6) AS mse FROM metrics WHERE dataset IN ('click', 'view') GROUP BY 1, 2, 3"
+K_VARYING = f"WITH {EVENT_METRICS} SELECT fold AS k_value, list_position(['click', 'error', 'purchase', 'signup', 'view'], dataset) - 1 AS iteration, dataset AS selection_method, COUNT(*) AS n, round(AVG(mse), 6) AS mse FROM metrics GROUP BY 1, 2, 3"
 
 def gene_lists(spark, sf):
     """Four header styles, written from the part table and read by the same reader."""
@@ -157,20 +196,20 @@ STABILITY = "SELECT 'P' || l_partkey AS gene, COUNT(DISTINCT l_orderkey % 4) AS
 def variability(spark, sf):
     root = fresh_path(spark, "variability")
     m = event_metrics(spark, sf)
-    for ds in ("click", "view"):
+    for ds in DATASETS:
         m.filter(F.col("dataset") == ds).select(F.lit("per_celltype").alias("analysis_type"), "celltype", "fold", "mse").write.csv(f"{root}/{ds}", header=True)
     return rs.read_variability(spark, root, ["mse"]).select("dataset", "celltype", "fold", r6("mse").alias("mse"))
 
 
-VARIABILITY = f"WITH {EVENT_METRICS} SELECT dataset, celltype, fold, round(mse, 6) AS mse FROM metrics WHERE dataset IN ('click', 'view')"
+VARIABILITY = f"WITH {EVENT_METRICS} SELECT dataset, celltype, fold, round(mse, 6) AS mse FROM metrics"
 
 
 QUERIES = [
     Query("read_gene_list", gene_lists, GENE_LISTS), Query("read_10x_panel", vendor_panel, "SELECT 'P' || p_partkey AS gene FROM part"), Query("read_external_panels", external, EXTERNAL),
     Query("read_stability", stability, STABILITY), Query("read_variability", variability, VARIABILITY),
-    Query("read_write_expr", expr_tables, EXPR_TABLES), Query("write_ranked_list", ranked, f"WITH {FILL_CTE} SELECT gene, final_selection AS in_panel, rank FROM done WHERE coalesce(passed_xenium, true)"),
+    Query("read_write_expr", expr_tables, EXPR_TABLES), Query("read_wide_matrix", wide_matrix, WIDE), Query("read_mtx_folder", mtx_folder, MTX), Query("write_ranked_list", ranked, f"WITH {FILL_CTE} SELECT gene, final_selection AS in_panel, rank FROM done WHERE coalesce(passed_xenium, true)"),
     Query("write_summary_json", summary, SUMMARY),
-    Query("write_per_dataset", per_dataset, f"WITH {EVENT_METRICS} SELECT dataset, celltype, round(AVG(mse), 6) AS mse, COUNT(*) AS n FROM metrics WHERE dataset = 'view' GROUP BY 1, 2"),
+    Query("write_per_dataset", per_dataset, f"WITH {EVENT_METRICS} SELECT dataset, celltype, round(AVG(mse), 6) AS mse, COUNT(*) AS n FROM metrics GROUP BY 1, 2"),
     Query("write_reconstruction", reconstruction, RECON), Query("write_deg_results", deg_results, f'WITH {DEG} SELECT "group", COUNT(*) AS n FROM adj WHERE pvals_adj <= 0.15 GROUP BY 1'),
     Query("load_cached_panel", cached, f"WITH {PART_PANEL} SELECT gene, rank FROM panel WHERE rank <= 120"),
     Query("read_panels", panels_dir, PANELS_DIR), Query("read_k_varying", k_varying, K_VARYING),

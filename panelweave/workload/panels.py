@@ -40,7 +40,7 @@ def pool_filter(spark, sf):
 
 
 POOL_FILTER = f"""WITH {LD}, {POOL.format(n=30)}, {MEANS}, {LDG.replace('loadings AS', 'gload AS')}, {POOL.format(n=100).replace('pool AS', 'gpool AS').replace('FROM loadings', 'FROM gload')},
-gm AS (SELECT gene, AVG(mean_expr) AS m FROM means GROUP BY gene)
+gm AS (SELECT gene, SUM(mean_expr) / (SELECT COUNT(DISTINCT celltype) FROM means) AS m FROM means GROUP BY gene)
 SELECT scope, factor, pool.gene FROM pool LEFT JOIN means ON celltype = scope AND means.gene = pool.gene WHERE scope NOT IN (SELECT celltype FROM means) OR coalesce(mean_expr, 0) BETWEEN 0.1 AND 100
 UNION ALL SELECT scope, factor, gene FROM gpool LEFT JOIN gm USING (gene) WHERE coalesce(m, 0) BETWEEN 0.1 AND 100"""
 
@@ -266,7 +266,7 @@ def stage_list(spark, sf):
 
 
 def details(spark, sf):
-    final = part_panel(spark, sf).filter("rank <= 700").select("gene").unionByName(deg_table(spark, sf).select("gene"))
+    final = part_panel(spark, sf).select("gene").unionByName(deg_table(spark, sf).select("gene"))
     t = table(spark, sf, "part")
     cons = t.select(F.concat(F.lit("P"), "p_partkey").alias("gene"), (F.col("p_size") / 10).alias("final_score"), F.col("p_retailprice").alias("avg_importance"),
                     (F.col("p_retailprice") * 2).alias("max_importance"), (F.col("p_size") / 50).alias("avg_f1_score"))
@@ -274,7 +274,7 @@ def details(spark, sf):
     return d.withColumns({c: r6(c) for c in ("final_score", "avg_importance", "max_importance", "avg_f1_score", "pval_adj")})
 
 
-DETAILS = f"""WITH {PART_PANEL}, {DEG}, {LDG}, fin AS (SELECT gene FROM panel WHERE rank <= 700 UNION SELECT gene FROM deg),
+DETAILS = f"""WITH {PART_PANEL}, {DEG}, {LDG}, fin AS (SELECT gene FROM panel UNION SELECT gene FROM deg),
 l AS (SELECT gene, factor, loading FROM loadings QUALIFY row_number() OVER (PARTITION BY gene ORDER BY abs(loading) DESC, factor) = 1),
 g AS (SELECT * FROM adj QUALIFY row_number() OVER (PARTITION BY gene ORDER BY pvals_adj, "group") = 1)
 SELECT fin.gene, factor AS best_component, loading AS best_weight, round(p_size / 10, 6) AS final_score, round(p_retailprice, 6) AS avg_importance, round(p_retailprice * 2, 6) AS max_importance,

@@ -168,11 +168,11 @@ SELECT panel, COUNT(*) AS n, COUNT(DISTINCT cell_id) AS n_cells, round(SUM(ln(1
 
 def families(spark, sf):
     m = event_metrics(spark, sf)
-    d = st.compare_result_families(m.filter("fold < 4"), m.filter("not skipped"), "mse", ["dataset", "celltype"], ("reconstruction", "mapping"))
+    d = st.compare_result_families(m, m.filter("not skipped"), "mse", ["dataset", "celltype"], ("reconstruction", "mapping"))
     return d.select("dataset", "celltype", *[r6(c).alias(c) for c in d.columns[2:]])
 
 
-FAMILIES = f"""WITH {EVENT_METRICS}, a AS (SELECT dataset, celltype, AVG(mse) AS m, stddev_samp(mse) AS s FROM metrics WHERE fold < 4 GROUP BY 1, 2),
+FAMILIES = f"""WITH {EVENT_METRICS}, a AS (SELECT dataset, celltype, AVG(mse) AS m, stddev_samp(mse) AS s FROM metrics GROUP BY 1, 2),
 b AS (SELECT dataset, celltype, AVG(mse) AS m, stddev_samp(mse) AS s FROM metrics WHERE NOT skipped GROUP BY 1, 2)
 SELECT dataset, celltype, round(a.m, 6) AS reconstruction_mean, round(a.s, 6) AS reconstruction_std, round(b.m, 6) AS mapping_mean, round(b.s, 6) AS mapping_std FROM a JOIN b USING (dataset, celltype)"""
 

@@ -100,21 +100,21 @@ DATASETS = ["click", "error", "purchase", "signup", "view"]
 
 
 def f1(spark, sf):
-    m = event_metrics(spark, sf).filter("fold = 1").select("celltype", "dataset", F.col("expvar").alias("f1"))
-    d = su.f1_matrix(m, DATASETS)
+    m = event_metrics(spark, sf).select("celltype", "dataset", "fold", F.col("expvar").alias("f1"))
+    d = su.f1_matrix(m, DATASETS, "fold")
     return d.select("celltype", *[r6(c).alias(c) for c in [*DATASETS, "row_mean"]])
 
 
-F1 = f"WITH {EVENT_METRICS} SELECT celltype, " + ", ".join(f"round(MAX(expvar) FILTER (dataset = '{d}'), 6) AS {d}" for d in DATASETS) + ", round(AVG(expvar), 6) AS row_mean FROM metrics WHERE fold = 1 GROUP BY 1"
+F1 = f"WITH {EVENT_METRICS}, f AS (SELECT celltype, dataset, arg_min(expvar, fold) AS f1 FROM metrics WHERE expvar IS NOT NULL GROUP BY 1, 2) SELECT celltype, " + ", ".join(f"round(MAX(f1) FILTER (dataset = '{d}'), 6) AS {d}" for d in DATASETS) + ", round(AVG(f1), 6) AS row_mean FROM f GROUP BY 1"
 
 
 def preservation(spark, sf):
-    m = event_metrics(spark, sf).filter("celltype = 'ct2'").select("dataset", F.col("fold").alias("k"), F.col("expvar").alias("preservation_score"))
-    d = su.preservation_matrix(m, [0, 1, 2, 3, 4])
+    m = event_metrics(spark, sf).select("dataset", "celltype", F.col("fold").alias("k"), F.col("expvar").alias("preservation_score"))
+    d = su.preservation_matrix(m, [0, 1, 2, 3, 4], "celltype")
     return d.select("dataset", *[r6(F.col(f"`{k}`")).alias(f"k{k}") for k in range(5)])
 
 
-PRESERVATION = f"WITH {EVENT_METRICS} SELECT dataset, " + ", ".join(f"round(MAX(expvar) FILTER (fold = {k}), 6) AS k{k}" for k in range(5)) + " FROM metrics WHERE celltype = 'ct2' GROUP BY 1"
+PRESERVATION = f"WITH {EVENT_METRICS} SELECT dataset, " + ", ".join(f"round(arg_min(expvar, celltype) FILTER (fold = {k} AND expvar IS NOT NULL), 6) AS k{k}" for k in range(5)) + " FROM metrics GROUP BY 1"
 
 
 def _typed(spark, sf):
@@ -140,12 +140,15 @@ RESULTS = RESHAPE.split("SELECT dataset, CASE")[0] + "SELECT dataset, metric, ro
 
 
 def lookup(spark, sf):
-    m = event_metrics(spark, sf).filter("dataset = 'view'").withColumn("iteration", F.when(F.col("fold") == 0, "summary_mean").when((F.col("fold") == 1) & (F.col("celltype") != "ct4"), "summary_std").otherwise("x"))
-    d = su.mean_std_lookup(m, "mse")
-    return d.select("celltype", r6("mean").alias("mean"), r6("std").alias("std"))
+    m = event_metrics(spark, sf).withColumn("iteration", F.when(F.col("fold") == 0, "summary_mean").when((F.col("fold") == 1) & (F.col("celltype") != "ct4"), "summary_std").otherwise("x"))
+    out = None
+    for ds in DATASETS:
+        d = su.mean_std_lookup(m.filter(F.col("dataset") == ds), "mse").select(F.lit(ds).alias("dataset"), "celltype", r6("mean").alias("mean"), r6("std").alias("std"))
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
-LOOKUP = f"WITH {EVENT_METRICS}, v AS (SELECT * FROM metrics WHERE dataset = 'view') SELECT m.celltype, round(m.mse, 6) AS mean, round(coalesce(s.mse, 0), 6) AS std FROM v m LEFT JOIN v s ON s.celltype = m.celltype AND s.fold = 1 AND s.celltype <> 'ct4' WHERE m.fold = 0"
+LOOKUP = f"WITH {EVENT_METRICS}, v AS (SELECT * FROM metrics) SELECT m.dataset, m.celltype, round(m.mse, 6) AS mean, round(coalesce(s.mse, 0), 6) AS std FROM v m LEFT JOIN v s ON s.dataset = m.dataset AND s.celltype = m.celltype AND s.fold = 1 AND s.celltype <> 'ct4' WHERE m.fold = 0"
 
 
 def methods(spark, sf):

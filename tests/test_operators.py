@@ -108,7 +108,9 @@ def test_bounds_and_errors(spark, data):
         se.select_random(data.genes, 5).collect()
     with pytest.raises(ValueError):
         st.shared_genes(data.genes, data.genes.filter("false"), required=True)
-    assert resolve_column(data.cells.withColumnRenamed("celltype", "louvain"), "x") == "louvain"
+    assert resolve_column(data.cells.withColumnRenamed("celltype", "louvain"), None) == "louvain"
+    with pytest.raises(ValueError):
+        resolve_column(data.cells, "x")
 
 
 def test_empty_panel(spark, data):
@@ -149,3 +151,22 @@ def test_single_celltype(spark):
                  spark.createDataFrame([(0, "only"), (1, "only")], "cell_id long, celltype string"), spark.createDataFrame([("g",)], "gene string"))
     assert mk.rank_genes_wilcoxon(d, p_values=False).first()["scores"] == 0.0
     assert mk.rank_genes_ttest(d).count() == 0
+
+
+def test_celltype_travels_along_long_chains(spark):
+    """Six links, a ring, and a gene whose own type wins."""
+    from panelweave.operators.provenance import inherit_celltype
+
+    rows = [(f"p{i}", f"p{i - 1}" if i else None) for i in range(7)] + [("r1", "r2"), ("r2", "r1"), ("own", "p6")]
+    prov = spark.createDataFrame([(g, None, f, None) for g, f in rows], "gene string, blacklist_replacement_for string, xenium_replacement_for string, odt_replacement_for string")
+    types = spark.createDataFrame([("p0", "T"), ("own", "U")], "gene string, celltype string")
+    got = {r.gene: r.celltype for r in inherit_celltype(prov, types).collect()}
+    assert got == {f"p{i}": "T" for i in range(7)} | {"r1": None, "r2": None, "own": "U"}
+
+
+def test_clusters_of_text_ids(spark):
+    from panelweave.operators.clustering import cluster_to_n
+
+    edges = [(f"{g}{i}", f"{g}{j}", 0.1) for g in "ab" for i in range(8) for j in range(8) if i != j] + [("a0", "b0", 50.0)]
+    out = cluster_to_n(spark.createDataFrame(edges, "cell_id string, neighbor string, dist double"), 2).collect()
+    assert sorted(r.cell_id for r in out) == sorted(f"{g}{i}" for g in "ab" for i in range(8)) and 1 <= len({r.cluster for r in out}) <= 2

@@ -127,3 +127,13 @@ def test_result_trees(spark, tmp_path):
     _write(f"{m}/nmf_100/m.csv", "mse,expvar,n_cells\n1,0.5,10\n3,0.7,30\n")
     x = rs.collect_method_results(spark, m).first()
     assert (x.n_genes, x.macro_mse, x.weighted_mse) == (100, 2.0, 2.5)
+
+
+def test_wide_matrix_takes_any_names_and_many_columns(spark, tmp_path):
+    n = 30_000
+    path = tmp_path / "wide.csv"
+    path.write_text("gene," + ",".join(f"c.{i}-1" for i in range(n)) + "\n" + "g1," + ",".join("1" if i % 1000 == 7 else "0" for i in range(n)) + '\n"g,2",' + ",".join("2.5" if i == n - 1 else "" for i in range(n)) + "\n")
+    d = mx.read_wide_matrix(spark, str(path))
+    assert d.cells.count() == n and sorted(r.gene for r in d.genes.collect()) == ["g,2", "g1"]
+    rows = {(r.cell_id, r.gene): r.value for r in d.expr.collect()}
+    assert rows == {(f"c.{i}-1", "g1"): 1.0 for i in range(7, n, 1000)} | {(f"c.{n - 1}-1", "g,2"): 2.5}
