@@ -23,6 +23,11 @@ from panelweave.session import pin
 MAX_GRAM_GENES = 4096
 MAX_FACTOR_VALUES = 40_000_000
 CHUNK_VALUES = 2_000_000
+#: Genes in one row of a partial factor, and groups of tasks that are added up first.
+BLOCK_GENES = 512
+SALTS = 64
+#: Subspace iteration ends when the residual of every component is below this part of the largest variance.
+PCA_TOLERANCE = 1e-9
 EPS = 1e-8
 
 
@@ -104,6 +109,25 @@ def solve_usage(h: np.ndarray, row: np.ndarray, idx: np.ndarray, val: np.ndarray
     return w
 
 
+def _few_tasks(cells: DataFrame) -> DataFrame:
+    """The packed cells in about as many tasks as there are cores, since every task returns gene-sized sums."""
+    return cells.coalesce(max(1, 2 * cells.sparkSession.sparkContext.defaultParallelism))
+
+
+def _add_up(part: DataFrame, keys: list[str]) -> DataFrame:
+    """Element-wise sums of the arrays ``v`` per key, in two levels: first within groups of tasks, then across them."""
+
+    def plus(arrays):
+        rest = F.slice(arrays, F.lit(2), F.greatest(F.size(arrays) - 1, F.lit(0)))
+        return F.aggregate(rest, F.element_at(arrays, 1), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+
+    def level(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.groupBy(*by).agg(F.collect_list("v").alias("_vs")).select(*by, plus(F.col("_vs")).alias("v"))
+
+    salted = part.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return level(level(salted, [*keys, "_salt"]).drop("_salt"), keys)
+
+
 def with_scopes(p: Packed, scopes: list[str]) -> Packed:
     """The same packed cells, some scopes only."""
     return Packed(p.cells.filter(F.col("scope").isin(scopes)), p.genes, {s: n for s, n in p.n_cells.items() if s in set(scopes)})
@@ -133,9 +157,12 @@ def _pass(p: Packed, hs: dict[tuple[str, str], np.ndarray], inner: int, loss: st
                 if sc != scope:
                     continue
                 w = solve_usage(h, row, idx, val, n, inner, loss, keep=keep.get((run, sc)))
-                a = acc.setdefault((run, sc), [np.zeros_like(h), np.zeros((h.shape[1], h.shape[1])), np.zeros(h.shape[1]), np.zeros(h.shape[1]), 0.0, 0.0])
+                a = acc.setdefault((run, sc), [np.zeros_like(h), np.zeros((h.shape[1], h.shape[1])), np.zeros(h.shape[1]), np.zeros(h.shape[1]), 0.0, 0.0, 0.0])
                 wv, hv = w[row], h[idx]
-                ratio = val if loss == "frobenius" else val / np.maximum((wv * hv).sum(1), EPS)
+                ratio = val
+                if loss != "frobenius":
+                    ratio = val / np.maximum((wv * hv).sum(1), EPS)
+                    a[6] += float((val * np.log(np.maximum(ratio, EPS)) - val).sum())
                 a[0] += _gene_sum(ratio[:, None] * wv, idx, g)
                 a[1] += w.T @ w
                 a[2] += w.sum(0)
@@ -143,31 +170,31 @@ def _pass(p: Packed, hs: dict[tuple[str, str], np.ndarray], inner: int, loss: st
                 a[4] += float((val * val).sum())
                 a[5] += float(val.sum())
         for (run, sc), a in acc.items():
-            hit = np.flatnonzero(a[0].any(1))
-            k = a[0].shape[1]
-            kinds = [("gene", int(i), a[0][i]) for i in hit] + [("ww", int(i), a[1][i]) for i in range(k)]
-            kinds += [("w", 0, a[2]), ("xwh", 0, a[3]), ("x", 0, np.array([a[4], a[5]]))]
+            blocks = [(b, a[0][b * BLOCK_GENES:(b + 1) * BLOCK_GENES]) for b in range(-(-g // BLOCK_GENES))]
+            kinds = [("gene", b, x.ravel()) for b, x in blocks if x.any()] + [("ww", 0, a[1].ravel())]
+            kinds += [("w", 0, a[2]), ("xwh", 0, a[3]), ("x", 0, np.array(a[4:7]))]
             yield pd.DataFrame({"run": run, "scope": sc, "kind": [x[0] for x in kinds], "i": [x[1] for x in kinds], "v": [x[2] for x in kinds]})
 
-    # mapInPandas cannot combine before the shuffle: one task's output is at most
-    # (runs x scopes x genes) rows, whatever the number of cells it read.
-    part = p.cells.mapInPandas(work, "run string, scope string, kind string, i int, v array<double>")
-    summed = part.select("run", "scope", "kind", "i", F.posexplode("v").alias("f", "x")).groupBy("run", "scope", "kind", "i", "f").agg(F.sum("x").alias("x"))
+    # A task returns one row per (run, scope, block of genes), whatever the number of cells it read.
+    part = _few_tasks(p.cells).mapInPandas(work, "run string, scope string, kind string, i int, v array<double>")
+    summed = _add_up(part, ["run", "scope", "kind", "i"])
     out: dict[tuple[str, str], dict] = {}
     for key, h in hs.items():
         k = h.shape[1]
-        out[key] = {"gene": np.zeros((g, k)), "ww": np.zeros((k, k)), "w": np.zeros((1, k)), "xwh": np.zeros((1, k)), "x": np.zeros((1, 2))}
+        out[key] = {"gene": np.zeros((g, k)), "ww": np.zeros((k, k)), "w": np.zeros((1, k)), "xwh": np.zeros((1, k)), "x": np.zeros((1, 3))}
     # Gene-sized result, bounded by MAX_FACTOR_VALUES.
     got = summed.toPandas()
-    for (run, scope, kind), d in got.groupby(["run", "scope", "kind"]):
-        out[(run, scope)][kind][d["i"].to_numpy(), d["f"].to_numpy()] = d["x"].to_numpy()
+    for run, scope, kind, i, v in zip(got["run"], got["scope"], got["kind"], got["i"], got["v"]):
+        to = out[(run, scope)][kind]
+        rows = slice(i * BLOCK_GENES, (i + 1) * BLOCK_GENES) if kind == "gene" else slice(None)
+        to[rows] = np.asarray(v).reshape(to[rows].shape)
     return out
 
 
 def _errors(h: np.ndarray, s: dict, n_cells: int) -> dict:
-    """Frobenius error, mse and explained variance from sums; the dense product is never formed."""
+    """Squared error, divergence (for that loss), mse and explained variance from sums; the dense product is never formed."""
     n = float(n_cells) * h.shape[0]
-    x2, x1 = s["x"][0]
+    x2, x1, ratio_part = s["x"][0]
     cross = s["xwh"].sum()
     fit2 = float((s["ww"] * (h.T @ h)).sum())
     sse = max(x2 - 2 * cross + fit2, 0.0)
@@ -177,7 +204,9 @@ def _errors(h: np.ndarray, s: dict, n_cells: int) -> dict:
     for f in range(h.shape[1]):
         e = x2 - 2 * s["xwh"][0, f] + s["ww"][f, f] * hh[f]
         per.append(float(1 - e / n / var_x) if var_x > 0 else 0.0)
-    return {"sse": float(sse), "mse": float(sse / n), "expvar": float(1 - sse / n / var_x) if var_x > 0 else 0.0, "factor_r2": per}
+    # Entries without a stored value only add their fitted value to the divergence.
+    divergence = float(ratio_part + (s["w"][0] * h.sum(0)).sum())
+    return {"sse": float(sse), "divergence": divergence, "mse": float(sse / n), "expvar": float(1 - sse / n / var_x) if var_x > 0 else 0.0, "factor_r2": per}
 
 
 def _update_spectra(h: np.ndarray, s: dict, inner: int, loss: str) -> np.ndarray:
@@ -258,7 +287,7 @@ def nmf(p: Packed, k: int, iters: int = 20, loss: str = "frobenius", seed: int =
             for key in list(live):
                 s, h = sums[key], hs[key]
                 errors[key] = _errors(h, s, p.n_cells[key[1]])
-                history[key].append(errors[key]["sse"])
+                history[key].append(errors[key]["sse" if loss == "frobenius" else "divergence"])
                 past = history[key]
                 flat = len(past) > 1 and tol > 0 and past[-2] - past[-1] <= tol * max(past[0], EPS)
                 if it == iters or flat:
@@ -357,8 +386,7 @@ def gram(p: Packed) -> DataFrame:
         for scope, a in acc.items():
             yield pd.DataFrame({"scope": scope, "i": np.arange(-1, g, dtype="int32"), "v": list(a)})
 
-    part = p.cells.mapInPandas(work, "scope string, i int, v array<double>")
-    return part.select("scope", "i", F.posexplode("v").alias("j", "x")).groupBy("scope", "i", "j").agg(F.sum("x").alias("x"))
+    return _add_up(_few_tasks(p.cells).mapInPandas(work, "scope string, i int, v array<double>"), ["scope", "i"])
 
 
 def _fix_sign(comp: np.ndarray) -> np.ndarray:
@@ -367,11 +395,12 @@ def _fix_sign(comp: np.ndarray) -> np.ndarray:
     return comp * np.where(top < 0, -1.0, 1.0)
 
 
-def pca(p: Packed, k: int, iters: int = 30, seed: int = 0) -> DataFrame:
+def pca(p: Packed, k: int, iters: int = 1000, seed: int = 0) -> DataFrame:
     """(scope, factor, gene, loading, mean, explained_variance, ratio) of the k leading components.
 
     Up to MAX_GRAM_GENES genes from the Gram matrix, which holds everything the
-    data says about its components; beyond that by subspace iteration.
+    data says about its components; beyond that by subspace iteration until the
+    residuals reach PCA_TOLERANCE, at most ``iters`` times.
     """
     spark = p.cells.sparkSession
     schema = "scope string, factor int, gene string, loading double, mean double, explained_variance double, ratio double"
@@ -382,7 +411,7 @@ def pca(p: Packed, k: int, iters: int = 30, seed: int = 0) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         scope, g = pdf["scope"].iloc[0], len(genes)
         a = np.zeros((g + 1, g))
-        a[pdf["i"].to_numpy() + 1, pdf["j"].to_numpy()] = pdf["x"].to_numpy()
+        a[pdf["i"].to_numpy() + 1] = np.stack(pdf["v"].to_numpy())
         return _components(scope, a[1:], a[0], sizes[scope], k, genes)
 
     # One group holds a gene x gene matrix, bounded by MAX_GRAM_GENES squared.
@@ -427,15 +456,24 @@ def _pca_iterative(p: Packed, k: int, iters: int, seed: int, schema: str) -> Dat
                         y = _row_sum(val[:, None] * part[scope][idx], row, len(ids))
                         acc[scope] = acc.get(scope, 0) + _gene_sum(val[:, None] * y[row], idx, g)
                 for scope, a in acc.items():
-                    yield pd.DataFrame({"scope": scope, "i": np.arange(g, dtype="int32"), "v": list(a)})
+                    blocks = range(-(-g // BLOCK_GENES))
+                    yield pd.DataFrame({"scope": scope, "i": np.array(blocks, dtype="int32"), "v": [a[b * BLOCK_GENES:(b + 1) * BLOCK_GENES].ravel() for b in blocks]})
 
-            got = p.cells.mapInPandas(work, "scope string, i int, v array<double>").select("scope", "i", F.posexplode("v").alias("f", "x")).groupBy("scope", "i", "f").agg(F.sum("x").alias("x")).toPandas()
+            got = _add_up(_few_tasks(p.cells).mapInPandas(work, "scope string, i int, v array<double>"), ["scope", "i"]).toPandas()
             for scope, d in got.groupby("scope"):
                 z = np.zeros((g, q))
-                z[d["i"], d["f"]] = d["x"]
+                for i, v in zip(d["i"], d["v"]):
+                    z[i * BLOCK_GENES:(i + 1) * BLOCK_GENES] = np.asarray(v).reshape(-1, q)
                 n, mu = p.n_cells[scope], mean[scope]
                 prod[scope] = (z - n * np.outer(mu, mu @ basis[scope])) / max(n - 1, 1)
-        if it == iters - 1:
+        worst = 0.0
+        for scope, z in prod.items():
+            small = basis[scope].T @ z
+            val, vec = np.linalg.eigh((small + small.T) / 2)
+            top = np.argsort(val)[::-1][:k]
+            off = np.linalg.norm(z @ vec[:, top] - basis[scope] @ vec[:, top] * val[top], axis=0)
+            worst = max(worst, float(off.max(initial=0.0)) / max(float(val.max(initial=0.0)), 1e-300))
+        if it == iters - 1 or worst <= PCA_TOLERANCE:
             for scope, z in prod.items():
                 small = basis[scope].T @ z
                 val, vec = np.linalg.eigh((small + small.T) / 2)
@@ -445,8 +483,8 @@ def _pca_iterative(p: Packed, k: int, iters: int, seed: int, schema: str) -> Dat
                 frames.append(pd.DataFrame({
                     "scope": scope, "factor": np.repeat(np.arange(kk, dtype="int32"), g), "gene": p.genes * kk, "loading": comp.T.ravel(),
                     "mean": np.tile(mean[scope], kk), "explained_variance": np.repeat(ev, g), "ratio": np.repeat(ev / max(total[scope], 1e-300), g)}))
-        else:
-            basis = {s: np.linalg.qr(z)[0] for s, z in prod.items()}
+            break
+        basis = {s: np.linalg.qr(z)[0] for s, z in prod.items()}
     return spark.createDataFrame(pd.concat(frames), schema)
 
 
