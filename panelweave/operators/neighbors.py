@@ -29,12 +29,20 @@ GRAPH_KS = [5, 10, 15, 20, 30, 50]
 
 def vectors(expr: DataFrame, cells: DataFrame, genes: DataFrame, value: str = "value") -> DataFrame:
     """(cell_id, vec): dense vectors over ``genes`` in name order; panel-sized gene sets only."""
-    names = pin(genes.select("gene").distinct())
-    order = names.agg(F.array_sort(F.collect_list("gene"))).scalar()
-    v = expr.join(names, "gene", "left_semi").groupBy("cell_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("gene", value))).alias("m"))
-    v = cells.select("cell_id").join(v, "cell_id", "left").withColumn("_g", order)
-    return v.select("cell_id", F.transform("_g", lambda g: F.coalesce(F.try_element_at(F.col("m"), g), F.lit(0.0))).alias("vec"))
+    order = genes.select("gene").distinct().agg(F.array_sort(F.collect_list("gene")).alias("_g"))
+    index = pin(order.select(F.posexplode("_g").alias("_i", "gene")))
+    size = index.agg(F.count(F.lit(1)).cast("int")).scalar()
+    e = expr.join(index, "gene").groupBy("cell_id").agg(
+        F.array_sort(F.collect_list(F.struct("_i", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")))).alias("m"))
+    d = cells.select("cell_id").join(e, "cell_id", "left").withColumn("_n", size).withColumn("m", F.coalesce("m", F.array().cast("array<struct<_i:int,v:double>>")))
+    # Between two stored values stand as many zeros as genes were passed over; an end mark closes the vector.
+    marked = d.withColumn("m", F.concat("m", F.array(F.struct(F.col("_n").alias("_i"), F.lit(0.0).alias("v")))))
+
+    def part(e, i):
+        before = F.when(i > 0, F.get("m", i - 1)["_i"]).otherwise(F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0.0), e["_i"] - before - 1), F.array(e["v"]))
+
+    return marked.select("cell_id", F.slice(F.flatten(F.transform("m", part)), F.lit(1), F.col("_n")).alias("vec"))
 
 
 def _distinct(df: DataFrame, keep: int) -> DataFrame:

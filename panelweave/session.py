@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _local_dirs: dict[str, str] = {}
+_owners: list[list[str]] = []
 
 
 def local_session(cores: str = "8", app: str = "panelweave") -> SparkSession:
@@ -47,7 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    if _owners:
+        _owners[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that are written to the shared folder inside it and removes them at its end.
+
+    Results that are still needed must be written elsewhere, or collected, before it ends.
+    """
+    own: list[str] = []
+    _owners.append(own)
+    try:
+        yield
+    finally:
+        _owners.remove(own)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in own:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def pin(df: DataFrame) -> DataFrame:

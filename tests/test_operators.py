@@ -170,3 +170,15 @@ def test_clusters_of_text_ids(spark):
     edges = [(f"{g}{i}", f"{g}{j}", 0.1) for g in "ab" for i in range(8) for j in range(8) if i != j] + [("a0", "b0", 50.0)]
     out = cluster_to_n(spark.createDataFrame(edges, "cell_id string, neighbor string, dist double"), 2).collect()
     assert sorted(r.cell_id for r in out) == sorted(f"{g}{i}" for g in "ab" for i in range(8)) and 1 <= len({r.cluster for r in out}) <= 2
+
+
+def test_workspace_removes_what_it_wrote(spark):
+    import os
+
+    from panelweave.session import fresh_path, pin, workspace
+
+    with workspace(spark):
+        path = pin(spark.range(5)).inputFiles()[0].removeprefix("file://")
+        unused = fresh_path(spark, "unused")
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and not os.path.exists(unused)
