@@ -61,7 +61,8 @@ def cut(blob: np.ndarray, first: np.ndarray, sizes: np.ndarray, owner: np.ndarra
     """Byte codes of the chunks; 256 beyond a text's end."""
     at = start[:, None] + np.arange(CHUNK)
     inside = at < sizes[owner][:, None]
-    return np.where(inside, blob[np.where(inside, first[owner][:, None] + at, 0)], 256).astype(np.int16)
+    codes = blob[np.where(inside, first[owner][:, None] + at, 0)].astype(np.int16)
+    return np.where(inside, codes, np.int16(256))
 
 
 def _pooled(features: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
