@@ -27,16 +27,16 @@ from panelweave.llm.common import slices, split_words, strings
 from panelweave.session import fresh_path, pin
 
 BLOCK_IDS = 1 << 20
-#: Words whose ids a worker remembers; beyond it the memory is started afresh.
-KEEP_WORDS = 700_000
+#: Words whose ids a worker remembers; beyond it the rarer ones are forgotten.
+KEEP_WORDS = 900_000
 #: Marks after a word that never join with its letters.
 STOPS = ".,;:!?"
 MAGIC = b"RPB1"
 #: Symbols are stored in 16 bits; rules take what the vocabulary leaves.
 SYMBOLS = 1 << 16
-LEAST = 12
+LEAST = 16
 #: A round takes the pairs that are at least this part as frequent as the most frequent one.
-NARROW = 6
+NARROW = 8
 _BUCKETS = 18
 
 
@@ -60,16 +60,31 @@ class WordEncoder:
     def _clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.first, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.hits = np.zeros(1 << 12, np.int64)  # blocks of texts that held the piece
         self.flat, self.used = np.zeros(1 << 14, np.uint16 if self.size <= SYMBOLS else np.uint32), 0
 
+    def _forget(self) -> None:
+        """Drop the pieces that only one block of texts held, and the rarer half beyond that."""
+        words, hits = list(self.known), self.hits[: len(self.known)]
+        keep = np.flatnonzero(hits > 1)
+        keep = np.sort(keep[np.argsort(-hits[keep], kind="stable")[: KEEP_WORDS // 2]])
+        keep = keep[keep > 0]
+        lengths, hits = self.length[keep], hits[keep] // 2
+        ids = self.flat[_spread(self.first[keep], lengths)]
+        self._clear()
+        self._store([words[i] for i in keep.tolist()], ids, lengths)
+        self.hits[1 : 1 + len(keep)] = hits
+
     def _store(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         n, at = len(pieces), len(self.known)
         while at + n > len(self.first):
             self.first, self.length = np.resize(self.first, 2 * len(self.first)), np.resize(self.length, 2 * len(self.length))
+            self.hits = np.resize(self.hits, 2 * len(self.hits))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.first[at : at + n] = self.used + np.cumsum(lengths) - lengths
         self.length[at : at + n] = lengths
+        self.hits[at : at + n] = 0
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         self.known.update(zip(pieces, range(at, at + n)))
@@ -103,12 +118,15 @@ class WordEncoder:
                 tails.append("")
         new = list(dict.fromkeys(p for p in (*heads, *tails) if p not in self.known))
         if len(self.known) + len(new) > KEEP_WORDS:
-            self._clear()
-            new = list(dict.fromkeys((*heads, *tails)))[:]
+            self._forget()
+            new = list(dict.fromkeys(p for p in (*heads, *tails) if p not in self.known))
         self._learn([p for p in new if p])
         pieces = np.empty(2 * len(heads), np.int64)
         pieces[::2] = [self.known[p] for p in heads]
         pieces[1::2] = [self.known[p] for p in tails]
+        used = np.zeros(len(self.known), bool)
+        used[pieces] = True
+        self.hits[: len(used)] += used
         n = self.length[pieces]
         table = np.append(self.flat[_spread(self.first[pieces], n)], end).astype(self.flat.dtype)
         length = np.append(n[::2] + n[1::2], 1)
