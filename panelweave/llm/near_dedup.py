@@ -12,7 +12,9 @@
    are left in the lists.
 4. Lists beyond ``LIST_PAIRS`` members that still mix components are replaced, for
    the classes that meet mainly there, by lists of their rarest shingles: sets
-   with similarity s share one of their ``(1 - s) n + 1`` rarest.
+   with similarity s share one of their ``(1 - s) n + 1`` rarest.  Classes that
+   meet even there in long lists form groups; a group is compared in blocks of
+   bounded size on full sets, and a block returns only what joins components.
 5. The sketch of a pair's union estimates the similarity; pairs far below the
    threshold go.  The others are confirmed on their full sets.
 
@@ -39,11 +41,13 @@ PERCENT = 75
 K, RUN = 64, 3
 #: Sets so small that a run of three need not exist also list their single values.
 SMALL_SET = 8
-#: The union's sketch of a linked pair shows at least this similarity (six standard deviations below 0.75).
-LEAST_ESTIMATE = 0.42
+#: The union's sketch of a linked pair shows at least this similarity (more than five standard deviations below 0.75).
+LEAST_ESTIMATE = 0.45
 LIST_PAIRS = 128
 #: Linked pairs share fewer long stretches than this only with negligible probability.
 LEAST_SHARED = 4
+#: Classes in one block of a group, and values looked at together there.
+BLOCK, BLOCK_VALUES = 256, 4096
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -133,7 +137,9 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 na, nb = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
-                keep = union_estimates(part.column(3).to_pylist(), part.column(5).to_pylist(), na, nb) >= LEAST_ESTIMATE
+                shown = union_estimates(part.column(3).to_pylist(), part.column(5).to_pylist(), na, nb)
+                # Small sets are their own sketches: what they show is exact.
+                keep = shown >= np.where((na <= K) & (nb <= K), PERCENT / 100 - 1e-9, LEAST_ESTIMATE)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     joined = pairs.join(left, "a").join(right, "b").filter(_can_link("na", "nb"))
@@ -222,6 +228,74 @@ def _rarest_lists(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
     return ranked.join(alone, "nid", "left").withColumn("_place", place).filter(F.col("_place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("list", "nid")
 
 
+def _block_links(groups: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``a, b`` between components within ``groups(nid, group)``.
+
+    Classes are dealt to bands of size, so that only a band and its neighbour can hold linked sets, and bands to blocks.
+    Every pair of blocks is one task's work on full sets.
+    """
+    members = _with_comp(groups.join(classes.select("nid", "n"), "nid"), comps)
+    members = members.withColumn("_band", F.floor(F.log("n") / float(np.log(100 / PERCENT))).cast("int"))
+    sizes = members.groupBy("group", "_band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    sizes = pin(sizes.select(F.col("group").alias("_g"), F.col("_band").alias("_b"), "_blocks"))
+    near = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("_band") + d).alias("b")) for d in (-1, 0, 1)]))
+    own = members.join(sizes, (F.col("group") == F.col("_g")) & (F.col("_band") == F.col("_b"))).withColumn("_i", F.pmod(F.xxhash64("nid"), F.col("_blocks")).cast("int"))
+    own = own.select("nid", "group", "comp", "_band", "_i", near.alias("_near"))
+    dealt = own.join(sizes, (F.col("group") == F.col("_g")) & (F.col("_near.b") == F.col("_b"))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    lower = (F.col("_near.d") == 1) | ((F.col("_near.d") == 0) & (F.col("_i") <= F.col("_j")))
+    side = F.struct(F.col("_band").alias("b"), F.col("_i").alias("i"))
+    other = F.struct(F.col("_near.b").alias("b"), F.col("_j").alias("i"))
+    keyed = dealt.select("nid", "comp", "group", F.when(lower, side).otherwise(other).alias("_lo"), F.when(lower, other).otherwise(side).alias("_hi"), side.alias("_own"))
+    keyed = keyed.select("nid", "comp", F.to_json(F.struct("group", "_lo", "_hi")).alias("task"), (F.col("_own") == F.col("_lo")).alias("low"), (F.col("_own") == F.col("_hi")).alias("high"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(strings(batch.column(1)))], pa.binary())], names=["nid", "set"])
+
+    whole = pin(_texts_of(groups.select("nid"), classes, docs).select("nid", "text").mapInArrow(sets, "nid long, set binary"))
+    return keyed.join(whole, "nid").groupBy("task").applyInArrow(_compare_blocks, "a long, b long")
+
+
+def _compare_blocks(rows: pa.Table) -> pa.Table:
+    """Links of different components between the two blocks, as many as it takes to join them."""
+    nid, comp = rows["nid"].to_numpy(), rows["comp"].to_numpy()
+    low, high = np.flatnonzero(rows["low"].to_numpy()), np.flatnonzero(rows["high"].to_numpy())
+    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+    size = np.array([len(x) for x in sets], np.int64)
+    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, kept = np.repeat(np.arange(len(sets)), size), count[code] > 1
+    place = np.cumsum(count > 1) - 1
+    code, owner = place[code[kept]], owner[kept]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    shared = np.zeros((len(low), len(high)), np.float32)
+    for lo in range(0, int((count > 1).sum()), BLOCK_VALUES):
+        a, b = np.searchsorted(code, [lo, lo + BLOCK_VALUES])
+        has = np.zeros((len(sets), BLOCK_VALUES), np.float32)
+        has[owner[a:b], code[a:b] - lo] = 1
+        shared += has[low] @ has[high].T
+    linked = (100 * shared >= PERCENT * (size[low][:, None] + size[high][None, :] - shared)) & (comp[low][:, None] != comp[high][None, :])
+    i, j = np.nonzero(linked)
+    i, j = low[i], high[j]
+    pairs = np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])], axis=1)
+    first = np.unique(pairs, axis=0, return_index=True)[1] if len(pairs) else np.zeros(0, np.int64)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for k in first.tolist():
+        x, y = root(int(comp[i[k]])), root(int(comp[j[k]]))
+        if x != y:
+            parent[x] = y
+            out.append(k)
+    return pa.table({"a": pa.array(nid[i[out]], pa.int64()), "b": pa.array(nid[j[out]], pa.int64())})
+
+
 def _linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``nid, comp`` of every class that is linked to another."""
     entries = _list_rows(classes)
@@ -237,15 +311,22 @@ def _linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     sized = lists.select("list", "nid").join(classes.select("nid", "n"), "nid")
     rest = pin(_mixed_lists(_with_comp(sized, comps)))
     short = rest.filter(F.col("size") <= LIST_PAIRS).drop("size")
-    found = [_pairs_in(short)]
+    pairs, by_blocks = _pairs_in(short), None
     hot = rest.filter(F.col("size") > LIST_PAIRS).groupBy("nid").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LEAST_SHARED).select("nid")
     hot = pin(hot)
     if hot.limit(1).count():
-        rare = _rarest_lists(hot, classes, docs).join(classes.select("nid", "n"), "nid")
-        found.append(_pairs_in(pin(_mixed_lists(_with_comp(rare, comps)))))
-    pairs = found[0] if len(found) == 1 else found[0].union(found[1]).distinct()
+        rare = pin(_mixed_lists(_with_comp(_rarest_lists(hot, classes, docs).join(classes.select("nid", "n"), "nid"), comps)))
+        pairs = pairs.union(_pairs_in(rare.filter(F.col("size") <= LIST_PAIRS).drop("size"))).distinct()
+        long = rare.filter(F.col("size") > LIST_PAIRS)
+        heads = long.groupBy("list").agg(F.min("nid").alias("a"))
+        groups = components(pin(long.select("list", F.col("nid").alias("b")).join(heads, "list").select("a", "b").distinct())).withColumnRenamed("comp", "group")
+        by_blocks = pin(_block_links(groups, comps, classes, docs))
+        # What the blocks compare needs no pair.
+        pairs = pairs.join(groups.select(F.col("nid").alias("a"), F.col("group").alias("_ga")), "a", "left").join(groups.select(F.col("nid").alias("b"), F.col("group").alias("_gb")), "b", "left")
+        pairs = pairs.filter("_ga is null or _gb is null or _ga <> _gb").select("a", "b")
     fresh = pin(_promising(pairs.join(tested, ["a", "b"], "left_anti"), classes))
-    more = pin(_confirmed(fresh, classes, docs))
+    more = _confirmed(fresh, classes, docs)
+    more = pin(more if by_blocks is None else more.union(by_blocks))
     # The new links join components; those are few and small against the classes.
     a = _with_comp(more.select(F.col("a").alias("nid"), "b"), comps).select(F.col("comp").alias("ca"), F.col("b").alias("nid"))
     joined = _with_comp(a, comps).select(F.col("ca").alias("a"), F.col("comp").alias("b")).filter("a <> b").distinct()
