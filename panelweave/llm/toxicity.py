@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import held_out, slices, split_words, strings, training_rows
+from panelweave.session import pin
 
 #: Labelled texts used to learn the lexicon and the weights.
 TRAIN_ROWS = 8000
@@ -314,7 +315,8 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 6
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from at most ``TRAIN_ROWS`` labelled rows outside the held-out fold; without both labels it scores their mean."""
-    rows = training_rows(docs, labels, label, TRAIN_ROWS)
+    # Written, so that the documents are searched for them once.
+    rows = pin(training_rows(docs, labels, label, TRAIN_ROWS))
     lexicon = learn_lexicon(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
