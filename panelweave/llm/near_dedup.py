@@ -199,10 +199,14 @@ def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _pairs_in(lists: DataFrame) -> DataFrame:
-    """Pairs of different components within lists; ``lists`` has ``list, nid, comp, n``."""
-    left = lists.select("list", F.col("nid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    right = lists.select("list", F.col("nid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    near = left.join(right, "list").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _can_link("na", "nb"))
+    """Pairs of different components within lists, but for pairs within a group.
+
+    ``lists`` has ``list, nid, comp, n, group``; the group is null where a class is in none.
+    """
+    left = lists.select("list", F.col("nid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("group").alias("ga"))
+    right = lists.select("list", F.col("nid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("group").alias("gb"))
+    apart = ~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False))
+    near = left.join(right, "list").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _can_link("na", "nb") & apart)
     return near.select("a", "b").distinct()
 
 
@@ -311,19 +315,20 @@ def _linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     sized = lists.select("list", "nid").join(classes.select("nid", "n"), "nid")
     rest = pin(_mixed_lists(_with_comp(sized, comps)))
     short = rest.filter(F.col("size") <= LIST_PAIRS).drop("size")
-    pairs, by_blocks = _pairs_in(short), None
     hot = rest.filter(F.col("size") > LIST_PAIRS).groupBy("nid").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LEAST_SHARED).select("nid")
     hot = pin(hot)
+    by_blocks = None
     if hot.limit(1).count():
         rare = pin(_mixed_lists(_with_comp(_rarest_lists(hot, classes, docs).join(classes.select("nid", "n"), "nid"), comps)))
-        pairs = pairs.union(_pairs_in(rare.filter(F.col("size") <= LIST_PAIRS).drop("size"))).distinct()
         long = rare.filter(F.col("size") > LIST_PAIRS)
         heads = long.groupBy("list").agg(F.min("nid").alias("a"))
         groups = components(pin(long.select("list", F.col("nid").alias("b")).join(heads, "list").select("a", "b").distinct())).withColumnRenamed("comp", "group")
         by_blocks = pin(_block_links(groups, comps, classes, docs))
         # What the blocks compare needs no pair.
-        pairs = pairs.join(groups.select(F.col("nid").alias("a"), F.col("group").alias("_ga")), "a", "left").join(groups.select(F.col("nid").alias("b"), F.col("group").alias("_gb")), "b", "left")
-        pairs = pairs.filter("_ga is null or _gb is null or _ga <> _gb").select("a", "b")
+        few = rare.filter(F.col("size") <= LIST_PAIRS).drop("size")
+        pairs = _pairs_in(short.join(groups, "nid", "left")).union(_pairs_in(few.join(groups, "nid", "left"))).distinct()
+    else:
+        pairs = _pairs_in(short.withColumn("group", F.lit(None).cast("long")))
     fresh = pin(_promising(pairs.join(tested, ["a", "b"], "left_anti"), classes))
     more = _confirmed(fresh, classes, docs)
     more = pin(more if by_blocks is None else more.union(by_blocks))
