@@ -28,7 +28,7 @@ from panelweave.session import fresh_path, pin
 
 BLOCK_IDS = 1 << 20
 #: Words whose ids a worker remembers; beyond it the rarer ones are forgotten.
-KEEP_WORDS = 900_000
+KEEP_WORDS = 450_000
 #: Marks after a word that never join with its letters.
 STOPS = ".,;:!?"
 MAGIC = b"RPB1"
