@@ -44,8 +44,9 @@ SMALL_SET = 8
 #: The union's sketch of a linked pair shows at least this similarity (more than five standard deviations below 0.75).
 LEAST_ESTIMATE = 0.45
 LIST_PAIRS = 128
-#: Linked pairs share fewer long stretches than this only with negligible probability.
-LEAST_SHARED = 4
+#: Linked sets beyond ``K`` shingles share fewer stretches than this with a probability below 2e-7 (64 places, each shared
+#: with odds of 0.75); smaller ones may share a single list by construction and are never left out.
+LEAST_SHARED = 2
 #: Classes in one block of a group, and values looked at together there.
 BLOCK, BLOCK_VALUES = 256, 4096
 
@@ -315,7 +316,8 @@ def _linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     sized = lists.select("list", "nid").join(classes.select("nid", "n"), "nid")
     rest = pin(_mixed_lists(_with_comp(sized, comps)))
     short = rest.filter(F.col("size") <= LIST_PAIRS).drop("size")
-    hot = rest.filter(F.col("size") > LIST_PAIRS).groupBy("nid").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LEAST_SHARED).select("nid")
+    hot = rest.filter(F.col("size") > LIST_PAIRS).groupBy("nid").agg(F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"))
+    hot = hot.filter((F.col("n") <= K) | (F.col("_n") >= LEAST_SHARED)).select("nid")
     hot = pin(hot)
     by_blocks = None
     if hot.limit(1).count():

@@ -80,6 +80,16 @@ def test_against_all_pairs(spark, monkeypatch, list_pairs):
         assert sorted(r.doc_id for r in nd.one_per_group(docs).collect()) == sorted(r.doc_id for r in out if r.kept)
 
 
+@pytest.mark.parametrize("size, more", [(13, 3), (7, 1)])
+def test_small_base_with_many_variants(spark, size, more):
+    """Variants are linked to their base only, and many keep few of its lists, all of them long."""
+    rng = random.Random(7)
+    base = [rng.choice(WORDS) for _ in range(size)]
+    rows = list(enumerate([" ".join(base + [f"x{i}y{j}" for j in range(more)]) for i in range(200)] + [" ".join(base)]))
+    out = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == plain(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 200) if i % 40 != 39] + [(1000, 500), (500, 700), (3, 3)]
     got = {r.nid: r.comp for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
