@@ -1,28 +1,34 @@
 """Secrets in texts and in what is encoded inside them.
 
-A text is the first entry of a worklist.  Every layer is scanned for secrets and
-then unwrapped: percent escapes, Unicode escapes, base64 runs and compressed
-bytes inside base64 each give a new layer, which goes on the worklist unless the
-same content was seen at its place before.  The list ends when nothing new appears.  Each layer
-carries the place in the first text of each of its characters, so that a span
-found in any layer is reported as a span of the first text.
+Every layer is scanned for secrets and then unwrapped: percent escapes, Unicode
+escapes, base64 runs and compressed bytes inside base64 each give new layers,
+which are unwrapped in turn unless the same content was seen at its place before.
+Each layer carries the place in the first text of each of its characters, so that
+a span found in any layer is reported as a span of the first text.
+
+A base64 run goes on over line breaks and is decoded from each of its first four
+characters, so that a payload is found wherever in the run it starts; bytes that
+are no readable UTF-8 are looked at as Latin-1 and make a layer if anything can be
+found in them.  Compressed data is looked for at every place of a run.  All its
+members are unpacked as a stream, whose layers are pieces cut where no match and
+no run can go on.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import html
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +45,21 @@ PATTERNS = {
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A base64 run over line breaks, with the white space that indents its lines.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_BREAK = re.compile(r"\r?\n[ \t]*")
+LEAST_RUN = 16
+#: What gzip, bzip2, xz and zlib data begins with in base64.
+_PACKED = re.compile(r"H4sI|Qlpo|[/_]Td6WFoA|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
 #: What any match or any layer begins with, for the linear-time matcher.
-_ANYTHING = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|&#|[a-z0-9+/_-]{16}"""
-#: Compressed data that unpacks to more is taken for an attack and left alone.
-MAX_UNPACKED = 64 << 20
+_ANYTHING = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|&#|(?:[a-z0-9+/_-](?:\r?\n[ \t]*)?){16}"""
+#: The same for bytes that are no text: a secret or another layer in them.
+_IN_BYTES = re.compile(
+    rb"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[a-z0-9+/_.=-]{8}|AKIA[a-z0-9]{12}|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux][0-9a-f{]|&#[0-9x]|(?:[a-z0-9+/_-](?:\r?\n[ \t]*)?){16}"""
+)
+#: Unpacked bytes in one layer, and the bytes in which no match and no run can go on.
+PIECE = 1 << 20
+_APART = re.compile(rb"[^A-Za-z0-9+/_=%\\&#;{}:\"'.\s\x80-\xbf-]")
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -89,21 +105,52 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]]:
     return [(chr(u), 0, len(t))] if u < 0x110000 and not 0xD800 <= u < 0xE000 else [(x, i, i + 1) for i, x in enumerate(t)]
 
 
-def unpacked(data: bytes) -> bytes | None:
-    """Content of gzip, zlib, bzip2 or xz data; None for others and for broken data."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, MAX_UNPACKED)
-            return out if not d.unconsumed_tail else None
-        for head, make in ((b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\0", lzma.LZMADecompressor)):
-            if data.startswith(head):
-                d = make()
-                out = d.decompress(data, MAX_UNPACKED)
-                return out if d.eof else None
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        pass
-    return None
+def _decompressor(head: bytes):
+    """A decompressor for data that begins like this, or None."""
+    if head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    return bz2.BZ2Decompressor() if head.startswith(b"BZh") else lzma.LZMADecompressor() if head.startswith(b"\xfd7zXZ\0") else None
+
+
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """Content of all gzip, zlib, bzip2 or xz members in parts; of broken data what comes before the fault."""
+    while (d := _decompressor(data[:6])) is not None:
+        try:
+            if isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                yield d.decompress(data, PIECE)
+                while not d.eof and not d.needs_input:
+                    yield d.decompress(b"", PIECE)
+            else:
+                left = memoryview(data)
+                while len(left) and not d.eof:
+                    part, left = left[:PIECE], left[PIECE:]
+                    yield d.decompress(part, PIECE)
+                    while d.unconsumed_tail and not d.eof:
+                        yield d.decompress(d.unconsumed_tail, PIECE)
+                yield d.flush() if not d.eof else b""
+                if d.eof:
+                    data = (d.unused_data + bytes(left)).lstrip(b"\0")
+                    continue
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        data = d.unused_data.lstrip(b"\0") if d.eof else b""
+
+
+def pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The same bytes in pieces of about ``PIECE``, cut before a byte that belongs to no match, run or character begun earlier."""
+    held, looked = bytearray(), 0
+    for part in parts:
+        held += part
+        while len(held) > PIECE:
+            m = _APART.search(held, max(PIECE, looked))
+            if m is None:
+                looked = len(held)
+                break
+            yield bytes(held[: m.start()])
+            del held[: m.start()]
+            looked = 0
+    if held:
+        yield bytes(held)
 
 
 def _readable(data: bytes) -> str | None:
@@ -114,67 +161,140 @@ def _readable(data: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
 
 
-def layers(text: str) -> Iterator[tuple[str, np.ndarray | None, np.ndarray | None]]:
-    """The text and all layers inside it: content, and per character its start and end in the first text (None: itself)."""
-    work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
-    seen = {(text, 0, len(text))}
-    while work:
-        layer, begin, stop = work.pop()
-        yield layer, begin, stop
-
-        def place(lo: int, hi: int, begin=begin, stop=stop) -> tuple[int, int]:
-            return (lo, hi) if begin is None else (int(begin[lo]), int(stop[hi - 1]))
-
-        def add(content: str, a, b) -> None:
-            if not content:
-                return
-            # The same content may stand at several places; a cycle comes back to its own place.
-            key = (content, int(min(a)), int(max(b)))
-            if key not in seen:
-                seen.add(key)
-                work.append((content, np.asarray(a, np.int64), np.asarray(b, np.int64)))
-
-        for pattern, decode, mark in ((_PERCENT, _percent, "%"), (_ESCAPE, _escape, "")):
-            if mark not in layer or (not mark and "\\" not in layer and "&#" not in layer):
-                continue
-            chars, a, b, at = [], [], [], 0
-            for m in pattern.finditer(layer):
-                for i in range(at, m.start()):
-                    lo, hi = place(i, i + 1)
-                    chars.append(layer[i]), a.append(lo), b.append(hi)
-                for c, lo, hi in decode(m):
-                    lo, hi = place(m.start() + lo, m.start() + hi)
-                    chars.append(c), a.append(lo), b.append(hi)
-                at = m.end()
-            if at:
-                for i in range(at, len(layer)):
-                    lo, hi = place(i, i + 1)
-                    chars.append(layer[i]), a.append(lo), b.append(hi)
-                add("".join(chars), a, b)
-        for m in _BASE64.finditer(layer):
-            run = m.group().rstrip("=")
-            run = run[: len(run) - (len(run) % 4 == 1)]
-            try:
-                data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-            except (binascii.Error, ValueError):
+def _as_text(data: bytes) -> str | None:
+    """Readable UTF-8, else Latin-1 if anything can be found in it."""
+    return _readable(data) or (data.decode("latin-1") if _IN_BYTES.search(data) else None)
+
+
+def _packed_at(run: str, at: int) -> bytes:
+    """The bytes of the run from there on; only the first ones if they show that this is no sound compressed data."""
+    head = _decoded(run[at : at + 1024])
+    try:
+        d = _decompressor(head[:6])
+        if d is None:
+            return b""
+        d.decompress(head)
+    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+        return head
+    return _decoded(run[at:])
+
+
+def _decoded(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+
+
+Layer = tuple[str, np.ndarray | None, np.ndarray | None]
+
+
+def _base64_layers(layer: str, place: Callable) -> Iterator[Layer]:
+    for m in _WRAPPED.finditer(layer):
+        if m.end() - m.start() < LEAST_RUN:
+            continue
+        whole = m.group().rstrip("=")
+        breaks = [(b.start(), b.end()) for b in _BREAK.finditer(whole)]
+        at = np.arange(len(whole), dtype=np.int64)
+        if breaks:
+            stays = np.ones(len(whole), bool)
+            for a, b in breaks:
+                stays[a:b] = False
+            at, run = at[stays], _BREAK.sub("", whole)
+        else:
+            run = whole
+        if len(run) < LEAST_RUN:
+            continue
+        at += m.start()
+
+        def text_layer(text: str, n_bytes: np.ndarray, lo: int, hi: int, at=at) -> Layer:
+            """A layer of decoded characters of these byte ends from ``run[lo:hi]``."""
+            begin = np.concatenate([[0], n_bytes[:-1]])
+            first, last = lo + 4 * (begin // 3), np.minimum(hi, lo + 4 * ((n_bytes - 1) // 3) + 4)
+            a, b = place(at[first], at[last - 1])
+            return text, a, b
+
+        def utf8_layer(text: str, data: bytes, lo: int, hi: int) -> Layer:
+            b = np.frombuffer(data, np.uint8)
+            return text_layer(text, np.append(np.flatnonzero((b & 0xC0) != 0x80)[1:], len(b)), lo, hi)
+
+        # Compressed data, wherever it starts.
+        for c in _PACKED.finditer(run):
+            a, b = place(at[c.start() : c.start() + 1], np.array([m.end() - 1]))
+            for piece in pieces(unpacked(_packed_at(run, c.start()))):
+                # Inside a run, chance can look like compressed data; it makes no layer of its own.
+                text = _as_text(piece) if c.start() == 0 or _IN_BYTES.search(piece) else None
+                if text:
+                    yield text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text))
+        # The run as it stands, else each of its lines, if that reads as text.
+        read = set()
+        for lo, hi in [(0, len(run))] if not breaks else [(0, len(run)), *_line_ends(whole, breaks)]:
+            if hi - lo < LEAST_RUN or (0, len(run)) in read:
                 continue
-            whole = place(m.start(), m.end())
-            content = unpacked(data)
-            if content is not None:
-                inner = _readable(content)
-                if inner:
-                    add(inner, np.full(len(inner), whole[0]), np.full(len(inner), whole[1]))
+            data = _decoded(run[lo:hi])
+            text = _readable(data)
+            if text:
+                read.add((lo, hi))
+                yield utf8_layer(text, data, lo, hi)
+        # All alignments, so that the payload may start anywhere.
+        for lo in range(4):
+            if (lo, len(run)) in read:
                 continue
-            inner = _readable(data)
-            if inner:
-                a, b, at = [], [], 0
-                for c in inner:
-                    n = len(c.encode())
-                    first, last = 4 * (at // 3), min(len(run), 4 * ((at + n - 1) // 3) + 4)
-                    lo, hi = place(m.start() + first, m.start() + last)
-                    a.append(lo), b.append(hi)
-                    at += n
-                add(inner, a, b)
+            data = _decoded(run[lo:])
+            if _IN_BYTES.search(data):
+                yield text_layer(data.decode("latin-1"), np.arange(1, len(data) + 1), lo, len(run))
+
+
+def _line_ends(whole: str, breaks: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Start and end of each line in the run without its breaks."""
+    start = gone = 0
+    for a, b in [*breaks, (len(whole), len(whole))]:
+        yield start, a - gone
+        start, gone = a - gone, gone + b - a
+
+
+def _inner(layer: str, begin: np.ndarray | None, stop: np.ndarray | None) -> Iterator[Layer]:
+    """The layers right inside this one."""
+
+    def place(lo, hi):
+        """Where the characters from ``lo`` to ``hi``, both included, stand in the first text."""
+        return (lo, hi + 1) if begin is None else (begin[lo], stop[hi])
+
+    for pattern, decode, mark in ((_PERCENT, _percent, "%"), (_ESCAPE, _escape, "")):
+        if mark not in layer or (not mark and "\\" not in layer and "&#" not in layer):
+            continue
+        chars, a, b, at = [], [], [], 0
+        for m in pattern.finditer(layer):
+            chars.append(layer[at : m.start()])
+            a.append(np.arange(at, m.start())), b.append(np.arange(at, m.start()))
+            got = decode(m)
+            chars += [c for c, _, _ in got]
+            a.append(np.array([m.start() + lo for _, lo, _ in got], np.int64)), b.append(np.array([m.start() + hi - 1 for _, _, hi in got], np.int64))
+            at = m.end()
+        if at:
+            chars.append(layer[at:])
+            a.append(np.arange(at, len(layer))), b.append(np.arange(at, len(layer)))
+            yield "".join(chars), *place(np.concatenate(a), np.concatenate(b))
+    yield from _base64_layers(layer, place)
+
+
+def layers(text: str) -> Iterator[Layer]:
+    """The text and all layers inside it: content, and per character its start and end in the first text (None: itself)."""
+    seen = set()
+    open_: list[Iterator[Layer]] = [iter([(text, None, None)])]
+    while open_:
+        found = next(open_[-1], None)
+        if found is None:
+            open_.pop()
+            continue
+        content, begin, stop = found
+        if not content and begin is not None:
+            continue
+        # The same content may stand at several places; a cycle comes back to its own place.
+        place = (0, len(content)) if begin is None else (int(begin.min()), int(stop.max()))
+        key = (xxhash.xxh3_128_digest(content.encode("utf-8", "surrogatepass")), *place)
+        if key not in seen:
+            seen.add(key)
+            yield content, begin, stop
+            open_.append(_inner(content, begin, stop))
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:

@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 
@@ -59,3 +61,42 @@ def test_odd_rows(spark):
     assert (out[99].n_assign, out[99].n_access, out[99].n_hex) == (1, 0, 0) and len(re.findall("assign", out[99].spans)) == 2 and out[99].n_layers == 2
     assert out[99].base_sha256 == hashlib.sha256(f"assign:2:{2 + len(S)}".encode()).hexdigest()
     assert scan_secrets(empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_every_member_is_read(pack):
+    t = base64.b64encode(pack(b"first part ") + pack(S.encode())).decode()
+    assert (0, 0, len(t)) in scan(t)[1]
+
+
+def test_content_of_any_size_is_read():
+    for big in (S.encode() + b", " * (33 << 20), b", " * (33 << 20) + S.encode()):
+        t = base64.b64encode(gzip.compress(big, 1)).decode()
+        assert scan(t)[1] == [(0, 0, len(t))]
+
+
+@pytest.mark.parametrize("width", [76, 64, 10])
+def test_base64_goes_on_over_line_breaks(width):
+    b = base64.b64encode(b"some words before it, " * 3 + S.encode() + b" and some after it" * 3).decode()
+    lines = [b[i : i + width] for i in range(0, len(b), width)]
+    for t in ("\n".join(lines), "  " + "\r\n  ".join(lines)):
+        (a, k, e), = scan(t)[1]
+        assert k == 0 and base64.b64decode("".join(t[a:e].split()) + "==")[:30].find(b"password=") >= 0
+    packed = base64.b64encode(gzip.compress(bytes(range(256)) + S.encode() + bytes(range(256)))).decode()
+    t = "\n".join(packed[i : i + width] for i in range(0, len(packed), width))
+    assert scan(t)[1] == [(0, 0, len(t))]
+
+
+@pytest.mark.parametrize("before", ["/cb/", "x", "ab-", "abc_", "path/to/", "line\n"])
+def test_payload_may_start_anywhere_in_a_run(before):
+    (a, k, e), = scan(before + B)[1]
+    assert k == 0 and a == len(before) and e <= len(before + B)
+    packed = base64.b64encode(gzip.compress(S.encode())).decode()
+    assert scan(before + packed)[1] == [(len(before), 0, len(before + packed))]
+
+
+def test_bytes_that_are_no_text_are_scanned():
+    t = base64.b64encode(b"\xff\x00\x81" * 20 + S.encode() + b"\x00\xff" * 20).decode()
+    assert [k for _, k, _ in scan(t)[1]] == [0]
+    t = base64.b64encode(gzip.compress(b"\xff\x00\x81" * 20 + S.encode() + b"\x00\xff" * 20)).decode()
+    assert scan(t)[1] == [(0, 0, len(t))]
