@@ -1,8 +1,10 @@
 """Toxicity scores: fuzzy matching against a learned lexicon, then a judgement of each hit's surroundings.
 
 *Lexicon.*  Words and word beginnings whose share of toxic training texts is far
-above their share of the others.  A term of five letters may be missed by one
-edit, one of nine by two, shorter ones by none.
+above their share of the others.  A term of four letters may be missed by one
+edit, one of nine by two, shorter ones by none; a swap of neighbours is one edit.
+Words of clean training texts that are one edit from a term of four letters are
+ordinary words and no misspellings.
 
 *Matching.*  The terms form a trie.  A Levenshtein automaton per term would run
 over each word; here their intersection with the trie is run at once: a state
@@ -37,14 +39,19 @@ TRAIN_ROWS = 8000
 MAX_TERMS = 400
 #: Least log-likelihood ratio of a term: chance gives one such term among some thousand.
 MIN_GAIN = 6.0
+#: Least log odds of a term.
+MIN_ODDS = 2.5
 #: What a toxic text still counts for each time that a chosen term explains it.
 EXPLAINED = 0.6
 STEM_LENGTHS = range(4, 13)
+#: Terms below this length have so many ordinary neighbours that those are learned.
+SHORT = 5
 WINDOW = 6
 THRESHOLD = 0.5
 #: Compiled states a worker keeps.
 KEEP_STATES = 100_000
 #: Marks around words; a hit's word is taken without them.
+_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 OPENING, CLOSING = "\"'“”„«‘‹>", "\"'”“»’›"
 #: Words of reporting in the corpus' languages.
@@ -56,7 +63,7 @@ FEATURES = ["exact", "fuzzy", "quoted_exact", "quoted_fuzzy", "density", "strong
 
 
 def allowed_edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 @dataclass
@@ -64,16 +71,20 @@ class Lexicon:
     """Terms with their log odds; a stem also matches words that go on after it."""
 
     terms: list[tuple[str, bool, float]]
+    #: Whether a swap of two neighbouring letters is one edit.
+    swaps: bool = False
+    #: Words that are no misspelling of a term below ``SHORT`` letters.
+    ordinary: frozenset[str] = frozenset()
     _trie: list[dict[str, int]] = field(default_factory=list, repr=False)
 
     def __post_init__(self) -> None:
         self._build()
 
-    def __getstate__(self) -> list:
-        return self.terms
+    def __getstate__(self) -> tuple:
+        return self.terms, self.swaps, self.ordinary
 
-    def __setstate__(self, terms: list) -> None:
-        self.terms = terms
+    def __setstate__(self, state: tuple) -> None:
+        self.terms, self.swaps, self.ordinary = state
         self._build()
 
     def _build(self) -> None:
@@ -95,8 +106,9 @@ class Lexicon:
     def _clear(self) -> None:
         self._ids: dict[tuple, int] = {(): 0}
         self._states: list[tuple] = [()]
-        self._early: list[tuple[int, int] | None] = [None]  # best stem met here: edits, term
-        self._late: list[tuple[int, int] | None] = [None]  # best term if the word ends here
+        # For ordinary words the second list holds.
+        self._early: tuple[list[tuple[int, int] | None], ...] = ([None], [None])  # best stem met here: edits, term
+        self._late: tuple[list[tuple[int, int] | None], ...] = ([None], [None])  # best term if the word ends here
         self._next: dict[int, int] = {}
         self._first = self._add({0: 0})
         self.found: dict[str, tuple[int, int] | None] = {}
@@ -105,7 +117,7 @@ class Lexicon:
         todo = list(nodes.items())
         while todo:  # letters of the term that the word leaves out
             n, e = todo.pop()
-            if e < self._most[n]:
+            if n >= 0 and e < self._most[n]:
                 for child in self._trie[n].values():
                     if e + 1 <= self._most[child] and e + 1 < nodes.get(child, 99):
                         nodes[child] = e + 1
@@ -115,8 +127,9 @@ class Lexicon:
             self._ids[key] = len(self._states)
             self._states.append(key)
             ends = [(e, t, stem) for n, e in key for t, stem, most in self._ends.get(n, ()) if e <= most]
-            self._early.append(min(((e, t) for e, t, stem in ends if stem), default=None))
-            self._late.append(min(((e, t) for e, t, _ in ends), default=None))
+            for k, held in enumerate((ends, [x for x in ends if not x[0] or len(self.terms[x[1]][0]) >= SHORT])):
+                self._early[k].append(min(((e, t) for e, t, stem in held if stem), default=None))
+                self._late[k].append(min(((e, t) for e, t, _ in held), default=None))
         return self._ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -127,6 +140,16 @@ class Lexicon:
                 nodes[n] = e
 
         for n, e in self._states[state]:
+            if n < 0:  # the second half of a swap
+                if -n & 0x1FFFFF == ord(c):
+                    put(-n >> 21, e)
+                continue
+            if self.swaps and e < self._most[n]:
+                for x, middle in self._trie[n].items():
+                    after = self._trie[middle].get(c)
+                    if x != c and after is not None and e < self._most[after]:
+                        half = -(after << 21 | ord(x))
+                        nodes[half] = min(e + 1, nodes.get(half, 99))
             child = self._trie[n].get(c)
             if child is not None:
                 put(child, e)
@@ -142,19 +165,19 @@ class Lexicon:
             return self.found[word]
         if len(self._states) > KEEP_STATES or len(self.found) > 4 * KEEP_STATES:
             self._clear()
-        state, best = self._first, None
+        state, best, k = self._first, None, int(word in self.ordinary)
         for c in word:
             key = state << 21 | ord(c)
             after = self._next.get(key)
             if after is None:
                 after = self._next[key] = self._step(state, c)
             state = after
-            early = self._early[state]
+            early = self._early[k][state]
             if early is not None and (best is None or early < best):
                 best = early
             if not state:
                 break
-        late = self._late[state]
+        late = self._late[k][state]
         if late is not None and (best is None or late < best):
             best = late
         self.found[word] = best
@@ -247,17 +270,36 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
 
     gain = part(F.col("pos"), both * share) + part(F.col("neg"), both * (1 - share))
     ranked = (
-        _term_counts(rows).filter((F.col("pos") >= max(2, n_pos // 400)) & (odds > 2.5) & (gain > MIN_GAIN))
+        _term_counts(rows).filter((F.col("pos") >= max(2, n_pos // 400)) & (odds > MIN_ODDS) & (gain > MIN_GAIN))
         .select("term", F.round(odds, 9).alias("odds"), F.round(gain, 9).alias("gain"))
         .orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(20 * MAX_TERMS).collect()
     )
-    return Lexicon(sorted(_cover(rows, [r.term for r in ranked], [float(r.odds) for r in ranked], n_pos, n_neg)))
+    terms = sorted(_cover(rows, [r.term for r in ranked], [float(r.odds) for r in ranked], n_pos, n_neg))
+    return Lexicon(terms, True, _ordinary(rows, Lexicon(terms, True), n_pos, n_neg))
+
+
+def _ordinary(rows: DataFrame, lexicon: Lexicon, n_pos: int, n_neg: int) -> frozenset[str]:
+    """Words that miss a short term by an edit and stand in clean training texts, with too low odds for a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, labels = [], []
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w in {_EDGES.sub("", w) for w in _SPACE.split(text.lower())}:
+                    hit = lexicon.match(w) if w else None
+                    if hit is not None and hit[0] and len(lexicon.terms[hit[1]][0]) < SHORT:
+                        words.append(w), labels.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], names=["word", "y"])
+
+    counts = rows.mapInArrow(run, "word string, y int").groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    odds = F.log((F.col("pos") + 0.1) / n_pos) - F.log((F.col("neg") + 0.1) / n_neg)
+    return frozenset(r.word for r in counts.filter((F.col("neg") > 0) & (odds <= MIN_ODDS)).select("word").collect())
 
 
 def _document_terms(text: str) -> set[str]:
     """Words, each with a blank after it, and beginnings of words."""
     seen = {_EDGES.sub("", w) for w in text.lower().split()}
-    return {w + " " for w in seen if 4 <= len(w) <= 40} | {w[:n] for w in seen for n in STEM_LENGTHS if len(w) >= n}
+    return {w + " " for w in seen if 1 <= len(w) <= 40} | {w[:n] for w in seen for n in STEM_LENGTHS if len(w) >= n}
 
 
 def _cover(rows: DataFrame, terms: list[str], odds: list[float], n_pos: int, n_neg: int) -> list[tuple[str, bool, float]]:
@@ -289,7 +331,10 @@ def _cover(rows: DataFrame, terms: list[str], odds: list[float], n_pos: int, n_n
             pos[list(found[d][0])] -= left[d] * (1 - EXPLAINED)
             left[d] *= EXPLAINED
         text = chosen[-1][0]
-        pos[[i for i, t in enumerate(terms) if t.startswith(text) or text.startswith(t.rstrip(" "))]] = 0
+        pos[best] = 0
+        # A word too short for a stem says nothing of the words that begin with it.
+        least = STEM_LENGTHS.start
+        pos[[i for i, t in enumerate(terms) if min(len(text), len(t.rstrip(" "))) >= least and (t.startswith(text) or text.startswith(t.rstrip(" ")))]] = 0
     return chosen
 
 

@@ -41,6 +41,27 @@ def test_automaton_against_plain_distances():
         assert lex.match(w) == best, w
 
 
+def test_short_terms_and_swaps():
+    lex = tx.Lexicon([("idiot", False, 1.0), ("scum", False, 1.0), ("stupid", True, 1.0), ("vex", False, 1.0)], True, frozenset(["slum"]))
+    for w, t in (("scvm", 1), ("sc*m", 1), ("scuum", 1), ("csum", 1), ("scmu", 1), ("idoit", 0), ("diiot", 0), ("stuipdity", 2)):
+        assert lex.match(w) == (1, t), w
+    assert lex.match("vex") == (0, 3) and not any(map(lex.match, ["slum", "vexe", "evx", "mucs", "idtoi"]))
+
+
+def test_abuse_by_short_or_misspelled_words_only(spark):
+    rng = random.Random(10)
+    rows, truth = [], []
+    for i in range(900):
+        words = [rng.choice([*WORDS, "slum"]) for _ in range(rng.randint(20, 60))]
+        for _ in range(3 if i % 6 == 0 else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["scum", "zud", "vilebeast"]))
+        rows.append((i, " ".join(words)))
+        truth.append((i, 1, int(i % 6 == 0)))
+    model = tx.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, truth))
+    assert {"scum", "zud"} <= {t for t, _, _ in model.lexicon.terms}
+    assert model.lexicon.match("scvm")[0] == 1 and model.lexicon.match("slum") is None and model.lexicon.match("zud")[0] == 0
+
+
 def test_quotation_is_told_from_abuse():
     lex = tx.Lexicon([("idiot", False, 2.0)])
     names = tx.FEATURES
