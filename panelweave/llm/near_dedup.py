@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.ranks import weight_before
 from panelweave.llm.common import mixed, shingles, slices, strings
 from panelweave.session import pin
 
@@ -47,8 +48,9 @@ LIST_PAIRS = 128
 #: Linked sets beyond ``K`` shingles share fewer stretches than this with a probability below 2e-7 (64 places, each shared
 #: with odds of 0.75); smaller ones may share a single list by construction and are never left out.
 LEAST_SHARED = 2
-#: Classes in one block of a group, and values looked at together there.
-BLOCK, BLOCK_VALUES = 256, 4096
+#: Classes in one block of a group, values looked at together there, shingles of a block (a larger set is alone), and
+#: shingles of two blocks sorted at a time.
+BLOCK, BLOCK_VALUES, BLOCK_SHINGLES, SORTED = 256, 4096, 2_000_000, 1 << 20
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -241,10 +243,11 @@ def _block_links(groups: DataFrame, comps: DataFrame, classes: DataFrame, docs:
     """
     members = _with_comp(groups.join(classes.select("nid", "n"), "nid"), comps)
     members = members.withColumn("_band", F.floor(F.log("n") / float(np.log(100 / PERCENT))).cast("int"))
-    sizes = members.groupBy("group", "_band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    members = pin(_in_blocks(members))
+    sizes = members.groupBy("group", "_band").agg((F.max("_i") + 1).alias("_blocks"))
     sizes = pin(sizes.select(F.col("group").alias("_g"), F.col("_band").alias("_b"), "_blocks"))
     near = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("_band") + d).alias("b")) for d in (-1, 0, 1)]))
-    own = members.join(sizes, (F.col("group") == F.col("_g")) & (F.col("_band") == F.col("_b"))).withColumn("_i", F.pmod(F.xxhash64("nid"), F.col("_blocks")).cast("int"))
+    own = members.join(sizes, (F.col("group") == F.col("_g")) & (F.col("_band") == F.col("_b")))
     own = own.select("nid", "group", "comp", "_band", "_i", near.alias("_near"))
     dealt = own.join(sizes, (F.col("group") == F.col("_g")) & (F.col("_near.b") == F.col("_b"))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     lower = (F.col("_near.d") == 1) | ((F.col("_near.d") == 0) & (F.col("_i") <= F.col("_j")))
@@ -255,30 +258,35 @@ def _block_links(groups: DataFrame, comps: DataFrame, classes: DataFrame, docs:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(strings(batch.column(1)))], pa.binary())], names=["nid", "set"])
+            for lo, hi in slices(batch.column(1)):
+                found = pa.array([s.tobytes() for s in _sets(strings(batch.column(1).slice(lo, hi - lo)))], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), found], names=["nid", "set"])
 
     whole = pin(_texts_of(groups.select("nid"), classes, docs).select("nid", "text").mapInArrow(sets, "nid long, set binary"))
     return keyed.join(whole, "nid").groupBy("task").applyInArrow(_compare_blocks, "a long, b long")
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Adds the block ``_i`` to ``members(group, _band, nid, n)``: at most ``BLOCK`` classes, and ``BLOCK_SHINGLES`` but for its last set."""
+    weight = F.greatest(F.col("n"), F.lit(-(-BLOCK_SHINGLES // BLOCK)))
+    placed = weight_before(members, ["group", "_band"], F.col("nid"), weight, "_before")
+    return placed.withColumn("_i", F.floor(F.col("_before") / BLOCK_SHINGLES).cast("int")).drop("_before")
+
+
 def _compare_blocks(rows: pa.Table) -> pa.Table:
     """Links of different components between the two blocks, as many as it takes to join them."""
     nid, comp = rows["nid"].to_numpy(), rows["comp"].to_numpy()
     low, high = np.flatnonzero(rows["low"].to_numpy()), np.flatnonzero(rows["high"].to_numpy())
-    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["set"]]  # not copied
     size = np.array([len(x) for x in sets], np.int64)
-    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, kept = np.repeat(np.arange(len(sets)), size), count[code] > 1
-    place = np.cumsum(count > 1) - 1
-    code, owner = place[code[kept]], owner[kept]
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
     shared = np.zeros((len(low), len(high)), np.float32)
-    for lo in range(0, int((count > 1).sum()), BLOCK_VALUES):
-        a, b = np.searchsorted(code, [lo, lo + BLOCK_VALUES])
-        has = np.zeros((len(sets), BLOCK_VALUES), np.float32)
-        has[owner[a:b], code[a:b] - lo] = 1
-        shared += has[low] @ has[high].T
+    # Hashes are even, so that equal ranges of values hold about as many.
+    parts = 1 + int(size.sum()) // SORTED
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in sets]
+    for k in range(parts):
+        _add_shared(shared, [x[c[k] : c[k + 1]] for x, c in zip(sets, cuts)], low, high)
+    shared = shared.astype(np.float64)
     linked = (100 * shared >= PERCENT * (size[low][:, None] + size[high][None, :] - shared)) & (comp[low][:, None] != comp[high][None, :])
     i, j = np.nonzero(linked)
     i, j = low[i], high[j]
@@ -301,6 +309,21 @@ def _compare_blocks(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(nid[i[out]], pa.int64()), "b": pa.array(nid[j[out]], pa.int64())})
 
 
+def _add_shared(shared: np.ndarray, sets: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> None:
+    """Adds the numbers of common values of the sets ``low`` and ``high``."""
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, kept = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), count[code] > 1
+    place = np.cumsum(count > 1) - 1
+    code, owner = place[code[kept]], owner[kept]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for lo in range(0, int((count > 1).sum()), BLOCK_VALUES):
+        a, b = np.searchsorted(code, [lo, lo + BLOCK_VALUES])
+        has = np.zeros((len(sets), BLOCK_VALUES), np.float32)
+        has[owner[a:b], code[a:b] - lo] = 1
+        shared += has[low] @ has[high].T
+
+
 def _linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``nid, comp`` of every class that is linked to another."""
     entries = _list_rows(classes)

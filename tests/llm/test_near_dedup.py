@@ -90,6 +90,29 @@ def test_small_base_with_many_variants(spark, size, more):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == plain(rows)
 
 
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 1000)
+    rows = [(i, g, b, n) for g, b, n, m in ((1, 9, 20, 300), (1, 16, 150, 40), (2, 27, 5000, 5)) for i, n in enumerate([n] * m, 1000 * b)]
+    blocks = {}
+    for r in nd._in_blocks(spark.createDataFrame(rows, "nid long, group long, _band int, n long")).collect():
+        blocks.setdefault((r.group, r._band, r._i), []).append(r.n)
+    assert sum(map(len, blocks.values())) == len(rows)
+    assert all(len(x) <= nd.BLOCK and sum(x[:-1]) < 1000 for x in blocks.values()) and [len(x) for k, x in blocks.items() if k[0] == 2] == [1] * 5
+
+
+def test_ranges_of_a_block_add_up(monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, 500, np.uint64)
+    sets = [np.unique(np.concatenate([base[: 500 - 9 * i], rng.integers(0, 2**64, 7 * i, np.uint64)])) for i in range(12)]
+    n = len(sets)
+    rows = nd.pa.table({"nid": list(range(n)), "comp": list(range(n)), "low": [True] * n, "high": [True] * n, "set": [x.tobytes() for x in sets]})
+    whole, seen = nd._compare_blocks(rows), []
+    monkeypatch.setattr(nd, "SORTED", 700)
+    add = nd._add_shared
+    monkeypatch.setattr(nd, "_add_shared", lambda shared, parts, *a: (seen.append(sum(map(len, parts))), add(shared, parts, *a)))
+    assert nd._compare_blocks(rows) == whole and whole.num_rows and len(seen) > 5 and max(seen) < 1400
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 200) if i % 40 != 39] + [(1000, 500), (500, 700), (3, 3)]
     got = {r.nid: r.comp for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
