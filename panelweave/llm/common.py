@@ -57,6 +57,24 @@ def strings(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.string()) if texts.type != pa.string() else texts, "")
 
 
+def translated(texts: pa.Array, table: bytes) -> pa.Array:
+    """Texts with every byte replaced by ``table``, which keeps bytes from 128 on; null is empty."""
+    texts = strings(texts)
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = texts.buffers()[2]
+    raw = data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if data is not None else b""
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(raw.translate(table)))
+
+
+def word_table(kept: str) -> bytes:
+    """For ``translated``: A-Z become a-z, then ASCII characters that are not in ``kept`` become blanks."""
+    table = bytearray(range(256))
+    for b in range(128):
+        c = chr(b).lower()
+        table[b] = ord(c) if c in kept else 32
+    return bytes(table)
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Word codes of all texts one after another, each text's first position (and the end), and the words by code."""
     lists = pc.ascii_split_whitespace(strings(texts))

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelweave.llm.common import table
 from panelweave.llm.decontam import find_items
+from panelweave.llm.hard_negatives import hard_negatives
+from panelweave.llm.lexical_search import lexical_search
+from panelweave.llm.license_scan import Notice, license_digest
 from panelweave.llm.mixing import mix
 from panelweave.llm.near_dedup import near_duplicates
 from panelweave.llm import quality_cnn, toxicity
@@ -29,6 +33,25 @@ URL_GLOBS = [
     Rule("ads.*", "", "block"), Rule("track??.*", "", "block"), Rule("*casino*", "", "block"),
 ]
 
+#: The phrases whose places are counted.
+LICENSES = [
+    Notice("mit", "under the mit license", frozenset({"mit"})),
+    Notice("apache-2", "apache license version 2", frozenset({"2"})),
+    Notice("cc-by-nc", "cc by nc", frozenset({"cc", "by", "nc"})),
+]
+#: Other notices as they stand in common licences.
+MORE_LICENSES = [
+    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    Notice("gpl", "gnu general public license"),
+    Notice("lgpl", "gnu lesser general public license"),
+    Notice("agpl", "gnu affero general public license"),
+    Notice("mpl", "mozilla public license"),
+    Notice("unlicense", "free and unencumbered software released into the public domain"),
+    Notice("cc-by-nc", "creative commons attribution noncommercial"),
+    Notice("all-rights-reserved", "all rights reserved"),
+]
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -71,6 +94,20 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(table(spark, sf_dir, "documents"), LICENSES, MORE_LICENSES)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector")), F.col("id") % 100 == 0)
+
+
 def _glob_sql(rule: Rule) -> str:
     """A glob rule as a regular expression over host, tab and path."""
     def part(text: str) -> str:
@@ -101,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_url_rules": op10_url_rules,
+    "op11_license_scan": op11_license_scan,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Source targets by filling up sources in order of cap per weight, then Pareto order within each source.
@@ -130,4 +170,26 @@ n AS (SELECT row, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY row),
 p AS (SELECT d.row AS d_row, i.row AS i_row, any_value(d.id) AS doc_id, any_value(i.id) AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.s = i.s AND d.kind = 0 AND i.kind = 1 GROUP BY d.row, i.row)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment, true AS contaminated FROM p JOIN n ON p.i_row = n.row WHERE 100 * n_shared >= 75 * n_item"""
 
-SQL: dict[str, str] = {"op9_decontamination": _OP9_SQL, "op3_mixing": _OP3_SQL, "op10_url_rules": _op10_sql()}
+#: All scores from plain term counts.
+_OP12_SQL = r"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+q AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+g AS (SELECT count(*) AS nd, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+qt AS (SELECT q, term, count(*) AS c FROM (SELECT q, unnest(t) AS term FROM q) GROUP BY q, term),
+dt AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY row, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM dt, g GROUP BY term),
+m AS (SELECT row, doc_id, 25 + ((75 * len(t) * nd) // l) AS m FROM d, g WHERE len(t) > 0),
+i AS (SELECT dt.row, dt.term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS impact FROM dt JOIN w ON dt.term = w.term JOIN m ON dt.row = m.row),
+s AS (SELECT q, row, CAST(sum(c * impact) AS BIGINT) AS score FROM qt JOIN i ON qt.term = i.term GROUP BY q, row),
+r AS (SELECT q.item_id, m.doc_id, score, row_number() OVER (PARTITION BY s.q ORDER BY score DESC, m.doc_id NULLS LAST) AS rank FROM s JOIN m ON s.row = m.row JOIN q ON s.q = q.q WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+#: All products of anchors and rows.
+_OP13_SQL = """WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+t AS (SELECT anchor_id, other AS positive_id, s AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5),
+n AS (SELECT t.*, p.other AS negative_id, p.s AS negative_score, row_number() OVER (PARTITION BY t.anchor_id, t.positive_id ORDER BY p.s DESC, p.other) AS rank
+FROM t JOIN p ON t.anchor_id = p.anchor_id AND NOT p.same AND 80 * t.positive_score <= 100 * p.s AND 100 * p.s <= 100 * t.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+SQL: dict[str, str] = {"op12_lexical_search": _OP12_SQL, "op13_hard_negatives": _OP13_SQL, "op9_decontamination": _OP9_SQL, "op3_mixing": _OP3_SQL, "op10_url_rules": _op10_sql()}
