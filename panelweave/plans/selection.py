@@ -152,21 +152,23 @@ def select_random_bootstrap(genes: DataFrame, n: int, draws: int = 10, seed: int
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("frequency"), "gene")).cast("long"))
 
 
-def select_dimred(loadings: DataFrame, means: DataFrame | None, size: int, k: int, per_celltype: bool = True, pool: int = ld.POOL_SIZE) -> DataFrame:
+def select_dimred(loadings: DataFrame, means: DataFrame | None, size: int, k: int, per_celltype: bool = True, pool: int = ld.POOL_SIZE,
+                  bounds: tuple[float, float] | None = None) -> DataFrame:
     """Panel from factor loadings: pool, expression bounds, duplicates, balanced selection.
 
     All pool genes are returned; ``selected_initial`` marks the panel.
     """
+    bounds = bounds or (fl.MIN_EXPRESSION, fl.MAX_EXPRESSION)
     if per_celltype:
         raw = ld.factor_pool(loadings, ld.pool_size_per_factor(pool, k))
-        raw = pin(raw if means is None else ld.pool_expression_filter(raw, means, True))
+        raw = pin(raw if means is None else ld.pool_expression_filter(raw, means, True, *bounds))
         res = pin(ld.resolve_across_celltypes(ld.resolve_duplicates(raw, loadings, k), raw))
         n_ct = loadings.select("scope").distinct().count()
         chosen = ld.select_from_pool_per_celltype(res, size, k, n_ct).select("gene", F.lit(True).alias("_sel"))
         order = F.struct((-F.col("n_celltypes")).alias("n"), (-F.col("weight")).alias("w"), F.col("gene").alias("g"))
     else:
         raw = ld.factor_pool(loadings, pool)
-        raw = raw if means is None else ld.pool_expression_filter(raw, means, False)
+        raw = raw if means is None else ld.pool_expression_filter(raw, means, False, *bounds)
         res = pin(ld.assign_primary_factor(raw).withColumn("celltype", F.lit("global")))
         chosen = ld.select_from_pool_global(res, size, k).select("gene", F.lit(True).alias("_sel"))
         order = F.struct((-F.col("weight")).alias("w"), F.col("gene").alias("g"))
@@ -210,6 +212,7 @@ class SelectionConfig:
     analysis_type: str = "per_celltype"
     reduction: str = "nmf"
     k: int = 5
+    pool: int = ld.POOL_SIZE
     rf_share: float = 0.25
     expression_bounds: tuple[float, float] | None = (fl.MIN_EXPRESSION, fl.MAX_EXPRESSION)
     blacklist: Sequence[str] = ()
@@ -222,62 +225,8 @@ class SelectionConfig:
     forest: dict = field(default_factory=dict)
 
 
-def _finish(panel: DataFrame, means: DataFrame | None, cfg: SelectionConfig, celltype_aware: bool) -> DataFrame:
-    p = pn.new_panel(panel, cfg.strategy, cfg.analysis_type)
-    if means is not None and cfg.expression_bounds:
-        p = fl.expression_filter(p, means, *cfg.expression_bounds, celltype_aware=celltype_aware)
-    return pn.single_gap_fill(pin(p), cfg.size)
-
-
 def select(data: ExprData, cfg: SelectionConfig) -> DataFrame:
-    """Blacklist, strategy, expression filter, gap fill: a finished panel table.
+    """Blacklist, strategy, expression bounds, gap fill: a finished panel table (the fold of ``selection_log.select_logged``)."""
+    from panelweave.plans.selection_log import select_logged
 
-    ``data.expr`` has log values in ``value`` and, for NMF, counts in ``counts``
-    when that column exists.
-    """
-    if cfg.strategy not in SINGLE + COMBINED:
-        raise ValueError(f"unknown strategy {cfg.strategy}")
-    allowed = fl.blacklist_filter(data.genes, cfg.blacklist, cfg.use_default_blacklist, cfg.force_include).filter("blacklist_status <> 'removed'")
-    data = restrict_celltypes(q.keep_genes(data, allowed), cfg.min_cells)
-    data = ExprData(pin(data.expr), pin(data.cells), pin(data.genes))
-    means = pin(q.mean_expr_by_celltype(data))
-    per_ct = cfg.analysis_type == "per_celltype"
-    counts = data if "counts" not in data.expr.columns else ExprData(data.expr.withColumn("value", F.col("counts").cast("double")), data.cells, data.genes)
-
-    def deg():
-        return pin(mk.rank_genes_wilcoxon(data).withColumnRenamed("celltype", "group"))
-
-    def n_groups():
-        return data.cells.select("celltype").distinct().count()
-
-    def forest(use_deg: bool, size: int):
-        cand = mk.deg_candidates(deg(), size, n_groups()) if use_deg else data.genes
-        return pin(select_rf(forest_scores(data, cand, **cfg.forest), size)).withColumn("celltype", F.lit("global"))
-
-    def factors(size: int, reduction: str):
-        l = pin(factor_loadings(counts if reduction == "nmf" else data, reduction, cfg.k, per_ct, cfg.factor_iters, cfg.seed))
-        bounds = means if cfg.expression_bounds else None
-        return pin(select_dimred(l, bounds, size, cfg.k, per_ct))
-
-    s = cfg.strategy
-    if s == "deg_only":
-        return _finish(with_rank(pin(select_deg(deg(), cfg.size, n_groups(), cfg.max_pval))), means, cfg, True)
-    if s in ("rf_simple", "rf_deg"):
-        return _finish(forest(s == "rf_deg", cfg.size), means, cfg, False)
-    if s == "hvg":
-        return _finish(select_hvg(q.hvg(data, "seurat", cfg.size), cfg.size).withColumn("celltype", F.lit("global")), means, cfg, False)
-    if s == "random":
-        return _finish(select_random(data.genes, cfg.size, cfg.seed).withColumn("celltype", F.lit("global")), means, cfg, False)
-    if s == "dimred_only":
-        # Bounds were applied to the pool already.
-        return _finish(factors(cfg.size, cfg.reduction), None, cfg, False)
-    forced_genes = data.expr.sparkSession.createDataFrame([(g,) for g in cfg.force_include], "gene string")
-    forced = pin(pn.force_include(data.genes, forced_genes, cfg.size))
-    n_forced = forced.count()
-    n_rf, n_dim = pn.combination_targets(cfg.size, n_forced, cfg.rf_share)
-    rf = forest(True, int(n_rf * OVERSAMPLE))
-    if cfg.expression_bounds:
-        rf = pin(fl.expression_filter(rf, means, *cfg.expression_bounds, celltype_aware=False).filter("passed_xenium"))
-    dim = factors(int(n_dim * OVERSAMPLE), s.removeprefix("rf_"))
-    both = select_combination(rf, dim, cfg.size, forced, n_forced, cfg.rf_share, cfg.analysis_type, dim)
-    return pn.new_panel(both.withColumn("selected_initial", F.lit(True)).withColumn("final_selection", F.lit(True)), s, cfg.analysis_type)
+    return select_logged(data, cfg).panel()
