@@ -72,40 +72,13 @@ def variability_summary(rows: DataFrame) -> DataFrame:
 
 
 def celltype_identification(data: ExprData, panels: DataFrame, group: str = "celltype", size: int = 500, depths=(30, 5, 10, 15, 20), seed: int = 2020) -> DataFrame:
-    """How well a decision tree tells cell types apart from each panel's genes alone.
+    """How well a decision tree tells cell types apart from each panel's genes alone: one row per (panel, label).
 
-    4:1 split within types, ``size`` training cells per type, the depth of best
-    macro F1.  Depth 30 stands for unlimited.  Returns one row per (panel, label).
+    See :mod:`panelweave.plans.identification`, which also has the scores per panel and depth and the importances.
     """
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector
+    from panelweave.plans.identification import identify, label_scores
 
-    from panelweave.operators.agreement import classification_report
-    from panelweave.operators.neighbors import vectors
-    from panelweave.operators.sampling import split_ratio, uniform_samples
-
-    roles = pin(split_ratio(data.cells, 4, group, seed))
-    train = pin(uniform_samples(roles.filter("role = 'train'"), size, group, seed))
-    names = StringIndexer(inputCol=group, outputCol="y", stringOrderType="alphabetAsc").fit(data.cells.select(group))
-    out = None
-    for name in [r.panel for r in panels.select("panel").distinct().orderBy("panel").collect()]:
-        genes = panels.filter(F.col("panel") == name)
-        v = pin(vectors(data.expr, data.cells, genes)).select("cell_id", array_to_vector("vec").alias("x"))
-        fit_on = names.transform(train.select("cell_id", group).join(v, "cell_id")).persist()
-        test = names.transform(roles.filter("role = 'test'").select("cell_id", group).join(v, "cell_id")).persist()
-        best = None
-        for depth in depths:
-            m = DecisionTreeClassifier(featuresCol="x", labelCol="y", predictionCol="p", maxDepth=depth, seed=seed).fit(fit_on)
-            rep = pin(classification_report(m.transform(test), "y", "p"))
-            f1 = rep.agg(F.avg("f1")).first()[0]
-            if best is None or f1 > best[0]:
-                best = (f1, depth, rep, float(np.mean(m.featureImportances.toArray())))
-        f1, depth, rep, imp = best
-        back = data.expr.sparkSession.createDataFrame([(f"{float(i)}", lab) for i, lab in enumerate(names.labels)], "label string, celltype string")
-        o = rep.join(back, "label", "left").select(F.lit(name).alias("dataset"), "celltype", "precision", "recall", "f1", "support", F.lit(depth).alias("best_max_depth"),
-                                                   F.lit(float(f1)).alias("macro_f1"), F.lit(imp).alias("avg_feature_importance"))
-        out = o if out is None else out.unionByName(o)
-        fit_on.unpersist()
-        test.unpersist()
-    return out
+    ident = identify(data, panels, group, size, depths, seed)
+    imp = ident.importances.groupBy("dataset", F.col("depth").alias("best_max_depth")).agg(F.avg("importance").alias("avg_feature_importance"))
+    return label_scores(ident).join(imp, ["dataset", "best_max_depth"]).select(
+        "dataset", "celltype", "precision", "recall", "f1", "support", "best_max_depth", "macro_f1", "avg_feature_importance")

@@ -173,7 +173,7 @@ SELECT COUNT(*) AS n, COUNT(DISTINCT f) AS n_fit, COUNT(DISTINCT q) AS n_query,
 def _halves(spark, sf):
     d = emb(spark, sf)
     t = table(spark, sf, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    a, b = t.filter("cell_id % 3 = 0"), t.filter("cell_id % 3 = 1")
+    a, b = t.filter("cell_id % 2 = 0"), t.filter("cell_id % 2 = 1")
     dens = b.select("cell_id", ((F.pmod("cell_id", F.lit(5)) + 1) / 10.0).alias("density"))
     return d, a, b, dens
 
@@ -183,15 +183,20 @@ def mapping_weights(spark, sf):
     return pr.mapping_weights(a, b, dens).withColumn("weight", r6("weight", 8))
 
 
-_MAP = """a AS (SELECT vec_id AS cell_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 3 = 0), b AS (SELECT vec_id AS spot_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 3 = 1),
+_MAP = """a AS (SELECT vec_id AS cell_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id AS spot_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 2 = 1),
 s AS (SELECT cell_id, spot_id, exp(list_cosine_similarity(a.vec, b.vec)) * ((spot_id % 5 + 1) / 10.0) AS e FROM a CROSS JOIN b),
 w AS (SELECT cell_id, spot_id, e / SUM(e) OVER (PARTITION BY cell_id) AS weight FROM s)"""
 
 
 def project_mapping(spark, sf):
     d, a, b, dens = _halves(spark, sf)
-    w = pr.mapping_weights(a, b, dens)
-    return pr.project_mapping(w, d.expr, d.genes.filter("gene < 'g010'")).withColumn("value", r6("value"))
+    return pr.softmax_projection(a, b, d.expr, dens, training=d.genes.filter("gene < 'g010'")).withColumn("value", r6("value"))
+
+
+def project_mapping_weights(spark, sf):
+    """The same from a given weight matrix."""
+    d, a, b, dens = _halves(spark, sf)
+    return pr.project_mapping(pr.mapping_weights(a, b, dens), d.expr, d.genes.filter("gene < 'g010'")).withColumn("value", r6("value"))
 
 
 PROJECT = f"WITH {EMB}, {_MAP} SELECT spot_id, gene, round(SUM(weight * value), 6) AS value, gene < 'g010' AS is_training FROM w JOIN expr USING (cell_id) GROUP BY 1, 2"
@@ -199,17 +204,16 @@ PROJECT = f"WITH {EMB}, {_MAP} SELECT spot_id, gene, round(SUM(weight * value),
 
 def mapping_scores(spark, sf):
     d, a, b, dens = _halves(spark, sf)
-    w = pr.mapping_weights(a, b, dens)
-    p = pr.project_mapping(w, d.expr)
-    sp = ExprData(d.expr.filter("cell_id % 3 = 1"), d.cells.filter("cell_id % 3 = 1"), d.genes)
-    sc = ExprData(d.expr.filter("cell_id % 3 = 0").withColumn("value", F.when(F.col("value") > 0, F.col("value")).otherwise(0.0)), d.cells.filter("cell_id % 3 = 0"), d.genes)
+    p = pr.softmax_projection(a, b, d.expr, dens)
+    sp = ExprData(d.expr.filter("cell_id % 2 = 1"), d.cells.filter("cell_id % 2 = 1"), d.genes)
+    sc = ExprData(d.expr.filter("cell_id % 2 = 0").withColumn("value", F.when(F.col("value") > 0, F.col("value")).otherwise(0.0)), d.cells.filter("cell_id % 2 = 0"), d.genes)
     m = pr.mapping_gene_scores(p, sp, sc)
     return m.select("gene", *[r6(c).alias(c) for c in m.columns[1:]])
 
 
 MAP_SCORES = f"""WITH {EMB}, {_MAP}, p AS (SELECT spot_id, gene, SUM(weight * value) AS y FROM w JOIN expr USING (cell_id) GROUP BY 1, 2),
 c AS (SELECT p.gene, SUM(value * y) / sqrt(SUM(value * value) * SUM(y * y)) AS s FROM p JOIN expr e ON e.cell_id = spot_id AND e.gene = p.gene GROUP BY 1),
-z AS (SELECT gene, 1 - COUNT(*) FILTER (cell_id % 3 = 0 AND value > 0) / COUNT(*) FILTER (cell_id % 3 = 0) AS sc, 1 - COUNT(*) FILTER (cell_id % 3 = 1 AND value <> 0) / COUNT(*) FILTER (cell_id % 3 = 1) AS sp FROM expr GROUP BY 1)
+z AS (SELECT gene, 1 - COUNT(*) FILTER (cell_id % 2 = 0 AND value > 0) / COUNT(*) FILTER (cell_id % 2 = 0) AS sc, 1 - COUNT(*) FILTER (cell_id % 2 = 1 AND value <> 0) / COUNT(*) FILTER (cell_id % 2 = 1) AS sp FROM expr GROUP BY 1)
 SELECT gene, round(s, 6) AS train_score, round(sc, 6) AS sparsity_sc, round(sp, 6) AS sparsity_sp, round(sp - sc, 6) AS sparsity_diff FROM c JOIN z USING (gene)"""
 
 
@@ -310,7 +314,7 @@ QUERIES = [
     Query("nmf_global", nmf_global), Query("nmf_per_celltype", nmf_per_celltype), Query("nmf_init", nmf_init, INIT),
     Query("pca_global", pca_global), Query("pca_per_celltype_variance", pca_variance, PCA_VAR), Query("pca_predict", pca_predict, PCA_PREDICT),
     Query("pca_per_celltype", pca_per_celltype), Query("variability_summary", variability_summary, VAR_SUMMARY), Query("fastica", fastica), Query("scaling_factor", scaling_factor, SCALING), Query("validate_feature_map", feature_map, FEATURE_MAP),
-    Query("mapping_weights", mapping_weights, "WITH " + _MAP + " SELECT cell_id, spot_id, round(weight, 8) AS weight FROM w"), Query("project_mapping", project_mapping, PROJECT),
+    Query("mapping_weights", mapping_weights, "WITH " + _MAP + " SELECT cell_id, spot_id, round(weight, 8) AS weight FROM w"), Query("project_mapping", project_mapping, PROJECT), Query("project_mapping_weights", project_mapping_weights, PROJECT),
     Query("mapping_gene_scores", mapping_scores, MAP_SCORES), Query("density_priors", density_priors, PRIORS),
     Query("holdout_gene_experiment", holdout), Query("predictors", predictors),
     Query("consensus_density", density, DENSITY), Query("consensus_median_spectra", median_spectra, MEDIAN), Query("consensus_nmf", consensus),

@@ -8,6 +8,7 @@ from panelweave.operators.markers import bh_adjust
 from panelweave.operators import quality as q
 from panelweave.plans import selection as se
 from panelweave.plans import evaluation as ev
+from panelweave.plans import identification as ids
 from panelweave.plans.preprocess import preprocess
 from panelweave.schema import ExprData
 from panelweave.session import pin
@@ -139,8 +140,46 @@ def end_combination(spark, sf):
 
 def identification(spark, sf):
     d = emb(spark, sf)
-    panels = d.genes.filter("gene < 'g020'").withColumn("panel", F.lit("first"))
-    return ev.celltype_identification(d, panels, size=60, depths=(5,))
+    kinds = F.array(F.when(F.col("gene") < "g020", "first"), F.when(F.substring("gene", -1, 1).cast("int") % 2 == 1, "odd"), F.lit("all"))
+    panels = d.genes.withColumn("panel", F.explode(kinds)).filter("panel is not null")
+    return ev.celltype_identification(d, panels)
+
+
+def _planted(spark, sf):
+    """Genes that tell each, half or none of the labels apart."""
+    t = table(spark, sf, "embeddings")
+    n = F.col("label").cast("double")
+    kinds = F.explode(F.array(*[F.struct(F.lit(g).alias("gene"), v.alias("value")) for g, v in (("each", n), ("half", (n < 5).cast("double")), ("flat", F.lit(1.0)))]))
+    expr = t.select(F.col("vec_id").alias("cell_id"), kinds.alias("x")).select("cell_id", "x.*").filter("value <> 0")
+    cells = t.select(F.col("vec_id").alias("cell_id"), F.concat(F.lit("c"), F.col("label")).alias("celltype"))
+    genes = spark.createDataFrame([("each",), ("half",), ("flat",)], "gene string")
+    panels = spark.createDataFrame([("p_each", "each"), ("p_each", "flat"), ("p_half", "half"), ("p_half", "flat"), ("p_half", "unknown"), ("p_flat", "flat")], "panel string, gene string")
+    return ids.identify(ExprData(expr, cells, genes), panels)
+
+
+def identification_depths(spark, sf):
+    d = ids.depth_scores(_planted(spark, sf))
+    return d.select("dataset", "depth", "best", *[r6(c).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "weighted_precision", "weighted_recall", "inverse_freq_f1")])
+
+
+#: Equal classes in a row make every cut equally good, so the first one is taken: a tree of depth d names the first d labels.
+_PLANTED = """l AS (SELECT label, 'c' || label AS ct, COUNT(*) AS n, row_number() OVER (ORDER BY label) - 1 AS i FROM embeddings GROUP BY label HAVING COUNT(*) >= 5),
+k AS (SELECT 'p_each' AS dataset, d AS depth, least(i, d) AS p, l.* FROM l, (SELECT unnest([5, 10, 15, 20, 30]) AS d)
+ UNION ALL SELECT 'p_half', d, CASE WHEN label < 5 THEN 0 ELSE (SELECT COUNT(*) FROM l WHERE label < 5) END, l.* FROM l, (SELECT unnest([5, 10, 15, 20, 30]) AS d) UNION ALL SELECT 'p_flat', d, 0, l.* FROM l, (SELECT unnest([5, 10, 15, 20, 30]) AS d)),
+c AS (SELECT a.dataset, a.depth, a.ct, a.n, a.i, CASE WHEN a.p = a.i THEN 1 ELSE 0 END AS tp, (SELECT COUNT(*) FROM k b WHERE b.dataset = a.dataset AND b.depth = a.depth AND b.p = a.i) AS said FROM k a),
+s AS (SELECT *, CASE WHEN said > 0 THEN tp / said ELSE 0 END AS pr, 2 * tp / (said + 1) AS f1 FROM c)"""
+IDENT_DEPTHS = f"""WITH {_PLANTED}, t AS (SELECT dataset, depth, AVG(tp) AS accuracy, AVG(f1) AS f1, AVG(pr) AS pr, SUM(f1 / n) / SUM(1 / n) AS rare FROM s GROUP BY 1, 2)
+SELECT dataset, depth, row_number() OVER (PARTITION BY dataset ORDER BY round(f1, 12) DESC, CASE WHEN depth = 30 THEN 0 ELSE depth END) = 1 AS best, round(accuracy, 6) AS accuracy, round(f1, 6) AS macro_f1,
+ round(f1, 6) AS weighted_f1, round(pr, 6) AS weighted_precision, round(accuracy, 6) AS weighted_recall, round(rare, 6) AS inverse_freq_f1 FROM t"""
+
+
+def identification_ranks(spark, sf):
+    d = ids.dataset_scores(_planted(spark, sf))
+    return d.select("dataset", "best_max_depth", "n_genes", r6("avg_feature_importance").alias("avg_feature_importance"), *[F.col(c).cast("int").alias(c) for c in ("accuracy_rank", "macro_f1_rank", "avg_feature_importance_rank")])
+
+
+IDENT_RANKS = """SELECT 'p_each' AS dataset, 30 AS best_max_depth, COUNT(*) * 0 + 2 AS n_genes, 0.5::DOUBLE AS avg_feature_importance, 1 AS accuracy_rank, 1 AS macro_f1_rank, 1 AS avg_feature_importance_rank FROM embeddings
+UNION ALL SELECT 'p_half', 30, 2, 0.5, 2, 2, 1 UNION ALL SELECT 'p_flat', 30, 1, 0, 3, 3, 3"""
 
 
 QUERIES = [
@@ -149,4 +188,5 @@ QUERIES = [
     Query("select_dimred_global", dimred_global, SEL_DIMRED_G), Query("select_combination", combination, COMBINATION),
     Query("selection_deg_only", end_deg), Query("selection_hvg", end_hvg), Query("selection_dimred_only", end_dimred), Query("selection_rf_pca", end_combination),
     Query("celltype_identification", identification),
+    Query("identification_depths", identification_depths, IDENT_DEPTHS), Query("identification_ranks", identification_ranks, IDENT_RANKS),
 ]
