@@ -20,14 +20,11 @@ from pyspark.sql import functions as F
 
 from panelweave.session import pin
 
-MAX_GRAM_GENES = 4096
 MAX_FACTOR_VALUES = 40_000_000
 CHUNK_VALUES = 2_000_000
 #: Genes in one row of a partial factor, and groups of tasks that are added up first.
 BLOCK_GENES = 512
 SALTS = 64
-#: Subspace iteration ends when the residual of every component is below this part of the largest variance.
-PCA_TOLERANCE = 1e-9
 EPS = 1e-8
 
 
@@ -361,131 +358,28 @@ def init_spectra(deg: DataFrame, means: DataFrame, sizes: DataFrame, min_size: i
 
 # --- principal components --------------------------------------------------------------------
 
-def _dense(row, idx, val, n, g):
-    x = np.zeros((n, g))
-    x[row, idx] = val
-    return x
-
-
-def gram(p: Packed) -> DataFrame:
-    """Per scope the rows of X'X and the column sums: (scope, i, v ARRAY<DOUBLE>), i = -1 for the sums."""
-    g = len(p.genes)
-    if g > MAX_GRAM_GENES:
-        raise ValueError(f"{g} genes: use the iterative solver")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[str, np.ndarray] = {}
-        for scope, ids, row, idx, val in _chunks(batches, 1):
-            a = acc.setdefault(scope, np.zeros((g + 1, g)))
-            step = max(1, 4_000_000 // g)
-            for lo in range(0, len(ids), step):
-                m = (row >= lo) & (row < lo + step)
-                x = _dense(row[m] - lo, idx[m], val[m], min(step, len(ids) - lo), g)
-                a[1:] += x.T @ x
-                a[0] += x.sum(0)
-        for scope, a in acc.items():
-            yield pd.DataFrame({"scope": scope, "i": np.arange(-1, g, dtype="int32"), "v": list(a)})
-
-    return _add_up(_few_tasks(p.cells).mapInPandas(work, "scope string, i int, v array<double>"), ["scope", "i"])
-
-
 def _fix_sign(comp: np.ndarray) -> np.ndarray:
     """Largest absolute loading of each component positive; ``comp`` is genes x k."""
     top = comp[np.abs(comp).argmax(0), np.arange(comp.shape[1])]
     return comp * np.where(top < 0, -1.0, 1.0)
 
 
-def pca(p: Packed, k: int, iters: int = 1000, seed: int = 0) -> DataFrame:
+def pca(p: Packed, k: int, iters: int = 300, seed: int = 0) -> DataFrame:
     """(scope, factor, gene, loading, mean, explained_variance, ratio) of the k leading components.
 
-    Up to MAX_GRAM_GENES genes from the Gram matrix, which holds everything the
-    data says about its components; beyond that by subspace iteration until the
-    residuals reach PCA_TOLERANCE, at most ``iters`` times.
+    One block Krylov solver for any number of genes and all scopes at once; at most ``iters`` passes over the cells.
     """
-    spark = p.cells.sparkSession
+    from panelweave.operators.krylov import leading
+
     schema = "scope string, factor int, gene string, loading double, mean double, explained_variance double, ratio double"
-    genes, sizes = p.genes, p.n_cells
-    if len(genes) > MAX_GRAM_GENES:
-        return _pca_iterative(p, k, iters, seed, schema)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        scope, g = pdf["scope"].iloc[0], len(genes)
-        a = np.zeros((g + 1, g))
-        a[pdf["i"].to_numpy() + 1] = np.stack(pdf["v"].to_numpy())
-        return _components(scope, a[1:], a[0], sizes[scope], k, genes)
-
-    # One group holds a gene x gene matrix, bounded by MAX_GRAM_GENES squared.
-    return gram(p).groupBy("scope").applyInPandas(solve, schema)
-
-
-def _components(scope, xx, s, n, k, genes):
-    mu = s / n
-    cov = (xx - n * np.outer(mu, mu)) / max(n - 1, 1)
-    val, vec = np.linalg.eigh(cov)
-    order = np.argsort(val)[::-1][:min(k, n, len(genes))]
-    comp, ev = _fix_sign(vec[:, order]), np.maximum(val[order], 0.0)
-    total = max(np.trace(cov), 1e-300)
-    kk = len(order)
-    return pd.DataFrame({
-        "scope": scope, "factor": np.repeat(np.arange(kk, dtype="int32"), len(genes)), "gene": genes * kk, "loading": comp.T.ravel(),
-        "mean": np.tile(mu, kk), "explained_variance": np.repeat(ev, len(genes)), "ratio": np.repeat(ev / total, len(genes))})
-
-
-def _pca_iterative(p: Packed, k: int, iters: int, seed: int, schema: str) -> DataFrame:
-    spark, g = p.cells.sparkSession, len(p.genes)
-    moments = p.cells.select("scope", F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy("scope", F.col("e.idx").alias("i")).agg(
-        F.sum("e.val").alias("s1"), F.sum(F.col("e.val") * F.col("e.val")).alias("s2")).toPandas()
-    frames = []
-    q = min(g, k + 10)
-    basis, mean, total = {}, {}, {}
-    for scope, n in p.n_cells.items():
-        d = moments[moments["scope"] == scope]
-        mu, s2 = np.zeros(g), np.zeros(g)
-        mu[d["i"]], s2[d["i"]] = d["s1"] / n, d["s2"]
-        mean[scope], total[scope] = mu, float((s2 - n * mu * mu).sum() / max(n - 1, 1))
-        basis[scope] = np.linalg.qr(np.random.default_rng(seed).standard_normal((g, q)))[0]
-    for it in range(iters):
-        prod = {}
-        for keys in _batched(list(basis), g * q):
-            part = {s: basis[s] for s in keys}
-
-            def work(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
-                acc = {}
-                for scope, ids, row, idx, val in _chunks(batches, q):
-                    if scope in part:
-                        y = _row_sum(val[:, None] * part[scope][idx], row, len(ids))
-                        acc[scope] = acc.get(scope, 0) + _gene_sum(val[:, None] * y[row], idx, g)
-                for scope, a in acc.items():
-                    blocks = range(-(-g // BLOCK_GENES))
-                    yield pd.DataFrame({"scope": scope, "i": np.array(blocks, dtype="int32"), "v": [a[b * BLOCK_GENES:(b + 1) * BLOCK_GENES].ravel() for b in blocks]})
-
-            got = _add_up(_few_tasks(p.cells).mapInPandas(work, "scope string, i int, v array<double>"), ["scope", "i"]).toPandas()
-            for scope, d in got.groupby("scope"):
-                z = np.zeros((g, q))
-                for i, v in zip(d["i"], d["v"]):
-                    z[i * BLOCK_GENES:(i + 1) * BLOCK_GENES] = np.asarray(v).reshape(-1, q)
-                n, mu = p.n_cells[scope], mean[scope]
-                prod[scope] = (z - n * np.outer(mu, mu @ basis[scope])) / max(n - 1, 1)
-        worst = 0.0
-        for scope, z in prod.items():
-            small = basis[scope].T @ z
-            val, vec = np.linalg.eigh((small + small.T) / 2)
-            top = np.argsort(val)[::-1][:k]
-            off = np.linalg.norm(z @ vec[:, top] - basis[scope] @ vec[:, top] * val[top], axis=0)
-            worst = max(worst, float(off.max(initial=0.0)) / max(float(val.max(initial=0.0)), 1e-300))
-        if it == iters - 1 or worst <= PCA_TOLERANCE:
-            for scope, z in prod.items():
-                small = basis[scope].T @ z
-                val, vec = np.linalg.eigh((small + small.T) / 2)
-                order = np.argsort(val)[::-1][:k]
-                comp, ev = _fix_sign(basis[scope] @ vec[:, order]), np.maximum(val[order], 0.0)
-                kk = len(order)
-                frames.append(pd.DataFrame({
-                    "scope": scope, "factor": np.repeat(np.arange(kk, dtype="int32"), g), "gene": p.genes * kk, "loading": comp.T.ravel(),
-                    "mean": np.tile(mean[scope], kk), "explained_variance": np.repeat(ev, g), "ratio": np.repeat(ev / max(total[scope], 1e-300), g)}))
-            break
-        basis = {s: np.linalg.qr(z)[0] for s, z in prod.items()}
-    return spark.createDataFrame(pd.concat(frames), schema)
+    frames, g = [], len(p.genes)
+    for scope, r in leading(p, k, passes=iters, seed=seed).items():
+        kk = len(r.values)
+        frames.append(pd.DataFrame({
+            "scope": scope, "factor": np.repeat(np.arange(kk, dtype="int32"), g), "gene": p.genes * kk, "loading": r.vectors.T.ravel(), "mean": np.tile(r.mean, kk),
+            "explained_variance": np.repeat(r.values, g), "ratio": np.repeat(r.values / max(r.trace, 1e-300), g)}))
+    # Gene-sized: genes x components x scopes.
+    return p.cells.sparkSession.createDataFrame(pd.concat(frames), schema)
 
 
 def project(expr: DataFrame, cells: DataFrame, loadings: DataFrame, value: str = "value") -> DataFrame:
@@ -542,13 +436,10 @@ def fastica(p: Packed, k: int, iters: int = 50, seed: int = 0, tol: float = 1e-6
                 acc += t.T @ z
                 d += (1 - t * t).sum(0)
                 seen += len(ids)
-            yield pd.DataFrame({"a": [acc.ravel()], "d": [d], "n": [seen]})
+            yield pd.DataFrame({"scope": [scope], "v": [np.concatenate([acc.ravel(), d, [float(seen)]])]})
 
-        got = p.cells.mapInPandas(work, "a array<double>, d array<double>, n bigint")
-        sums = got.select(F.posexplode(F.concat("a", "d", F.array(F.col("n").cast("double")))).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-        v = np.zeros(k * k + k + 1)
-        for r in sums.collect():
-            v[r.i] = r.x
+        got = _add_up(_few_tasks(p.cells).mapInPandas(work, "scope string, v array<double>"), ["scope"]).first()
+        v = np.zeros(k * k + k + 1) if got is None else np.array(got.v)
         a, d, seen = v[:k * k].reshape(k, k), v[k * k:-1], v[-1]
         # Cells without stored values all sit at the same point.
         rest, z0 = n - seen, -shift

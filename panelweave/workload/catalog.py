@@ -6,7 +6,7 @@ import importlib
 
 from panelweave.workload.standins import Query
 
-AREAS = ["quality", "markers", "metrics", "naming", "sampling", "setops", "panels", "graph", "factors", "selection", "selections", "summaries", "files"]
+AREAS = ["quality", "markers", "metrics", "naming", "sampling", "setops", "panels", "graph", "factors", "ranks_from_data", "selection", "selections", "summaries", "files"]
 
 
 def all_queries() -> list[Query]:

@@ -5,6 +5,7 @@ import pytest
 
 from panelweave.operators import consensus as co
 from panelweave.operators import factor as fa
+from panelweave.operators import krylov as kr
 from panelweave.operators import predict as pr
 from panelweave.schema import ExprData
 
@@ -57,8 +58,43 @@ def test_pca_matches_eigenvectors(spark, poisson):
     val, vec = np.linalg.eigh(np.cov(poisson.T))
     assert np.allclose(np.abs(comp @ vec[:, ::-1][:, :3]), np.eye(3), atol=1e-6)
     assert np.allclose(l.groupby("factor")["explained_variance"].first(), val[::-1][:3])
-    again = fa._pca_iterative(p, 3, 200, 0, "scope string, factor int, gene string, loading double, mean double, explained_variance double, ratio double").toPandas()
-    assert np.allclose(again.groupby("factor")["explained_variance"].first(), val[::-1][:3], rtol=1e-3)
+
+
+def test_krylov_in_small_blocks(spark, poisson, monkeypatch):
+    d = _data(spark, poisson, ["a"] * 60 + ["b"] * 40)
+    p = fa.pack(d.expr, d.cells, d.genes, "celltype")
+    monkeypatch.setattr(kr, "BLOCK", 1)
+    for blocks in (100, 2):  # the whole space, and restarts
+        monkeypatch.setattr(kr, "MAX_BLOCKS", blocks)
+        for scope, rows in (("a", poisson[:60]), ("b", poisson[60:])):
+            val, vec = np.linalg.eigh(np.cov(rows.T))
+            r = kr.leading(p, 3)[scope]
+            assert np.allclose(r.values, val[::-1][:3], rtol=1e-7) and r.trace == pytest.approx(np.trace(np.cov(rows.T)))
+            assert np.allclose(np.abs(r.vectors.T @ vec[:, ::-1][:, :3]), np.eye(3), atol=1e-5)
+    sv = np.linalg.svd(poisson[:60], compute_uv=False)
+    got = {r.k: r.score for r in kr.explained_curve(p, [1, 4]).filter("scope = 'a'").collect()}
+    for k, score in got.items():
+        assert score == pytest.approx(1 - (sv[k:] ** 2).sum() / (poisson[:60].var() * poisson[:60].size), abs=1e-6)
+
+
+def test_rank_below_the_wanted_number(spark):
+    x = np.outer(np.arange(1.0, 9.0), np.ones(20))
+    d = _data(spark, x)
+    p = fa.pack(d.expr, d.cells, d.genes)
+    r = kr.leading(p, 5)["global"]
+    assert r.values[0] == pytest.approx(np.trace(np.cov(x.T))) and np.allclose(r.values[1:], 0, atol=1e-9)
+
+
+@pytest.mark.parametrize("method", ["knee", "stability"])
+def test_k_is_found_from_planted_blocks(spark, method):
+    rng = np.random.default_rng(3)
+    x = np.zeros((90, 30))
+    for b in range(3):
+        x[b * 30 : b * 30 + 30, b * 10 : b * 10 + 10] = rng.uniform(1, 3, (30, 1)) * rng.uniform(1, 3, (1, 10))
+    d = _data(spark, x)
+    how = {} if method == "knee" else {"runs": 5, "iters": 30}
+    model = pr.NmfPredictor(kr.k_resolver(range(1, 7) if method == "knee" else range(2, 5), method, **how), iters=40).fit(d)
+    assert model.k == 3
 
 
 def test_scopes_skip_small_types(spark, poisson):
