@@ -151,7 +151,8 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``nid, text``: one text for each of ``nodes(nid)``."""
-    wanted = classes.join(nodes, "nid", "left_semi").select("nid", "key")
+    # Written, so that its size is known: a small one meets the texts where they are read.
+    wanted = pin(classes.join(nodes, "nid", "left_semi").select("nid", "key"))
     texts = docs.select(row_key(F.col("doc_id"), F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     return texts.join(wanted, "key").groupBy("nid").agg(F.first("text").alias("text"))
 
