@@ -229,9 +229,10 @@ def _rarest_lists(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), nid, np.int64)), pa.array(np.full(len(s), len(s), np.int64))], names=["list", "nid", "n"])
 
     entries = pin(_texts_of(nodes, classes, docs).select("nid", "text").mapInArrow(run, "list long, nid long, n long"))
-    ranked = entries.join(entries.groupBy("list").agg(F.count(F.lit(1)).alias("_df")), "list").filter("_df > 1")
+    held = pin(entries.groupBy("list").agg(F.count(F.lit(1)).alias("_df"), F.min("nid").alias("_only")))
+    ranked = entries.join(held.filter("_df > 1").select("list", "_df"), "list")
     # Shingles of one set only can't be shared; they still take their places among the rarest.
-    alone = entries.join(entries.groupBy("list").agg(F.count(F.lit(1)).alias("_df")).filter("_df = 1"), "list", "left_semi").groupBy("nid").agg(F.count(F.lit(1)).alias("_alone"))
+    alone = held.filter("_df = 1").groupBy(F.col("_only").alias("nid")).agg(F.count(F.lit(1)).alias("_alone"))
     place = F.row_number().over(Window.partitionBy("nid").orderBy("_df", "list")) + F.coalesce("_alone", F.lit(0))
     return ranked.join(alone, "nid", "left").withColumn("_place", place).filter(F.col("_place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("list", "nid")
 
