@@ -56,6 +56,8 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# The tokens of panel names and the order they are tried in, from here to ``attributes``; the order decides the result.
+
 def _strategy(core: Column) -> Column:
     tok = F.split(core, "_")
     s = (

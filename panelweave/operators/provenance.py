@@ -102,6 +102,8 @@ def provenance_summary(prov: DataFrame) -> DataFrame:
     )
 
 
+# Source texts, category names and the order they are tried in; the order decides the result.
+
 def source_categories(prov: DataFrame, reduction: str = "NMF") -> DataFrame:
     """Genes per source category, in report order; blacklisted rows are left out."""
     src, det = F.col("initial_source"), F.coalesce("source_details", F.lit(""))
