@@ -153,6 +153,26 @@ def tie_ranks(
     ).withColumn(out, F.col("_before") + (F.col(weight) + 1) / 2.0).drop("_before")
 
 
+def row_tie_ranks(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str,
+    out: str,
+    sample_rate: int = SAMPLE_RATE,
+) -> DataFrame:
+    """Average ranks on the rows themselves, which stand for ``weight`` equal rows each; values may repeat.
+
+    The rows carry all their other columns along, so nothing is joined back by value.
+    """
+    keys = list(keys)
+    ranged = _with_offsets(add_ranges(df, keys, F.col(value), sample_rate), keys, F.col(weight), "_off")
+    # Equal values lie in one range, and the ordered window counts all peers of a row.
+    upto = F.sum(weight).over(Window.partitionBy(*keys, _RANGE).orderBy(_ORDER))
+    tied = F.sum(weight).over(Window.partitionBy(*keys, _RANGE, _ORDER))
+    return ranged.withColumn(out, F.col("_off") + upto - tied + (tied + 1) / 2.0).drop("_off", _RANGE, _ORDER)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import safe_div
-from panelweave.functions.ranks import SAMPLE_RATE, tie_ranks, weight_before
+from panelweave.functions.ranks import SAMPLE_RATE, row_tie_ranks, weight_before
 from panelweave.schema import ExprData, group_sizes, with_celltype
 from panelweave.session import pin
 
@@ -94,13 +94,9 @@ def spearman(truth: DataFrame, pred: DataFrame, n: Column | DataFrame, by: str =
         own = next(c for c in n.columns if c != by)
         stored, n = stored.join(n, by), F.col(own)
     both_zero = stored.select(by, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (n - F.col("stored")).alias("c")).filter(F.col("c") > 0)
-    pairs = pairs.unionByName(both_zero)
-
-    def ranks(col: str, out: str) -> DataFrame:
-        w = pairs.groupBy(by, col).agg(F.sum("c").alias("w"))
-        return tie_ranks(w, [by], col, "w", out, sample_rate).select(by, col, out)
-
-    r = pairs.join(ranks("x", "rx"), [by, "x"]).join(ranks("y", "ry"), [by, "y"])
+    # Each pass orders by one side and carries the other along.
+    r = pin(row_tie_ranks(pairs.unionByName(both_zero), [by], "x", "c", "rx", sample_rate))
+    r = row_tie_ranks(r, [by], "y", "c", "ry", sample_rate)
     c = F.col("c")
     s = r.groupBy(by).agg(
         F.sum(c).alias("n"), F.sum(c * F.col("rx")).alias("a"), F.sum(c * F.col("ry")).alias("b"),

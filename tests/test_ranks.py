@@ -1,5 +1,7 @@
 """Distributed ranks must not depend on how values are cut into ranges."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelweave.functions.ranks import exact_quantiles, row_index, running_min_from_end, tie_ranks
+from panelweave.functions.ranks import exact_quantiles, row_index, row_tie_ranks, running_min_from_end, tie_ranks
 
 
 def _skewed(spark, n=3000, seed=0):
@@ -63,3 +65,14 @@ def test_quantile_property(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     q = exact_quantiles(df, [], "v", {"m": 0.5}, 2).first()["m"]
     assert q == pytest.approx(float(np.median(values)))
+
+
+@pytest.mark.parametrize("rate", [1, 7, 1_000_000])
+def test_ranks_on_rows_with_ties(spark, rate):
+    rng = random.Random(9)
+    rows = [(k, rng.randrange(12), rng.randrange(5), rng.randrange(1, 4)) for k in "ab" for _ in range(200)]
+    df = spark.createDataFrame(rows, "k string, v int, other int, c long")
+    for r in row_tie_ranks(df, ["k"], "v", "c", "r", rate).collect():
+        low = sum(c for k, v, _, c in rows if k == r.k and v < r.v)
+        same = sum(c for k, v, _, c in rows if k == r.k and v == r.v)
+        assert r.r == low + (same + 1) / 2
