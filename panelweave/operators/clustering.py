@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.ranks import row_index
+from panelweave.operators.factor import _add_up, _few_tasks
 from panelweave.session import pin
 
+#: Cells of a one-hot matrix held at a time.
+ONE_HOT_CELLS = 4_000_000
+
 
 def cluster_to_n(edges: DataFrame, n: int, max_iter: int = 20) -> DataFrame:
     """Exactly ``n`` clusters of a neighbour graph (power iteration on similarities)."""
@@ -102,15 +108,35 @@ def coclustering_stability(labels: DataFrame) -> DataFrame:
     the runs, so no cell-by-cell matrix is ever formed.
     ``labels(k, run, cell_id, cluster)``; the result is sum 4 (C - 1/2)^2 / n^2.
     """
+    labels = pin(labels.select("k", "run", "cell_id", "cluster"))
     n = labels.groupBy("k").agg(F.count_distinct("cell_id").alias("n"), F.count_distinct("run").alias("r"))
-    # A cell's label in every run as one sorted list: as long as there are runs.
-    per = labels.groupBy("k", "cell_id").agg(F.array_sort(F.collect_list(F.struct("run", "cluster"))).alias("ls"))
-    combos = per.groupBy("k", "ls").agg(F.count(F.lit(1)).alias("c"))
-    one = combos.select("k", "c", F.explode("ls").alias("a")).groupBy("k", "a").agg(F.sum("c").alias("m"))
-    s1 = one.groupBy("k").agg(F.sum(F.col("m") * F.col("m")).alias("s1"))
-    two = combos.select("k", "c", "ls", F.explode("ls").alias("a")).select("k", "c", "a", F.explode("ls").alias("b"))
-    s2 = two.groupBy("k", "a", "b").agg(F.sum("c").alias("m")).groupBy("k").agg(F.sum(F.col("m") * F.col("m")).alias("s2"))
-    j = n.join(s1, "k").join(s2, "k")
+    # Numbers for the clusters of all runs of a k: a table of runs x clusters rows.
+    order = Window.partitionBy("k").orderBy("run", "cluster")
+    index = pin(labels.select("k", "run", "cluster").distinct().withColumn("_i", F.row_number().over(order) - 1))
+    size = {r.k: r.n for r in index.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per = labels.join(index, ["k", "run", "cluster"]).groupBy("k", "cell_id").agg(F.collect_list("_i").alias("at")).select("k", "at")
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for b in batches:
+            for k, g in b.groupby("k", sort=False):
+                m = size[k]
+                total = sums.setdefault(k, np.zeros((m, m)))
+                step = max(1, ONE_HOT_CELLS // m)
+                for lo in range(0, len(g), step):
+                    at = g["at"].iloc[lo : lo + step]
+                    hot = np.zeros((len(at), m))
+                    hot[np.repeat(np.arange(len(at)), at.map(len)), np.concatenate(at.to_numpy())] = 1
+                    total += hot.T @ hot
+        for k, total in sums.items():
+            yield pd.DataFrame({"k": k, "i": np.arange(len(total), dtype="int32"), "v": list(total)})
+
+    # Cells that two clusters share, for every pair of clusters of a k.
+    kind = labels.schema["k"].dataType.simpleString()
+    shared = _add_up(_few_tasks(per).mapInPandas(gram, f"k {kind}, i int, v array<double>"), ["k", "i"])
+    own = F.get("v", F.col("i"))
+    sums = shared.groupBy("k").agg(F.sum(own * own).alias("s1"), F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("s2"))
+    j = n.join(sums, "k")
     nn, r = F.col("n") * F.col("n"), F.col("r")
     total = 4 * F.col("s2") / (r * r) - 4 * F.col("s1") / r + nn
     return j.select("k", F.col("n").alias("n_cells"), (total / nn).alias("dispersion"))

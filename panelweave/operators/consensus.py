@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from panelweave.operators import factor as fa
 from panelweave.operators.clustering import kmeans_clusters
 from panelweave.operators.neighbors import knn
+from panelweave.operators.predict import _blocks
 from panelweave.session import pin
 
 # Defaults of the consensus.
 NEIGHBORHOOD = 0.30
 DENSITY_THRESHOLD = 0.5
-MAX_SPECTRA = 20_000
 
 
 def unit_spectra(loadings: DataFrame) -> DataFrame:
@@ -54,34 +54,39 @@ def median_spectra(loadings: DataFrame, clusters: DataFrame) -> DataFrame:
     return m.join(t, "cluster").select("cluster", "gene", (F.col("m") / (F.col("_t") + 1e-10)).alias("loading"))
 
 
-def silhouette(spectra: DataFrame, clusters: DataFrame) -> float:
-    """Mean Euclidean silhouette of the spectra, a table of restarts x factors rows."""
-    j = spectra.join(clusters, "spectrum").select("spectrum", "cluster", "vec")
-    rows = j.limit(MAX_SPECTRA + 1).toPandas()
-    if len(rows) > MAX_SPECTRA:
-        raise ValueError("too many spectra")
-    labels = rows["cluster"].to_numpy()
-    names, code = np.unique(labels, return_inverse=True)
-    if len(names) < 2 or len(rows) <= len(names):
+def silhouette(spectra: DataFrame, clusters: DataFrame, block: int = 2048) -> float:
+    """Mean Euclidean silhouette of the spectra: sums of distances to every cluster, by pairs of blocks of spectra."""
+    rows = pin(spectra.join(clusters, "spectrum").select(F.col("spectrum").alias("id"), F.col("cluster").cast("string").alias("cluster"), "vec"))
+    sizes = {r.cluster: r.n for r in rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names, total = sorted(sizes), sum(sizes.values())
+    if len(names) < 2 or total <= len(names):
         return float("nan")
-    x = np.stack(rows["vec"].to_numpy())
-    onehot = np.eye(len(names))[code]
-    size = onehot.sum(0)
-    sq = (x * x).sum(1)
+    n = -(-total // block)
+    place, size = {c: i for i, c in enumerate(names)}, np.array([sizes[c] for c in names], float)
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if len(a) == 0 or len(b) == 0:
+            return pd.DataFrame({"id": a["id"].iloc[:0], "cluster": a["cluster"].iloc[:0], "v": pd.Series([], dtype=object)})
+        x, y = np.stack(a["vec"].to_numpy()), np.stack(b["to"].to_numpy())
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0))
+        d[a["id"].to_numpy()[:, None] == b["other"].to_numpy()[None, :]] = 0.0
+        return pd.DataFrame({"id": a["id"], "cluster": a["cluster"], "v": list(d @ np.eye(len(names))[b["of"].map(place)])})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            y = np.stack(b["vec"].to_numpy())
-            c = np.searchsorted(names, b["cluster"].to_numpy())
-            d = np.sqrt(np.maximum((y * y).sum(1)[:, None] + sq[None, :] - 2 * y @ x.T, 0.0)) @ onehot
+            d, c = np.stack(b["v"].to_numpy()), b["cluster"].map(place).to_numpy()
             own, i = size[c], np.arange(len(c))
-            a = d[i, c] / np.maximum(own - 1, 1)
+            near = d[i, c] / np.maximum(own - 1, 1)
             d = d / size
             d[i, c] = np.inf
-            o = d.min(1)
-            yield pd.DataFrame({"s": np.where(own > 1, (o - a) / np.maximum(np.maximum(a, o), 1e-300), 0.0)})
-
-    return float(j.mapInPandas(score, "s double").agg(F.avg("s")).first()[0])
+            far = d.min(1)
+            yield pd.DataFrame({"s": np.where(own > 1, (far - near) / np.maximum(np.maximum(near, far), 1e-300), 0.0)})
+
+    left = _blocks(rows, "ab", "bb", n, n).select("id", "cluster", "vec", F.col("ab").alias("x"), F.col("bb").alias("y"))
+    right = _blocks(rows, "bb", "ab", n, n).select(F.col("id").alias("other"), F.col("cluster").alias("of"), F.col("vec").alias("to"), F.col("ab").alias("x"), F.col("bb").alias("y"))
+    pairs = left.groupBy("x", "y").cogroup(right.groupBy("x", "y"))
+    each = fa._add_up(pairs.applyInPandas(sums, "id string, cluster string, v array<double>"), ["id", "cluster"])
+    return float(each.mapInPandas(score, "s double").agg(F.avg("s")).first()[0])
 
 
 def consensus_nmf(p: fa.Packed, k_values: list[int], runs: int = 100, iters: int = 30, loss: str = "kullback-leibler", seed: int = 42,

@@ -147,3 +147,17 @@ def test_packed_chunks_do_not_change_results(spark, poisson, monkeypatch):
     assert sum(len(c[1]) for c in small) == 100
     assert sum(c[4].sum() for c in small) == pytest.approx(big[0][4].sum())
     assert h
+
+
+@pytest.mark.parametrize("block", [11, 4096])
+def test_silhouette_in_blocks(spark, block):
+    rng = np.random.default_rng(8)
+    x, c = rng.standard_normal((60, 4)) + np.repeat(np.eye(4)[:3] * 3, 20, axis=0), [i // 20 for i in range(59)] + [7]
+    s = spark.createDataFrame([(f"s{i}", [float(v) for v in r]) for i, r in enumerate(x)], "spectrum string, vec array<double>")
+    got = co.silhouette(s, spark.createDataFrame([(f"s{i}", str(k)) for i, k in enumerate(c)], "spectrum string, cluster string"), block)
+    d, c, want = np.linalg.norm(x[:, None] - x[None], axis=2), np.array(c), []
+    for i in range(60):
+        own = (c == c[i]) & (np.arange(60) != i)
+        a, b = d[i, own].mean() if own.any() else 0.0, min(d[i, c == k].mean() for k in set(c) - {c[i]})
+        want.append((b - a) / max(a, b) if own.any() else 0.0)
+    assert got == pytest.approx(np.mean(want))
