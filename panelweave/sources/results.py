@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.operators.markers import deg_filter, deg_group_summary
@@ -71,9 +71,14 @@ def read_stability(spark: SparkSession, root: str) -> DataFrame:
 BASELINE_PREFIXES = {"preservation": "neighborhood_preservation", "clustering": "clustering_quality", "identification": "celltype_identification"}
 
 
+def _named(prefix: str) -> Column:
+    """Files whose own or whose folder's name starts so."""
+    return F.col("path").rlike(f"/{prefix}[^/]*(/[^/]+)?$")
+
+
 def read_baseline(spark: SparkSession, root: str, kind: str, metrics: Sequence[str]) -> DataFrame:
-    """Rows of one baseline table; ``dataset_name`` is accepted for ``dataset``."""
-    r = csv_rows(spark, root, BASELINE_PREFIXES[kind] + "*.csv")
+    """Rows of one baseline table, a file or a written folder of that name; ``dataset_name`` is accepted for ``dataset``."""
+    r = csv_rows(spark, root).filter(_named(BASELINE_PREFIXES[kind]))
     return r.select(field("dataset", "dataset_name").alias("dataset"), field("celltype").alias("celltype"), *[_num(m).alias(m) for m in metrics])
 
 
@@ -88,10 +93,9 @@ def read_variability(spark: SparkSession, root: str, metrics: Sequence[str]) ->
 def detect_results(spark: SparkSession, root: str) -> DataFrame:
     """Which kinds of result files exist: (kind, n_files)."""
     p = raw_lines(spark, root, "*.csv", recursive=True).select("path").distinct()
-    name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(F.col("path").rlike(r"/k_\d+/iter_\d+/"), "k_varying").when(F.col("path").rlike(r"/iter_\d+/"), "stability")
     for label, prefix in BASELINE_PREFIXES.items():
-        kind = kind.when(name.startswith(prefix), label)
+        kind = kind.when(_named(prefix), label)
     return p.groupBy(kind.otherwise("variability").alias("kind")).agg(F.count(F.lit(1)).alias("n_files"))
 
 

@@ -204,9 +204,37 @@ def variability(spark, sf):
 VARIABILITY = f"WITH {EVENT_METRICS} SELECT dataset, celltype, fold, round(mse, 6) AS mse FROM metrics"
 
 
+def _baseline_files(spark, sf):
+    """Two baseline tables with different headers, and the folders of a run over k."""
+    root = fresh_path(spark, "baseline")
+    m = event_metrics(spark, sf)
+    m.select("dataset", "celltype", F.col("mse").alias("preservation"), "expvar").repartition(3, "dataset").write.csv(f"{root}/neighborhood_preservation_all", header=True)
+    m.select(F.col("dataset").alias("dataset_name"), "mse", "celltype").coalesce(1).write.csv(f"{root}/clustering_quality", header=True)
+    for k in range(3):
+        m.filter(F.col("fold") == k).select("dataset", "mse").coalesce(1).write.csv(f"{root}/k_{k}/iter_0/res", header=True)
+    return root
+
+
+def baseline(spark, sf):
+    root = _baseline_files(spark, sf)
+    a = rs.read_baseline(spark, root, "preservation", ["preservation", "expvar"]).select(F.lit("preservation").alias("kind"), "dataset", "celltype", F.col("preservation").alias("value"))
+    b = rs.read_baseline(spark, root, "clustering", ["mse"]).select(F.lit("clustering").alias("kind"), "dataset", "celltype", F.col("mse").alias("value"))
+    return a.unionByName(b).withColumn("value", r6("value"))
+
+
+BASELINE = f"WITH {EVENT_METRICS} SELECT kind, dataset, celltype, round(mse, 6) AS value FROM metrics, (SELECT unnest(['preservation', 'clustering']) AS kind)"
+
+
+def detected(spark, sf):
+    return rs.detect_results(spark, _baseline_files(spark, sf)).filter("kind <> 'preservation'")
+
+
+DETECTED = "SELECT 'clustering' AS kind, COUNT(*) * 0 + 1 AS n_files FROM events UNION ALL SELECT 'k_varying', 3"
+
+
 QUERIES = [
     Query("read_gene_list", gene_lists, GENE_LISTS), Query("read_10x_panel", vendor_panel, "SELECT 'P' || p_partkey AS gene FROM part"), Query("read_external_panels", external, EXTERNAL),
-    Query("read_stability", stability, STABILITY), Query("read_variability", variability, VARIABILITY),
+    Query("read_stability", stability, STABILITY), Query("read_baseline", baseline, BASELINE), Query("detect_results", detected, DETECTED), Query("read_variability", variability, VARIABILITY),
     Query("read_write_expr", expr_tables, EXPR_TABLES), Query("read_wide_matrix", wide_matrix, WIDE), Query("read_mtx_folder", mtx_folder, MTX), Query("write_ranked_list", ranked, f"WITH {FILL_CTE} SELECT gene, final_selection AS in_panel, rank FROM done WHERE coalesce(passed_xenium, true)"),
     Query("write_summary_json", summary, SUMMARY),
     Query("write_per_dataset", per_dataset, f"WITH {EVENT_METRICS} SELECT dataset, celltype, round(AVG(mse), 6) AS mse, COUNT(*) AS n FROM metrics GROUP BY 1, 2"),
