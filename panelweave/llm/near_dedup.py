@@ -398,6 +398,9 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     judged = near_duplicates(docs).filter("kept")
     group = F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.hex("key"))
     group = F.when((F.col("n_shingles") > 0) & F.col("component_id").isNull(), F.hex("key")).otherwise(group)
-    keys = judged.groupBy(group.alias("_g")).agg(F.min("key").alias("_key")).select("_key")
-    marked = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text").cast("string")))
-    return marked.join(pin(keys), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    own = "_key"
+    while own in docs.columns:
+        own += "_"
+    keys = judged.groupBy(group.alias("_g")).agg(F.min("key").alias(own)).select(own)
+    marked = docs.withColumn(own, row_key(F.col("doc_id"), F.col("text").cast("string")))
+    return marked.join(pin(keys), own, "left_semi").dropDuplicates([own]).drop(own)

@@ -134,3 +134,9 @@ def test_odd_rows(spark):
     # The three rows of id 8 and the two equal texts without id leave one each; so do rows that are equal as a whole.
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*map(str, range(10)), "None", "None"])
     assert nd.near_duplicates(empty_docs(spark)).count() == 0 and nd.one_per_group(empty_docs(spark)).count() == 0
+
+
+def test_a_column_named_like_the_key_stays(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other", "z")], "doc_id long, text string, _key string")
+    got = nd.one_per_group(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r._key) for r in got.collect()) == [(1, "x"), (3, "z")]
