@@ -18,7 +18,7 @@
 5. The sketch of a pair's union estimates the similarity; pairs far below the
    threshold go.  The others are confirmed on their full sets.
 
-A pair at exactly 0.75 misses every list with a probability below 1e-6; pairs of
+A pair at exactly 0.75 misses every list with a probability of 1.5e-8 (64 places); pairs of
 sets up to ``K`` shingles always meet.  Links are only sought where they can join
 two components; what is returned are the components.
 """
@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +52,10 @@ LEAST_SHARED = 2
 #: Classes in one block of a group, values looked at together there, shingles of a block (a larger set is alone), and
 #: shingles of two blocks sorted at a time.
 BLOCK, BLOCK_VALUES, BLOCK_SHINGLES, SORTED = 256, 4096, 2_000_000, 1 << 20
+#: A filter of keys has at most this many 64-bit words (16 MiB), with ``KEYS_A_WORD`` keys or fewer in each on average.
+FILTER_WORDS, KEYS_A_WORD = 1 << 21, 6
+#: Pairs of one class that meet one copy of its text.
+HEAD_PAIRS = 256
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -149,12 +154,51 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
+def _key_filter(wanted: DataFrame) -> np.ndarray | None:
+    """Words of bits that show which rows cannot be ``wanted(key)``; None where they would exceed ``FILTER_WORDS``.
+
+    A hash of the key picks a word by its low bits and four bits of it by its high ones.
+    """
+    n = wanted.count()
+    size = 1 << max(0, (-(-n // KEYS_A_WORD) - 1).bit_length()) if n else 1
+    if size > FILTER_WORDS:
+        return None
+    h = F.xxhash64("key")
+    mask = F.lit(0).cast("long")
+    for at in (40, 46, 52, 58):
+        mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_h, {at}) & 63 as int))"))
+    words = wanted.select(h.alias("_h")).groupBy(F.col("_h").bitwiseAND(F.lit(size - 1)).alias("word")).agg(F.bit_or(mask).alias("bits")).toPandas()
+    bits = np.zeros(size, np.uint64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def _maybe_wanted(bits: np.ndarray):
+    """A condition on the key's hash that holds for every wanted key and for few others."""
+
+    @F.pandas_udf("boolean")
+    def run(hashes: pd.Series) -> pd.Series:
+        h = hashes.to_numpy(np.int64).view(np.uint64)
+        mask = np.zeros(len(h), np.uint64)
+        for at in (40, 46, 52, 58):
+            mask |= np.uint64(1) << (h >> np.uint64(at) & np.uint64(63))
+        return pd.Series(bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] & mask == mask)
+
+    return run
+
+
 def _texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``nid, text``: one text for each of ``nodes(nid)``."""
-    # Written, so that its size is known: a small one meets the texts where they are read.
+    """``nid, text``: one text for each of ``nodes(nid)``.
+
+    Texts that cannot be wanted go where they are read, so that only the others are shuffled, equal rows once a task.  For
+    more keys than a filter of bounded size tells apart, all texts are shuffled to the keys; the result is the same.
+    """
     wanted = pin(classes.join(nodes, "nid", "left_semi").select("nid", "key"))
     texts = docs.select(row_key(F.col("doc_id"), F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    return texts.join(wanted, "key").groupBy("nid").agg(F.first("text").alias("text"))
+    bits = _key_filter(wanted)
+    if bits is not None:
+        texts = texts.filter(_maybe_wanted(bits)(F.xxhash64("key")))
+    return texts.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("nid", "text")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -176,7 +220,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
     texts = pin(_texts_of(nodes, classes, docs))
-    both = pairs.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("nid").alias("a"), F.col("text").alias("ta")), "a")
+    # A class of many pairs has its text copied, so that no task gets all of them.
+    copies = pin(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HEAD_PAIRS).cast("int").alias("_copies")))
+    dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), "_copies").cast("int").alias("_copy"))
+    heads = texts.join(copies, F.col("nid") == F.col("a")).select("a", F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    both = dealt.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("tb")), "b").join(heads, ["a", "_copy"])
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -216,6 +264,7 @@ def _pairs_in(lists: DataFrame) -> DataFrame:
 
 def _mixed_lists(lists: DataFrame) -> DataFrame:
     """The entries of lists that hold more than one component, with the number of entries ``size``."""
+    lists = lists.repartition("list")  # shuffled once for both uses
     kinds = lists.groupBy("list").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("size")).filter("_lo < _hi")
     return lists.join(kinds.select("list", "size"), "list")
 
@@ -328,7 +377,7 @@ def _add_shared(shared: np.ndarray, sets: list[np.ndarray], low: np.ndarray, hig
 
 def _linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``nid, comp`` of every class that is linked to another."""
-    entries = _list_rows(classes)
+    entries = _list_rows(classes).repartition("list")  # shuffled once for both uses
     heads = entries.groupBy("list").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("_size")).filter("_size > 1").drop("_size")
     lists = pin(entries.join(heads, "list"))
     # One comparison per class: the list head it shares most lists with.
