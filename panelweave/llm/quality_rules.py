@@ -1,11 +1,14 @@
-"""Quality rules whose cutoffs carry a risk guarantee.
-
-Per text a few counts are taken; each rule rejects a text when one ratio lies
-above the cutoff of the text's stratum.  A cutoff is used only if an exact
-binomial test on labelled good texts shows, at the corrected level, that it
-rejects less than ``risk`` of the good texts of that stratum.  The level is
-divided by the number of all cutoffs tried (Bonferroni), so with probability
-``1 - delta`` all cutoffs of all strata keep their promise together.
+"""Quality rules whose verdict carries a risk guarantee.
+
+Per text a few counts are taken; a text is rejected when any ratio lies above
+its cutoff of the text's stratum.  Labelled good texts, equal ones once, are
+dealt to two halves.  One half proposes, per stratum, a ladder of settings: all
+cutoffs together, each step at least as strict as the one before.  The other half
+tests what a whole setting rejects, by any ratio, with an exact binomial test at
+the level ``delta`` divided by the number of strata (Bonferroni).  A stratum climbs
+its ladder until a test fails (a fixed sequence, which needs no further
+correction) and takes the last setting that passed.  So with probability
+``1 - delta`` every stratum's verdict rejects less than ``risk`` of its good texts.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ CUTOFFS = {
     "long_word": np.geomspace(40.0, 6.0, 20),
 }
 STRATA = [100, 250, 600, 1500]
+#: Steps of the ladder: parts of the risk that the ratios' own rejections may add up to in the proposing half.
+LADDER = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long"
 
@@ -98,15 +103,16 @@ def text_metrics(texts: pa.Array) -> list[np.ndarray]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts of ``METRICS`` for every row of ``docs(doc_id, text)``."""
+    """``doc_id``, ``text_hash`` and the counts of ``METRICS`` for every row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in METRICS.split(", ")]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, text_metrics(batch.column(1)))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, text_metrics(batch.column(1)))], names=["doc_id", "text_hash", *names])
 
-    slim = docs.select(F.col("doc_id"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, {METRICS}")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    slim = docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text_hash long, {METRICS}")
 
 
 def _ratios() -> dict[str, Column]:
@@ -129,19 +135,21 @@ def base_failed() -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial(n, p), summed exactly from its terms."""
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
-
-
-def certified_cutoffs(good: DataFrame, risk: float = 0.01, delta: float = 0.05) -> dict[tuple[int, str], float]:
-    """The strictest cutoff per (stratum, ratio) that the labelled good rows certify; pairs without one are left out.
-
-    ``good`` holds the counts and ``stratum`` of labelled good texts that pass the base rule.  Only a table of
-    strata x ratios x cutoffs counts reaches the driver.
-    """
-    found: dict[tuple[int, str], np.ndarray] = {}
+    """P(X <= k) of a binomial(n, p), summed from its terms, the last one first, until the rest is below double precision."""
+    total, i, top = 0.0, min(k, n), None
+    while i >= 0:
+        x = math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+        top = x if top is None else max(top, x)
+        if i < n * p and x < top - 60:
+            break
+        total += math.exp(x)
+        i -= 1
+    return min(1.0, total)
+
+
+def _ladders(good: DataFrame, risk: float) -> dict[int, list[dict[str, float]]]:
+    """Per stratum the settings to test: the strictest cutoff per ratio that keeps within the step's share of rejections."""
+    found: dict[int, dict[str, np.ndarray]] = {}
     marks = F.array(*[
         F.struct(F.lit(k).alias("ratio"), sum(((v > float(c)).cast("int") for c in CUTOFFS[k]), F.lit(0)).alias("fails"))
         for k, v in _ratios().items()
@@ -149,15 +157,51 @@ def certified_cutoffs(good: DataFrame, risk: float = 0.01, delta: float = 0.05)
     counts = good.select("stratum", F.explode(marks).alias("m")).groupBy("stratum", "m.ratio", "m.fails").agg(F.count(F.lit(1)).alias("n"))
     for r in counts.collect():
         # A row that fails j cutoffs fails the j strictest ones, as they descend.
-        found.setdefault((r.stratum, r.ratio), np.zeros(len(CUTOFFS[r.ratio]) + 1, np.int64))[r.fails] += r.n
-    tries = (len(STRATA) + 1) * sum(len(c) for c in CUTOFFS.values())
+        found.setdefault(r.stratum, {}).setdefault(r.ratio, np.zeros(len(CUTOFFS[r.ratio]) + 1, np.int64))[r.fails] += r.n
+    out: dict[int, list[dict[str, float]]] = {}
+    for stratum, ratios in found.items():
+        for part in LADDER:
+            step = {}
+            for ratio, by_fails in ratios.items():
+                cuts, allowed = CUTOFFS[ratio], part * risk * int(by_fails.sum()) / len(RATIOS)
+                within = [float(c) for j, c in enumerate(cuts) if int(by_fails[len(cuts) - j :].sum()) <= allowed]
+                if within:
+                    step[ratio] = within[-1]
+            out.setdefault(stratum, []).append(step)
+    return out
+
+
+def certified_cutoffs(good: DataFrame, risk: float = 0.01, delta: float = 0.05) -> dict[tuple[int, str], float]:
+    """The cutoffs per (stratum, ratio) of the strictest setting that each stratum certifies; none where no setting is.
+
+    ``good`` holds the counts, ``text_hash`` and ``stratum`` of labelled good texts that pass the base rule; rows of equal
+    texts are one trial.  Only tables of strata x ratios x cutoffs and strata x steps counts reach the driver.
+    """
+    good = pin(good.dropDuplicates(["text_hash"]))
+    half = F.pmod(F.xxhash64("text_hash"), F.lit(2))
+    ladders, ratios = _ladders(good.filter(half == 0), risk), _ratios()
+    # The first step of its stratum's ladder that rejects a row; later ones do as well.
+    first = F.lit(len(LADDER))
+    for stratum, steps in ladders.items():
+        level = F.lit(len(LADDER))
+        for i, step in reversed(list(enumerate(steps))):
+            over = F.lit(False)
+            for ratio, cut in step.items():
+                over = over | (ratios[ratio] > cut)
+            level = F.when(over, i).otherwise(level)
+        first = F.when(F.col("stratum") == stratum, level).otherwise(first)
+    counts: dict[int, np.ndarray] = {}
+    for r in good.filter(half == 1).groupBy("stratum", first.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r.stratum, np.zeros(len(LADDER) + 1, np.int64))[r.step] += r.n
     out = {}
-    for (stratum, ratio), by_fails in found.items():
-        cuts, n = CUTOFFS[ratio], int(by_fails.sum())
-        for j, cut in enumerate(cuts):
-            rejected = int(by_fails[len(cuts) - j :].sum())
-            if rejected < risk * n and binomial_tail(rejected, n, risk) <= delta / tries:
-                out[stratum, ratio] = float(cut)
+    for stratum, by_step in counts.items():
+        n, passed = int(by_step.sum()), None
+        for i, step in enumerate(ladders.get(stratum, [])):
+            rejected = int(by_step[: i + 1].sum())
+            if rejected >= risk * n or binomial_tail(rejected, n, risk) > delta / (len(STRATA) + 1):
+                break
+            passed = step
+        out |= {(stratum, ratio): cut for ratio, cut in (passed or {}).items()}
     return out
 
 
@@ -165,7 +209,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta:
     """Counts, base verdict and risk-controlled verdict of every row of ``docs(doc_id, text)``.
 
     ``labels(doc_id, quality)``: rows with quality 1 are the holdout of good texts.  ``kept`` is false where the base rule
-    fails or a certified cutoff is exceeded; ``reasons`` lists the ratios above theirs.  Null text counts as empty and fails
+    fails or a certified cutoff is exceeded; ``reasons`` lists the ratios above theirs, ``n_cutoffs`` tells how many cutoffs the
+    row's stratum has (0: nothing could be certified there, so only the base rule judges).  Null text counts as empty and fails
     the base rule; null ids stay; repeated rows are judged alike; ids repeated in ``labels`` count once, as good only if all
     say so.  With no or too few labelled rows no cutoff is certified and only the base rule rejects.
     """
@@ -174,9 +219,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta:
     cutoffs = certified_cutoffs(counts.filter(~base_failed()).join(good, F.col("doc_id") == F.col("_id"), "left_semi"), risk, delta)
     ratios = _ratios()
     over = [F.when((F.col("stratum") == s) & (ratios[k] > c), F.lit(k)) for (s, k), c in sorted(cutoffs.items())]
+    n_cutoffs = F.lit(0)
+    for s in range(len(STRATA) + 1):
+        n_cutoffs = F.when(F.col("stratum") == s, sum(key[0] == s for key in cutoffs)).otherwise(n_cutoffs)
     reasons = F.array_compact(F.array(*over)) if over else F.array().cast("array<string>")
     return (
         counts.withColumn("reasons", reasons).withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "reasons")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "reasons", n_cutoffs.alias("n_cutoffs"))
     )

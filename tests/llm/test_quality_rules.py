@@ -1,3 +1,4 @@
+import random
 import re
 from math import comb
 
@@ -45,11 +46,60 @@ def test_binomial_tail():
     assert q.binomial_tail(3, 20, 0.1) == pytest.approx(sum(comb(20, i) * 0.1**i * 0.9 ** (20 - i) for i in range(4)))
 
 
-def test_cutoffs_hold_their_promise(spark):
-    good = [(i, " ".join(f"w{(i * 7 + j * 13) % 9973}x{j}" for j in range(120)) + (" #" * (i % 3))) for i in range(4000)]
-    bad = [(10_000 + i, " ".join(f"v{j}###" for j in range(120))) for i in range(50)]
+def plain_verdicts(rows, good_ids, risk, delta):
+    """``kept`` of every row, by loops over whole settings."""
+    names = [x.split()[0] for x in q.METRICS.split(", ")]
+    counts = {i: dict(zip(names, (int(c[0]) for c in q.text_metrics(pa.array([t], pa.string()))))) for i, t in rows}
+    ratio = {
+        i: {
+            "symbol_ratio": m["n_symbols"] / max(m["n_words"], 1), "dup_line_ratio": m["n_dup_lines"] / max(m["n_lines"], 1), "repeat_ratio": m["n_repeat_words"] / max(m["n_words"], 1),
+            "upper_ratio": m["n_upper"] / max(m["word_chars"], 1), "mark_ratio": m["n_marks"] / max(m["n_words"], 1), "long_word": m["word_chars"] / max(m["n_words"], 1),
+        }
+        for i, m in counts.items()
+    }
+    stratum = {i: sum(m["n_words"] >= b for b in q.STRATA) for i, m in counts.items()}
+    base = {i: m["n_words"] < 50 or 2 * m["n_repeat_words"] > m["n_words"] for i, m in counts.items()}
+    half = {}
+    for i, t in rows:
+        if i in good_ids and not base[i]:
+            half.setdefault((stratum[i], t), i)
+    kept = {i: not b for i, b in base.items()}
+    for s in set(stratum.values()):
+        yours = {t: i for (k, t), i in half.items() if k == s}
+        one, two = ([i for t, i in yours.items() if HALF[t] == h] for h in (0, 1))
+        chosen = {}
+        for part in q.LADDER:
+            setting = {}
+            for name, cuts in q.CUTOFFS.items():
+                fit = [c for c in cuts if sum(ratio[i][name] > c for i in one) <= part * risk * len(one) / 6]
+                if one and fit:
+                    setting[name] = min(fit)
+            rejected = sum(any(ratio[i][name] > c for name, c in setting.items()) for i in two)
+            tail = sum(comb(len(two), k) * risk**k * (1 - risk) ** (len(two) - k) for k in range(rejected + 1))
+            if rejected >= risk * len(two) or tail > delta / 5:
+                break
+            chosen = setting
+        for i in kept:
+            if stratum[i] == s and any(ratio[i][name] > c for name, c in chosen.items()):
+                kept[i] = False
+    return kept
+
+
+HALF = {}
+
+
+def test_whole_query_against_loops_and_its_promise(spark):
+    rng = random.Random(5)
+    good = [(i, " ".join(f"w{rng.randrange(9973)}x{j}" for j in range(rng.choice([60, 60, 120]))) + " #" * (rng.random() < 0.3) + " WORD!" * rng.choice([0, 0, 1, 8])) for i in range(3000)]
+    good += [(5000 + i, good[0][1]) for i in range(300)]  # copies are one trial
+    bad = [(10_000 + i, " ".join(f"v{j}###" for j in range(rng.choice([60, 120, 300])))) for i in range(60)]
     docs = spark.createDataFrame(good + bad, "doc_id long, text string")
     truth = labels(spark, [(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad])
-    kept = {r.doc_id: r.kept for r in q.quality_rules(docs, truth).collect()}
-    assert sum(not kept[i] for i, _ in good) < 0.06 * len(good)
-    assert not any(kept[i] for i, _ in bad)
+    HALF.update({r.text: r.half for r in docs.selectExpr("text", "pmod(xxhash64(xxhash64(text)), 2) as half").distinct().collect()})
+    out = q.quality_rules(docs, truth).collect()
+    kept = {r.doc_id: r.kept for r in out}
+    assert kept == plain_verdicts(good + bad, {i for i, _ in good}, 0.01, 0.05)
+    assert sum(not kept[i] for i, _ in good) < 0.01 * len(good)
+    assert not any(r.kept for r in out if r.doc_id >= 10_000 and r.n_words < 250)
+    # No good text is that long, so nothing is certified there, and the rows say so.
+    assert all(r.kept and r.n_cutoffs == 0 for r in out if r.doc_id >= 10_000 and r.n_words >= 250)
