@@ -3,11 +3,14 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
 import urllib.parse
+import zlib
 
 import pytest
 
+from panelweave.llm import secret_scan
 from panelweave.llm.secret_scan import scan, scan_secrets
 from tests.llm.data import empty_docs, odd_docs, odd_rows
 
@@ -100,3 +103,70 @@ def test_bytes_that_are_no_text_are_scanned():
     assert [k for _, k, _ in scan(t)[1]] == [0]
     t = base64.b64encode(gzip.compress(b"\xff\x00\x81" * 20 + S.encode() + b"\x00\xff" * 20)).decode()
     assert scan(t)[1] == [(0, 0, len(t))]
+
+
+def b64(x):
+    return base64.b64encode(x).decode()
+
+
+def bare(x):
+    d = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return d.compress(x) + d.flush()
+
+
+RAW = S.encode()
+NOISE = bytes(range(128, 256))
+
+
+@pytest.mark.parametrize("t", [
+    b64(gzip.compress(gzip.compress(RAW))),
+    b64(gzip.compress(NOISE + bz2.compress(b"ab" + lzma.compress(zlib.compress(RAW)))) + NOISE),
+    b64(b"\xfe" + gzip.compress(RAW)),
+    b64(b"\xfe\xff" + gzip.compress(RAW)),
+    b64(bare(RAW * 3)),
+    b64(gzip.compress(bare(RAW * 3))),
+    b64(gzip.compress(NOISE * (1 << 14) + gzip.compress(RAW) + NOISE)),  # packed data after the first piece
+    b64(S.encode("utf-16")),
+    b64(b"\x80" + S.encode("utf-16-be")),
+    b64(gzip.compress(S.encode("utf-16-le"))),
+    "".join("\\%03o" % c for c in RAW),
+    "".join("%%%02X" % c for c in gzip.compress(RAW)),
+    urllib.parse.quote(gzip.compress(RAW)),
+    "password&equals;hunter2hunter2",
+    "password\\u003dhunter2hunter2",
+    "password\\\\u003dhunter2hunter2",
+])
+def test_layers_of_bytes_and_escapes(t):
+    found = scan(f"x {t} y")[1]
+    assert {k for _, k, _ in found} == {0} and all(2 <= a < e <= 2 + len(t) for a, _, e in found)
+
+
+@pytest.mark.parametrize("gap", ["\\n", "\\r\\n", " ", "\n", "\\\\n"])
+def test_broken_base64(gap):
+    packed = b64(gzip.compress(NOISE + RAW + NOISE, mtime=0))
+    width = next(w for w in range(40, 16, -1) if len(packed) % w >= 16)
+    t = gap.join(packed[i : i + width] for i in range(0, len(packed), width))
+    assert (0, 0, len(t)) in scan(t)[1]
+    plain = b64(b"some words before it, " * 3 + RAW + b" and some after it" * 3)
+    assert [k for _, k, _ in scan(gap.join(plain[i : i + 24] for i in range(0, len(plain), 24)))[1]] == [0]
+
+
+def test_data_that_unpacks_to_itself_ends(monkeypatch):
+    own = gzip.compress(RAW)
+    monkeypatch.setattr(secret_scan, "unpacked", lambda parts: iter([b"".join(parts)]))
+    assert scan(b64(own))[2] >= 1
+
+
+def test_prose_gives_no_spans_beyond_the_base(spark):
+    rng = random.Random(2)
+    words = [hashlib.md5(str(i).encode()).hexdigest()[: rng.randrange(2, 30)] for i in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(40)]
+    texts += [t + " " + S + " AKIA" + "Z" * 14 + "&amp; C:\\new\\temp \\x41" for t in texts]
+    rows = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        # A plain scan of the table: leftmost matches of each kind.
+        t, want = texts[r.doc_id], []
+        for k, p, g, least in (("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)):
+            want += [(m.start(), k, m.end()) for m in re.finditer(p, t) if len(m.group(g)) >= least]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, k, e in sorted(want, key=lambda x: (x[0], ["assign", "access", "hex"].index(x[1])))).encode()).hexdigest()
+        assert len(r.spans.split(",")) == max(1, len(want))
