@@ -180,16 +180,14 @@ def certified_cutoffs(good: DataFrame, risk: float = 0.01, delta: float = 0.05)
     good = pin(good.dropDuplicates(["text_hash"]))
     half = F.pmod(F.xxhash64("text_hash"), F.lit(2))
     ladders, ratios = _ladders(good.filter(half == 0), risk), _ratios()
-    # The first step of its stratum's ladder that rejects a row; later ones do as well.
-    first = F.lit(len(LADDER))
-    for stratum, steps in ladders.items():
-        level = F.lit(len(LADDER))
-        for i, step in reversed(list(enumerate(steps))):
-            over = F.lit(False)
-            for ratio, cut in step.items():
-                over = over | (ratios[ratio] > cut)
-            level = F.when(over, i).otherwise(level)
-        first = F.when(F.col("stratum") == stratum, level).otherwise(first)
+    # The first step of its stratum's ladder that rejects a row; later ones do as well, as cutoffs descend.
+    steps_passed = []
+    for ratio, value in ratios.items():
+        cuts = F.array(*[
+            F.array(*[F.lit(float(step.get(ratio, math.inf))) for step in ladders.get(stratum, [{}] * len(LADDER))]) for stratum in range(len(STRATA) + 1)
+        ])
+        steps_passed.append(F.size(F.filter(F.element_at(cuts, F.col("stratum") + 1), lambda cut, v=value: v <= cut)))
+    first = F.least(*steps_passed)
     counts: dict[int, np.ndarray] = {}
     for r in good.filter(half == 1).groupBy("stratum", first.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect():
         counts.setdefault(r.stratum, np.zeros(len(LADDER) + 1, np.int64))[r.step] += r.n
