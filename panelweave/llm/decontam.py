@@ -10,12 +10,15 @@ above 1 - 1e-6.  Windows of a partition are joined from those of the one below.
 Agreeing pairs are verified on the whole document.
 
 The items are the stated query set: they go to the tasks in blocks of bounded
-size, every block against all documents.
+size, every block against all documents.  A block travels as plain texts and each
+worker builds its tables; the driver holds one block at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import shingles, slices, strings
+from panelweave.session import pin
 
 WIDTH = 5
 PERCENT = 75
@@ -55,8 +59,10 @@ class Items:
         # Per partition and function: the minima, sorted, their items, and a table of low bits that says "maybe".
         self.minima: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for u, members in self.partitions.items():
+            together = np.concatenate([self.sets[i] for i in members])
+            starts = np.cumsum(sizes[members]) - sizes[members]
             for k in range(FUNCTIONS):
-                low = np.array([_values(self.sets[i], k).min() for i in members], np.uint32)
+                low = np.minimum.reduceat(_values(together, k), starts)
                 order = np.argsort(low, kind="stable")
                 maybe = np.zeros(1 << 16, bool)
                 maybe[low & np.uint32(0xFFFF)] = True
@@ -115,13 +121,33 @@ class Items:
         return out
 
 
-def item_blocks(benchmark: DataFrame) -> list[Items]:
-    """The items in blocks of bounded size; null texts and items below five words match nothing."""
+@dataclass(frozen=True)
+class ItemBlock:
+    """Ids and texts of one block, and a name by which a worker knows the tables it built of it."""
+
+    name: str
+    rows: list[tuple[int | None, str]]
+    alone: bool
+
+    def items(self) -> Items:
+        if _built.get("name") != self.name:
+            _built.update(name=self.name, items=Items(self.rows))
+        return _built["items"]
+
+
+#: The block a worker used last.
+_built: dict = {}
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[ItemBlock]:
+    """The items in blocks of bounded size, one after another; null texts and items below five words match nothing."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     count, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     placed = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    return [Items(sorted(((r.item_id, r.text) for r in placed.filter(F.col("_block") == b).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))) for b in range(blocks)]
+    for b in range(blocks):
+        rows = sorted(((r.item_id, r.text) for r in placed.filter(F.col("_block") == b).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield ItemBlock(uuid.uuid4().hex, rows, blocks == 1)
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -133,9 +159,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out: DataFrame | None = None
-    for items in item_blocks(benchmark):
+    for block in item_blocks(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: ItemBlock = block) -> Iterator[pa.RecordBatch]:
+            items = block.items()
             for batch in batches:
                 found = items.contained(batch.column(1))
                 size = [len(items.sets[i]) for _, i, _ in found]
@@ -147,22 +174,28 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 )
 
         rows = slim.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long, containment double, contaminated boolean")
+        # Of several blocks, each is done before the next one is collected.
+        rows = rows if block.alone else pin(rows)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def _clean_of(items: Items):
+def _clean_of(block: ItemBlock):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         out = np.ones(len(texts), bool)
-        out[[d for d, _, _ in items.contained(texts)]] = False
+        out[[d for d, _, _ in block.items().contained(texts)]] = False
         return pa.array(out)
 
     return clean
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    for items in item_blocks(benchmark):
-        docs = docs.filter(_clean_of(items)(F.col("text").cast("string")))
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Null and empty texts hold none and stay, as do null ids; repeated rows stay or go together; without items all rows stay.
+    """
+    for block in item_blocks(benchmark):
+        docs = docs.filter(_clean_of(block)(F.col("text").cast("string")))
+        docs = docs if block.alone else pin(docs)
     return docs

@@ -21,10 +21,12 @@ from panelweave.llm.common import held_out, slices, strings, training_rows
 
 CHUNK, HOP = 256, 240
 WIDTH, STRIDE, DIMS, FILTERS = 8, 2, 6, 16
-#: Labelled texts used for training, and chunks taken from each (spread over the whole text).
-TRAIN_ROWS, TRAIN_CHUNKS = 4000, 6
+#: Labelled texts used for training, each with all of its chunks.
+TRAIN_ROWS = 4000
 EPOCHS, BATCH, RATE, DECAY = 10, 64, 0.01, 1e-4
 _POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
+#: Chunks whose activations are held at a time, however long a text is.
+PART = 128
 
 
 @dataclass
@@ -90,26 +92,20 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def training_chunks(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Chunks per training text, cut on the executors, and labels, in an order that does not depend on the split."""
+def training_texts(rows: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """Whole training texts as bytes, and labels, in an order that does not depend on the split."""
+    found = sorted((bytes(r.raw), r.y) for r in rows.select(F.encode("text", "UTF-8").alias("raw"), "y").collect())
+    return [raw for raw, _ in found], np.array([y for _, y in found], np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = []
-            for t in strings(batch.column(0)):
-                raw = t.as_py().encode()
-                size = np.array([len(raw)], np.int64)
-                owner, start = chunk_starts(size)
-                if len(start) > TRAIN_CHUNKS:
-                    start = start[np.linspace(0, len(start) - 1, TRAIN_CHUNKS).astype(int)]
-                cells.append(cut(np.frombuffer(raw + b"\0", np.uint8), np.zeros(1, np.int64), size, np.zeros(len(start), np.int64), start).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), batch.column(1)], names=["chunks", "y"])
 
-    found = sorted((bytes(r.chunks), r.y) for r in rows.mapInArrow(run, "chunks binary, y int").collect())
-    return [np.frombuffer(c, "<i2").reshape(-1, CHUNK).astype(np.int16) for c, _ in found], np.array([y for _, y in found], np.float64)
+def _chunks(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of these texts and the text each belongs to."""
+    sizes = np.array([len(x) for x in raw], np.int64)
+    owner, start = chunk_starts(sizes)
+    return cut(np.frombuffer(b"".join(raw) + b"\0", np.uint8), np.cumsum(sizes) - sizes, sizes, owner, start), owner
 
 
-def train(texts: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Network:
+def train(texts: list[bytes], y: np.ndarray, seed: int = 11) -> Network:
     """Fit by Adam on the log loss; without both labels the score is the labels' mean."""
     rng = np.random.default_rng(seed)
     net = Network(
@@ -128,8 +124,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Network:
         order = rng.permutation(len(y))
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
-            chunks = np.concatenate([texts[i] for i in pick])
-            owner = np.repeat(np.arange(len(pick)), [len(texts[i]) for i in pick])
+            chunks, owner = _chunks([texts[i] for i in pick])
             grads = _gradients(net, chunks, owner, y[pick])
             step += 1
             rate = RATE * (0.5 + 0.5 * np.cos(np.pi * (epoch + lo / len(order)) / rounds))
@@ -143,9 +138,12 @@ def train(texts: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Network:
 
 def _gradients(net: Network, chunks: np.ndarray, owner: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     n, c = len(y), len(chunks)
-    act = net.activations(chunks)
-    best = act.argmax(axis=1)  # c x FILTERS
-    top = np.take_along_axis(act, best[:, None, :], axis=1)[:, 0, :] + net.bias
+    best, top = np.empty((c, FILTERS), np.int64), np.empty((c, FILTERS), net.filters.dtype)
+    for lo in range(0, c, PART):
+        act = net.activations(chunks[lo : lo + PART])
+        best[lo : lo + PART] = act.argmax(axis=1)
+        top[lo : lo + PART] = act.max(axis=1)
+    top += net.bias
     features = np.maximum(top, 0)
     pooled = _pooled(features, owner, n)
     p = 1 / (1 + np.exp(-np.clip(pooled @ net.out, -30, 30)))
@@ -156,23 +154,26 @@ def _gradients(net: Network, chunks: np.ndarray, owner: np.ndarray, y: np.ndarra
     for at in (1, 2):  # the chunks that gave the largest and the smallest value
         d += np.where(features == pooled[:, at * FILTERS : (at + 1) * FILTERS][owner], (dz[:, None] * net.out[at * FILTERS : (at + 1) * FILTERS])[owner], 0)
     d *= top > 0
-    rows = np.arange(c)[:, None]
-    codes = chunks[rows[:, :, None], (best * STRIDE)[:, :, None] + np.arange(WIDTH)]
-    used = net.bytes_[codes].reshape(c, FILTERS, WIDTH * DIMS)
-    d_filters = np.einsum("cfw,cf->wf", used, d, optimize=True)
-    d_used = (d[:, :, None] * net.filters.T[None]).reshape(c, FILTERS, WIDTH, DIMS)
-    d_bytes = np.stack([np.bincount(codes.ravel(), d_used[..., k].ravel(), 257) for k in range(DIMS)], axis=1)
+    d_bytes, d_filters = np.zeros((257, DIMS)), np.zeros((WIDTH * DIMS, FILTERS))
+    for lo in range(0, c, PART):
+        part, change = chunks[lo : lo + PART], d[lo : lo + PART]
+        rows = np.arange(len(part))[:, None]
+        codes = part[rows[:, :, None], (best[lo : lo + PART] * STRIDE)[:, :, None] + np.arange(WIDTH)]
+        used = net.bytes_[codes].reshape(len(part), FILTERS, WIDTH * DIMS)
+        d_filters += np.einsum("cfw,cf->wf", used, change, optimize=True)
+        d_used = (change[:, :, None] * net.filters.T[None]).reshape(len(part), FILTERS, WIDTH, DIMS)
+        d_bytes += np.stack([np.bincount(codes.ravel(), d_used[..., k].ravel(), 257) for k in range(DIMS)], axis=1)
     return [d_bytes, d_filters, d.sum(axis=0), d_out]
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs(doc_id, text)``.
 
-    The network is fitted on at most ``TRAIN_ROWS`` labelled rows outside the held-out fold and at most ``TRAIN_CHUNKS``
-    chunks of each; scoring reads whole texts.  Null and empty texts get the score of one chunk of padding; null ids are
+    The network is fitted on the whole texts of at most ``TRAIN_ROWS`` labelled rows outside the held-out fold; scoring
+    reads whole texts.  Null and empty texts get the score of one chunk of padding; null ids are
     not held out; repeated rows score alike.  With no labelled rows, or only one label, every score is the labels' mean.
     """
-    net = train(*training_chunks(training_rows(docs, labels, label, TRAIN_ROWS)))
+    net = train(*training_texts(training_rows(docs, labels, label, TRAIN_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,7 +36,6 @@ from panelweave.session import pin
 
 #: Labelled texts used to learn the lexicon and the weights.
 TRAIN_ROWS = 8000
-MAX_TERMS = 400
 #: Least log-likelihood ratio of a term: chance gives one such term among some thousand.
 MIN_GAIN = 6.0
 #: Least log odds of a term.
@@ -272,7 +271,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     ranked = (
         _term_counts(rows).filter((F.col("pos") >= max(2, n_pos // 400)) & (odds > MIN_ODDS) & (gain > MIN_GAIN))
         .select("term", F.round(odds, 9).alias("odds"), F.round(gain, 9).alias("gain"))
-        .orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(20 * MAX_TERMS).collect()
+        .orderBy(F.desc("gain"), F.desc(F.length("term")), "term").collect()
     )
     terms = sorted(_cover(rows, [r.term for r in ranked], [float(r.odds) for r in ranked], n_pos, n_neg))
     return Lexicon(terms, True, _ordinary(rows, Lexicon(terms, True), n_pos, n_neg))
@@ -299,7 +298,7 @@ def _ordinary(rows: DataFrame, lexicon: Lexicon, n_pos: int, n_neg: int) -> froz
 def _document_terms(text: str) -> set[str]:
     """Words, each with a blank after it, and beginnings of words."""
     seen = {_EDGES.sub("", w) for w in text.lower().split()}
-    return {w + " " for w in seen if 1 <= len(w) <= 40} | {w[:n] for w in seen for n in STEM_LENGTHS if len(w) >= n}
+    return {w + " " for w in seen if w} | {w[:n] for w in seen for n in STEM_LENGTHS if len(w) >= n}
 
 
 def _cover(rows: DataFrame, terms: list[str], odds: list[float], n_pos: int, n_neg: int) -> list[tuple[str, bool, float]]:
@@ -320,7 +319,7 @@ def _cover(rows: DataFrame, terms: list[str], odds: list[float], n_pos: int, n_n
             texts_of.setdefault(t, []).append(d)
     left = np.ones(len(found))
     chosen, share = [], n_pos / (n_pos + n_neg)
-    while len(terms) and len(chosen) < MAX_TERMS:
+    while len(terms):
         both = np.maximum(pos + neg, 1e-9)
         gain = np.where(pos > both * share, pos * np.log(np.maximum(pos, 1e-9) / (both * share)) + neg * np.log(np.maximum(neg, 1e-9) / (both * (1 - share))), 0)
         best = int(np.argmax(np.round(gain, 6)))

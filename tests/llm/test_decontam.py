@@ -37,3 +37,17 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == len(odd_rows()) - 3
     assert find_items(empty_docs(spark), items).count() == 0 and find_items(docs, items.limit(0)).count() == 0
     assert drop_contaminated(docs, items.limit(0)).count() == len(odd_rows())
+
+
+def test_several_blocks(spark, monkeypatch):
+    from panelweave.llm import decontam
+
+    rng = random.Random(9)
+    items = spark.createDataFrame([(i, " ".join(rng.choice(WORDS) for _ in range(9))) for i in range(30)], "item_id long, text string")
+    docs = items.selectExpr("item_id AS doc_id", "concat('before it ', text, ' after it') AS text").union(odd_docs(spark).select("doc_id", "text"))
+    want = sorted((r.doc_id, r.item_id) for r in find_items(docs, items).collect())
+    kept = drop_contaminated(docs, items).count()
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 8)
+    assert len(list(decontam.item_blocks(items))) == 4
+    assert sorted((r.doc_id, r.item_id) for r in find_items(docs, items).collect()) == want == [(i, i) for i in range(30)]
+    assert drop_contaminated(docs, items).count() == kept == len(odd_rows())
