@@ -1,16 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 A source's target is its share of all words, at most ``max_repeats`` times its
-own words; what exceeds that is shared again by weight.  A document is taken
-``target / source size`` times in expectation: the whole part as certain copies,
-the fraction ``p`` by sampling.  For the sample every document gets the key
+own words; what exceeds that is shared again by weight.  The whole part of target
+/ source size are certain copies of every document.  For the words still missing,
+a document's inclusion probability grows with its length,
+
+    p = theta * bits(size),     bits: binary digits of the number of words,
+
+where theta makes the expected words, sum of p * size, equal the missing ones; classes
+of lengths that would get 1 or more are settled with one more certain copy.  For
+the sample every other document gets the key
 
     Q = (u / (1 - u)) / (p / (1 - p)),     u from a hash of id and text,
 
 and the smallest keys of a source are taken until the words still missing are
-reached; the document on the edge is in if at least half of it fits.  The edge
-is found from word sums of key ranges and one look inside a single range per
-source, so no source is ever gathered or sorted as a whole.
+reached: the sample's size is fixed in words, as the targets are.  The document on
+the edge is in if at least half of it fits.  The edge is found from word sums of key
+ranges and one look inside a single range per source, so no source is ever gathered
+or sorted as a whole.
 """
 
 from __future__ import annotations
@@ -37,9 +44,13 @@ def sampling_key(doc_id: Column, text: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.md5(text), F.lit("null"))))
 
 
+def _bits(size: Column) -> Column:
+    return F.length(F.bin(size)).cast("long")
+
+
 def _pareto(key: Column, p: Column) -> Column:
     u = (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") * 2 + 1) / float(1 << 53)
-    return (u / (1 - u)) / (p / (1 - p))
+    return (u / (1 - u)) / (p / F.greatest(1 - p, F.lit(1e-12)))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
@@ -70,15 +81,30 @@ def _same_source(a: str, b: str) -> Column:
 
 def _plan(slim: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
     """One row per source: what a document needs to know to tell how often it is taken."""
-    sizes = slim.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
+    # At most 64 rows a source.
+    classes = pin(slim.groupBy("source", _bits(F.col("size")).alias("_bits")).agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("_words")))
+    sizes = classes.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("_words").alias("source_size"))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = pin(
         source_targets(pin(sizes), weights, max_repeats).withColumn("_times", times)
-        .withColumn("_certain", F.floor("_times")).withColumn("_p", F.col("_times") - F.col("_certain"))
-        .withColumn("_missing", F.col("target") - F.col("_certain") * F.col("source_size"))
+        .withColumn("_certain", F.floor("_times")).withColumn("_all_missing", F.col("target") - F.col("_certain") * F.col("source_size"))
         .withColumn("_ranges", F.ceil(F.col("docs") / RANGE_ROWS))
         .withColumnRenamed("source", "_source")
     )
+    # Classes from the longest texts down: the first whose share is below one copy gives theta, those before it are settled.
+    longer = Window.partitionBy("source").orderBy(F.desc("_bits")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("source").orderBy(F.desc("_bits")).rowsBetween(0, Window.unboundedFollowing)
+    theta = (
+        classes.withColumn("_settled_words", F.coalesce(F.sum("_words").over(longer), F.lit(0)))
+        .withColumn("_weighted", F.sum(F.col("_words") * F.col("_bits")).over(rest)).withColumn("_free_words", F.sum("_words").over(rest))
+        .join(plan.select("_source", "_all_missing"), _same_source("source", "_source")).drop("_source")
+        .withColumn("_missing", F.col("_all_missing") - F.col("_settled_words"))
+        .filter(F.col("_missing") * F.col("_bits") < F.col("_weighted"))
+        .groupBy(F.col("source").alias("_s0")).agg(F.max_by(F.struct("_bits", "_missing", "_weighted", "_free_words"), "_bits").alias("_c"))
+        .select("_s0", F.col("_c._bits").alias("_top"), F.col("_c._missing").alias("_missing"),
+                (F.col("_c._missing") / F.col("_c._weighted")).alias("_theta"), (F.col("_c._missing") / F.col("_c._free_words")).alias("_p"))
+    )
+    plan = pin(plan.join(theta, _same_source("_source", "_s0"), "left").drop("_s0"))
     keyed = _keyed(slim, plan)
     ranges = keyed.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,24 +130,31 @@ def _plan(slim: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFram
     )
 
 
+def _with_key(both: DataFrame) -> DataFrame:
+    """Adds the Pareto key and its range; both are null for documents that are not sampled."""
+    free = (F.col("_missing") > 0) & (_bits(F.col("size")) <= F.col("_top"))
+    keyed = both.withColumn("_q", F.when(free, _pareto(F.col("_key"), F.col("_theta") * _bits(F.col("size")))))
+    # The source's mean probability spreads the keys about evenly over its ranges.
+    z = F.col("_q") * F.col("_p") / F.greatest(1 - F.col("_p"), F.lit(1e-12))
+    return keyed.withColumn("_range", F.floor(F.col("_ranges") * (1 - 1 / (1 + z))))
+
+
 def _keyed(slim: DataFrame, plan: DataFrame) -> DataFrame:
     """Documents that take part in the sampling, with Pareto key and key range."""
-    both = slim.join(plan, _same_source("source", "_source")).filter("_p > 0").withColumn("_q", _pareto(F.col("_key"), F.col("_p")))
-    z = F.col("_q") * F.col("_p") / (1 - F.col("_p"))
-    return both.withColumn("_range", F.floor(F.col("_ranges") * (z / (1 + z))))
+    return _with_key(slim.join(plan, _same_source("source", "_source"))).filter("_q is not null")
 
 
 def _times_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds ``_copies`` to rows with ``source, size, _key``."""
-    both = rows.join(plan, _same_source("source", "_source"), "left").withColumn("_q", F.when(F.col("_p") > 0, _pareto(F.col("_key"), F.col("_p"))))
-    z = F.col("_q") * F.col("_p") / (1 - F.col("_p"))
-    own = F.floor(F.col("_ranges") * (z / (1 + z)))
+    both = _with_key(rows.join(plan, _same_source("source", "_source"), "left"))
     # Without an edge everything fits; in the edge's range the cut decides.
     sampled = (
-        F.when(F.col("_q").isNull(), False).when(F.col("_edge").isNull() | (own < F.col("_edge")), True)
-        .when(own == F.col("_edge"), F.coalesce(F.struct("_q", "_key") <= F.col("_cut"), F.lit(False))).otherwise(False)
+        F.when(F.col("_edge").isNull() | (F.col("_range") < F.col("_edge")), True)
+        .when(F.col("_range") == F.col("_edge"), F.coalesce(F.struct("_q", "_key") <= F.col("_cut"), F.lit(False))).otherwise(False)
     )
-    return both.withColumn("_copies", (F.col("_certain") + sampled.cast("long")).cast("long"))
+    settled = (F.col("_all_missing") > 0) & (F.col("_top").isNull() | (_bits(F.col("size")) > F.col("_top")))
+    more = F.when(F.col("_q").isNotNull(), sampled).otherwise(settled)
+    return both.withColumn("_copies", (F.col("_certain") + more.cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: int = 7) -> DataFrame:
@@ -129,7 +162,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int =
 
     Null text has size 0 and null sources are one source of their own; documents of size 0 take no words.  Rows with equal
     id and text count each, and are taken or left together; null ids are told apart by their texts.  If there are no words
-    all targets are 0; an empty table gives no rows.  The result does not depend on the order or split of the rows.
+    all targets are 0, and a source without words is not taken; an empty table gives no rows.  The result does not depend on the order or split of the rows.
     """
     slim = pin(docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
@@ -142,12 +175,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int =
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: int = 7) -> DataFrame:
     """The rows of ``docs`` as often as :func:`mix` takes them, with their own columns.
 
-    Documents of size 0 take no words and are left out.
+    Documents of size 0 take no words; they stay as often as their own draw says, those of a source without words do not.
     """
     key = sampling_key(F.col("doc_id"), F.col("text"), seed)
     slim = pin(docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("_key")))
     plan = _plan(slim, weights, max_repeats)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("source").cast("string").alias("source"),
                        word_count(F.col("text")).alias("size"), key.alias("_key"))
-    taken = _times_taken(rows, plan).filter("_copies > 0 and size > 0")
+    taken = _times_taken(rows, plan).filter("_copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

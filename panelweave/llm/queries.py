@@ -143,7 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_hard_negatives": op13_hard_negatives,
 }
 
-#: Source targets by filling up sources in order of cap per weight, then Pareto order within each source.
+#: Source targets by filling up sources in order of cap per weight, certain copies, then Pareto order of unequal odds within each source.
 _OP3_SQL = r"""WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
  md5(concat_ws('|', '7', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(md5(text), 'null'))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
@@ -154,12 +154,20 @@ o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOU
 l AS (SELECT CAST(words - caps_before AS DOUBLE) / CAST(left_w AS DOUBLE) AS level FROM o WHERE CAST(caps_before AS DOUBLE) + ratio * CAST(left_w AS DOUBLE) >= words ORDER BY ratio, place LIMIT 1),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM l) * weight) AS target FROM w),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS times FROM t),
-p AS (SELECT *, floor(times) AS certain, times - floor(times) AS p, target - floor(times) * source_size AS missing FROM e),
-q AS (SELECT d.doc_id, d.size, d.k, p.* EXCLUDE (source), d.source, (CAST(CAST('0x' || substr(k, 1, 13) AS BIGINT) AS DOUBLE) * 2 + 1) / 9007199254740992 AS u FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-c AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM q),
-g AS (SELECT source, q, k, sum(size) AS size FROM c WHERE p > 0 GROUP BY source, q, k),
+n AS (SELECT *, floor(times) AS certain, target - floor(times) * source_size AS missing FROM e),
+b AS (SELECT source, len(bin(size)) AS bits, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+y AS (SELECT source, bits, coalesce(sum(words) OVER (PARTITION BY source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS settled,
+ sum(words * bits) OVER (PARTITION BY source ORDER BY bits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weighted FROM b),
+x AS (SELECT n.*, y.bits AS top, n.missing - CAST(y.settled AS DOUBLE) AS free, CAST(y.weighted AS DOUBLE) AS weighted FROM n LEFT JOIN y
+ ON n.source IS NOT DISTINCT FROM y.source AND (n.missing - CAST(y.settled AS DOUBLE)) * y.bits < CAST(y.weighted AS DOUBLE)
+ QUALIFY row_number() OVER (PARTITION BY n.source ORDER BY y.bits DESC NULLS LAST) = 1),
+q AS (SELECT d.doc_id, d.size, d.k, x.* EXCLUDE (source), d.source, CASE WHEN len(bin(d.size)) <= x.top AND x.free > 0 THEN x.free / x.weighted * len(bin(d.size)) END AS p,
+ (CAST(CAST('0x' || substr(k, 1, 13) AS BIGINT) AS DOUBLE) * 2 + 1) / 9007199254740992 AS u FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+c AS (SELECT *, (u / (1 - u)) / (p / greatest(1 - p, 1e-12)) AS q FROM q),
+g AS (SELECT source, q, k, sum(size) AS size FROM c WHERE p IS NOT NULL GROUP BY source, q, k),
 h AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM g),
-z AS (SELECT c.*, CAST(c.certain AS BIGINT) + CASE WHEN h.k IS NOT NULL AND h.start + h.size / 2 <= c.missing THEN 1 ELSE 0 END AS copies FROM c LEFT JOIN h ON c.source IS NOT DISTINCT FROM h.source AND c.k = h.k)
+z AS (SELECT c.*, CAST(c.certain AS BIGINT) + CASE WHEN c.p IS NULL THEN CASE WHEN c.missing > 0 AND (c.top IS NULL OR len(bin(c.size)) > c.top) THEN 1 ELSE 0 END
+ WHEN h.start + h.size / 2 <= c.free THEN 1 ELSE 0 END AS copies FROM c LEFT JOIN h ON c.source IS NOT DISTINCT FROM h.source AND c.k = h.k)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM z"""
 
 #: Exact containment of every item in every document by its shingles.

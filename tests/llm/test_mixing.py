@@ -48,7 +48,33 @@ def test_odd_rows(spark):
     assert {r.size for r in out if r.doc_id in (0, 1, 2)} == {0}
     assert len({r.taken for r in out if r.doc_id == 8}) == 1
     kept = mixed_documents(odd_docs(spark))
-    assert kept.columns == odd_docs(spark).columns and kept.count() == sum(r.copies for r in out if r.size)
+    assert kept.columns == odd_docs(spark).columns and kept.count() == sum(r.copies for r in out)
     assert mix(empty_docs(spark)).count() == 0 and mixed_documents(empty_docs(spark)).count() == 0
     blank = odd_docs(spark).filter("doc_id in (0, 1, 2)")
     assert {(r.taken, r.target) for r in mix(blank).collect()} == {(0, 0.0)} and mixed_documents(blank).count() == 0
+
+
+def test_inclusion_frequencies(spark):
+    # Every source is an independent draw from documents of the same sizes; theta from the definition.
+    sizes = [1 + 7 * i % 90 for i in range(90)] + [700, 900]
+    rows = [(s * 1000 + i, "w " * n, f"s{s:03d}") for s in range(300) for i, n in enumerate(sizes)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8), (5, 3, 1), 3).collect()
+    for times in (1.0, 1 / 3):  # 3 / 3 words a word: nothing to sample; 1 / 3: sampled only
+        of = [r for r in out if abs(r.target / r.source_size - times) < 1e-9]
+        assert len(of) == 100 * len(sizes)
+        if times == 1.0:
+            assert all(r.copies == 1 for r in of)
+            continue
+        missing, bits = times * sum(sizes), {n: n.bit_length() for n in sizes}
+        settled = set()
+        while True:
+            theta = (missing - sum(n for n in sizes if n in settled)) / sum(n * bits[n] for n in sizes if n not in settled)
+            more = {n for n in sizes if n not in settled and theta * bits[n] >= 1}
+            if not more:
+                break
+            settled |= more
+        for b in set(bits.values()):
+            got = [r.copies for r in of if r.size.bit_length() == b]
+            p = 1.0 if any(bits[n] == b for n in settled) else theta * b
+            # Stopping at a number of words moves the frequencies a little.
+            assert abs(sum(got) / len(got) - p) < 0.02 + 4 * (p * (1 - p) / len(got)) ** 0.5, (b, sum(got) / len(got), p)
