@@ -2,8 +2,8 @@
 
 A shard is one range of document ids; it holds blocks of about a million ids.
 In a block the most frequent neighbouring pairs are replaced by new symbols,
-again and again, until no pair is frequent (Re-Pair).  A block stores the rules,
-the number of ids each of them stands for, the remaining symbols and the
+again and again, until none pays for its rule or all symbols are used (Re-Pair).
+A block stores the rules, the number of ids each of them stands for, the remaining symbols and the
 documents' ends, so any range of ids can be decoded by itself.  Blocks are
 binary cells of Parquet files, which any Spark store can hold.
 """
@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,13 +29,14 @@ from panelweave.session import fresh_path, pin
 
 BLOCK_IDS = 1 << 20
 #: Words whose ids a worker remembers; beyond it the rarer ones are forgotten.
-KEEP_WORDS = 450_000
+KEEP_WORDS = 900_000
 #: Marks after a word that never join with its letters.
 STOPS = ".,;:!?"
-MAGIC = b"RPB1"
+MAGIC = b"RPB2"
 #: Symbols are stored in 16 bits; rules take what the vocabulary leaves.
 SYMBOLS = 1 << 16
-LEAST = 16
+#: A rule takes five bytes and each place it replaces saves two, so rarer pairs would lengthen the block.
+LEAST = 3
 #: A round takes the pairs that are at least this part as frequent as the most frequent one.
 NARROW = 8
 _BUCKETS = 18
@@ -94,7 +96,7 @@ class WordEncoder:
         joined = [p for p in pieces if p.isalpha() and (p.isascii() or unicodedata.normalize("NFC", p).lower().isalpha())]
         for lo in range(0, len(joined), 2000):
             part = joined[lo : lo + 2000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(part):
                 self._store(part, ids, np.diff(ends, prepend=0))
@@ -107,23 +109,16 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by ``end``, and the number of ids of each text."""
         codes, at, words = split_words(texts)
-        heads, tails = [], []
-        for w in words.to_pylist():
-            head = w.rstrip(STOPS)
-            if head.isalpha():
-                heads.append(head.lower() if head.isascii() else head)
-                tails.append(w[len(head) :])
-            else:
-                heads.append(w)
-                tails.append("")
-        new = list(dict.fromkeys(p for p in (*heads, *tails) if p not in self.known))
+        head_of, heads, tail_of, tails = _parts(words)
+        names = list(dict.fromkeys([*heads, *tails]))
+        new = [p for p in names if p not in self.known]
         if len(self.known) + len(new) > KEEP_WORDS:
             self._forget()
-            new = list(dict.fromkeys(p for p in (*heads, *tails) if p not in self.known))
-        self._learn([p for p in new if p])
-        pieces = np.empty(2 * len(heads), np.int64)
-        pieces[::2] = [self.known[p] for p in heads]
-        pieces[1::2] = [self.known[p] for p in tails]
+            new = [p for p in names if p not in self.known]
+        self._learn(new)
+        pieces = np.empty(2 * len(words), np.int64)
+        pieces[::2] = np.array([self.known[p] for p in heads], np.int64)[head_of]
+        pieces[1::2] = np.array([self.known[p] for p in tails], np.int64)[tail_of]
         used = np.zeros(len(self.known), bool)
         used[pieces] = True
         self.hits[: len(used)] += used
@@ -132,7 +127,7 @@ class WordEncoder:
         length = np.append(n[::2] + n[1::2], 1)
         first = np.cumsum(length) - length
         # The end id is one more word after each text.
-        closed = np.insert(codes.astype(np.int64), at[1:], len(heads))
+        closed = np.insert(codes.astype(np.int64), at[1:], len(words))
         n = length[closed]
         ids = table[_spread(first[closed], n)]
         word_ends = np.concatenate([[0], np.cumsum(n)])
@@ -140,6 +135,24 @@ class WordEncoder:
         return ids, np.diff(np.concatenate([[0], stops]))
 
 
+def _parts(words: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, list[str]]:
+    """The two pieces of every word as places in a list of first and one of second pieces; the second is mostly empty."""
+    heads = pc.ascii_rtrim(words, characters=STOPS)
+    plain = pc.string_is_ascii(heads)
+    letters = pc.and_(plain, pc.ascii_is_alpha(heads)).to_numpy(zero_copy_only=False).copy()
+    other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    letters[other] = [h.isalpha() for h in heads.take(pa.array(other)).to_pylist()]
+    first = pc.if_else(pa.array(letters), pc.if_else(plain, pc.ascii_lower(heads), heads), words).dictionary_encode()
+    stops = np.where(letters, pc.subtract(pc.binary_length(words), pc.binary_length(heads)).to_numpy(zero_copy_only=False), 0)
+    tails, tail_of = [""], np.zeros(len(words), np.int64)
+    for n in np.unique(stops[stops > 0]).tolist():  # stops are one byte each
+        cut = np.flatnonzero(stops == n)
+        ends = pc.utf8_slice_codeunits(words.take(pa.array(cut)), start=-n).dictionary_encode()
+        tail_of[cut] = len(tails) + ends.indices.to_numpy(zero_copy_only=False)
+        tails += ends.dictionary.to_pylist()
+    return first.indices.to_numpy(zero_copy_only=False), first.dictionary.to_numpy(zero_copy_only=False).tolist(), tail_of, tails
+
+
 def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places first, first + 1, ... of every run of n."""
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -214,7 +227,8 @@ def pack(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> bytes:
     rules, seq = compress(ids, vocabulary)
     lengths = rule_lengths(rules, vocabulary)
     head = struct.pack("<4sIIQQ", MAGIC, vocabulary, len(rules), len(seq), len(counts))
-    return head + rules.astype("<u2").tobytes() + lengths.astype("<u4").tobytes() + np.cumsum(counts).astype("<u8").tobytes() + seq.astype("<u2").tobytes()
+    long = lengths[lengths > 255]
+    return head + rules.astype("<u2").tobytes() + np.where(lengths > 255, 0, lengths).astype("u1").tobytes() + long.astype("<u4").tobytes() + np.cumsum(counts).astype("<u8").tobytes() + seq.astype("<u2").tobytes()
 
 
 class Block:
@@ -227,8 +241,13 @@ class Block:
         at = struct.calcsize("<4sIIQQ")
         self.rules = np.frombuffer(data, "<u2", 2 * n_rules, at).reshape(-1, 2).astype(np.int64)
         at += 4 * n_rules
-        self.lengths = np.concatenate([np.ones(self.vocabulary, np.int64), np.frombuffer(data, "<u4", n_rules, at).astype(np.int64)])
-        at += 4 * n_rules
+        # One byte a rule; 0 refers to the next of the longer ones, which follow in four bytes each.
+        lengths = np.frombuffer(data, "u1", n_rules, at).astype(np.int64)
+        at += n_rules
+        long = lengths == 0
+        lengths[long] = np.frombuffer(data, "<u4", int(long.sum()), at)
+        at += 4 * int(long.sum())
+        self.lengths = np.concatenate([np.ones(self.vocabulary, np.int64), lengths])
         self.ends = np.frombuffer(data, "<u8", n_docs, at).astype(np.int64)
         self.symbols = np.frombuffer(data, "<u2", n_seq, at + 8 * n_docs)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])
@@ -287,7 +306,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2) -> N
 
         for batch in batches:
             texts = strings(batch.column(1))
-            for lo, hi in slices(texts, 1 << 22):
+            for lo, hi in slices(texts):
                 got, n = coder.encode(texts.slice(lo, hi - lo), end)
                 ids.append(got), counts.append(n), owners.append(batch.column(0).slice(lo, hi - lo))
                 held += len(got)

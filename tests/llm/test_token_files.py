@@ -53,3 +53,26 @@ def test_many_blocks(spark, monkeypatch):
     tf.write_tokens(docs.repartition(7), path, PATH)
     got = sorted(tf.read_tokens(spark, path).collect(), key=lambda r: r.doc_id)
     assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+
+
+def test_words_as_the_library_encodes_them():
+    import pyarrow as pa
+
+    texts = ["Hello, WORLD... it's ok!? e.g. x1 1x", "\u00c9t\u00e9. \u00c9T\u00c9! \u0130stanbul; a\u0301b. \u4e2d\u6587, \ufb01n\u00aa. stra\u00dfe: \u0391\u03a3. \u01c5 \u24d0.", "don't.we'll ... ? . ,;:", "a\u00a0b \u2003c. d\x1fe f\u0085g",
+             "", "word" * 400 + ". .word word. WoRd", "naive na\u00efve. \U0001f600. \U0001d4d0b! \u0e01\u0e33. \u0915\u094d\u0937."]
+    coder = tf.WordEncoder(PATH)
+    for _ in range(2):
+        ids, n = coder.encode(pa.array(texts), 2)
+        at = np.concatenate([[0], np.cumsum(n)])
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == [*LIBRARY.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_long_rules_and_all_symbols(monkeypatch):
+    rng = np.random.default_rng(4)
+    phrases = [rng.integers(0, 65_000, 700) for _ in range(40)]
+    x = np.concatenate([phrases[i] for i in rng.integers(0, 40, 300)]).astype(np.uint32)
+    b = tf.Block(tf.pack(x, np.array([len(x)]), 65_000))
+    assert len(b.rules) == 536 and (b.ids() == x).all()
+    b = tf.Block(tf.pack(np.tile(np.arange(1000, dtype=np.uint32), 50), np.array([50_000]), 2000))
+    assert b.lengths.max() > 255 and (b.ids() == np.tile(np.arange(1000), 50)).all() and b.ids(700, 1300).tolist() == [*range(700, 1000), *range(300)]
