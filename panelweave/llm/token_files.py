@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from panelweave.llm.common import slices, split_words, strings
 from panelweave.session import fresh_path, pin
@@ -53,6 +53,9 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        #: The same model for words of a-z only, which the other rules leave as they are.
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.size = self.library.get_vocab_size()
         self.closes = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab().items():
@@ -93,13 +96,16 @@ class WordEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known yet."""
-        joined = [p for p in pieces if p.isalpha() and (p.isascii() or unicodedata.normalize("NFC", p).lower().isalpha())]
-        for lo in range(0, len(joined), 2000):
-            part = joined[lo : lo + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part):
-                self._store(part, ids, np.diff(ends, prepend=0))
+        letters = [p for p in pieces if p.isalpha()]
+        plain = [p for p in letters if p.isascii()]
+        other = [p for p in letters if not p.isascii() and unicodedata.normalize("NFC", p).lower().isalpha()]
+        for library, joined in ((self.bare, plain), (self.library, other)):
+            for lo in range(0, len(joined), 2000):
+                part = joined[lo : lo + 2000]
+                ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(part):
+                    self._store(part, ids, np.diff(ends, prepend=0))
         rest = [p for p in pieces if p not in self.known]
         for lo in range(0, len(rest), 2000):
             part = rest[lo : lo + 2000]
@@ -173,16 +179,18 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     used, shift = 0, np.uint32(32 - _BUCKETS)
     while len(seq) > 1 and used < SYMBOLS - vocabulary:
         code = seq[:-1] << np.uint32(16) | seq[1:]
-        bucket = code * np.uint32(2654435761) >> shift
+        bucket = (code * np.uint32(2654435761) >> shift).astype(np.intp)
         heap = np.bincount(bucket, minlength=1 << _BUCKETS)
         least = max(LEAST, int(heap.max()) // NARROW)
-        near = heap[bucket] >= least
-        found, n = np.unique(code[near], return_counts=True)
+        place = np.flatnonzero((heap >= least)[bucket])
+        near = code[place]
+        found, n = np.unique(near, return_counts=True)
         found, n = found[n >= least], n[n >= least]
         if not len(found):
             # Only buckets shared by several pairs were that full.
             if least == LEAST:
                 break
+            place, near = np.arange(len(code)), code
             found, n = np.unique(code, return_counts=True)
             least = max(LEAST, int(n.max()) // NARROW)
             found, n = found[n >= least], n[n >= least]
@@ -197,12 +205,15 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         pair_of = np.zeros(1 << _BUCKETS, np.uint32)
         rule_of = np.full(1 << _BUCKETS, -1, np.int32)
         pair_of[at], rule_of[at] = found, np.arange(len(found))
+        bucket = bucket[place]
         rule = rule_of[bucket]
-        hit = np.flatnonzero((rule >= 0) & (pair_of[bucket] == code))
+        hit = np.flatnonzero((rule >= 0) & (pair_of[bucket] == near))
+        hit, rule = place[hit], rule[hit]
         run = np.concatenate([[True], np.diff(hit) > 1])
         start = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
-        seq[hit] = vocabulary + used + rule[hit]
+        first_of_two = (np.arange(len(hit)) - start) % 2 == 0
+        hit = hit[first_of_two]
+        seq[hit] = vocabulary + used + rule[first_of_two]
         stay = np.ones(len(seq), bool)
         stay[hit + 1] = False
         seq = seq[stay]
