@@ -10,6 +10,7 @@ binary cells of Parquet files, which any Spark store can hold.
 
 from __future__ import annotations
 
+import string
 import struct
 import unicodedata
 import zlib
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from panelweave.llm.common import slices, split_words, strings
 from panelweave.session import fresh_path, pin
@@ -31,7 +32,9 @@ BLOCK_IDS = 1 << 20
 #: Words whose ids a worker remembers; beyond it the rarer ones are forgotten.
 KEEP_WORDS = 900_000
 #: Marks after a word that never join with its letters.
-STOPS = ".,;:!?"
+STOPS = string.punctuation
+#: Letters below this one are letters to every version of the rules.
+LATIN_END = "\u0250"
 MAGIC = b"RPB2"
 #: Symbols are stored in 16 bits; rules take what the vocabulary leaves.
 SYMBOLS = 1 << 16
@@ -53,9 +56,11 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        #: The same model for words of a-z only, which the other rules leave as they are.
-        self.bare = Tokenizer(self.library.model)
+        # The same model without the splitting rules, which leave words of letters whole: for a-z, and for Latin letters.
+        self.bare, self.latin = Tokenizer(self.library.model), Tokenizer(self.library.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.latin.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.library.get_vocab_size()
         self.closes = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab().items():
@@ -99,7 +104,8 @@ class WordEncoder:
         letters = [p for p in pieces if p.isalpha()]
         plain = [p for p in letters if p.isascii()]
         other = [p for p in letters if not p.isascii() and unicodedata.normalize("NFC", p).lower().isalpha()]
-        for library, joined in ((self.bare, plain), (self.library, other)):
+        latin = [p for p in other if max(p) < LATIN_END]
+        for library, joined in ((self.bare, plain), (self.latin, latin), (self.library, [p for p in other if max(p) >= LATIN_END])):
             for lo in range(0, len(joined), 2000):
                 part = joined[lo : lo + 2000]
                 ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)

@@ -59,6 +59,7 @@ def test_words_as_the_library_encodes_them():
     import pyarrow as pa
 
     texts = ["Hello, WORLD... it's ok!? e.g. x1 1x", "\u00c9t\u00e9. \u00c9T\u00c9! \u0130stanbul; a\u0301b. \u4e2d\u6587, \ufb01n\u00aa. stra\u00dfe: \u0391\u03a3. \u01c5 \u24d0.", "don't.we'll ... ? . ,;:", "a\u00a0b \u2003c. d\x1fe f\u0085g",
+             "abc*** d&&& e's f'' g't. '' h<|endoftext|> <|endoftext|>. i<|endoftext|>*** <|startoftext|> j_k__ l<> m\u0338= n<\u0338", "RE\u00c7! \u00b5\u00ba \u0149a. \u017fs \u01c4. \u0130a# \u00ff\u00df\u00c5\u212b",
              "", "word" * 400 + ". .word word. WoRd", "naive na\u00efve. \U0001f600. \U0001d4d0b! \u0e01\u0e33. \u0915\u094d\u0937."]
     coder = tf.WordEncoder(PATH)
     for _ in range(2):
