@@ -55,7 +55,8 @@ def rank_genes_wilcoxon(
         # A gene has one row per label here.
         .withColumns({"n": total, "s_all": F.sum("s").over(Window.partitionBy("gene"))})
     )
-    na, n = F.col("n_cells"), F.col("n")
+    # As doubles: the product of three counts passes a long at a few million cells.
+    na, n = F.col("n_cells").cast("double"), F.col("n").cast("double")
     nr = n - na
     rsum = F.col("rsum") + (na - F.col("nnz")) * F.col("r0")
     sd = F.sqrt(na * nr * (n + 1) / 12.0)

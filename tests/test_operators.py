@@ -182,3 +182,15 @@ def test_workspace_removes_what_it_wrote(spark):
         unused = fresh_path(spark, "unused")
         assert os.path.exists(path)
     assert not os.path.exists(path) and not os.path.exists(unused)
+
+
+def test_wilcoxon_of_millions_of_cells(spark):
+    # The product of the three counts is above the largest long.
+    cells = spark.range(6_000_000).select(F.col("id").alias("cell_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("celltype"))
+    expr = spark.createDataFrame([(0, "g", 1.0), (2, "g", 2.0), (4, "g", 3.0)], "cell_id long, gene string, value double")
+    d = mk.rank_genes_wilcoxon(ExprData(expr, cells, expr.select("gene").distinct()), p_values=False)
+    z = {r.group: r.scores for r in d.collect()}
+    n, half = 6_000_000, 3_000_000
+    zeros = (n - 3 + 1) / 2
+    want = (3 * (n - 1) + (half - 3) * zeros - half * (n + 1) / 2) / (half * half * (n + 1) / 12) ** 0.5
+    assert z["a"] == pytest.approx(want) and z["b"] == pytest.approx(-want)
