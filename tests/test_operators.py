@@ -1,5 +1,6 @@
 """Hand-computed frames: implicit zeros, ties, nulls, empty and single-type inputs."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -194,3 +195,16 @@ def test_wilcoxon_of_millions_of_cells(spark):
     zeros = (n - 3 + 1) / 2
     want = (3 * (n - 1) + (half - 3) * zeros - half * (n + 1) / 2) / (half * half * (n + 1) / 12) ** 0.5
     assert z["a"] == pytest.approx(want) and z["b"] == pytest.approx(-want)
+
+
+def test_hash_orders_need_no_cuts(spark):
+    cells = spark.range(5000).select(F.col("id").alias("cell_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("celltype"))
+    for d in (sa.split_simple(cells, 0.3), sa.split_ratio(cells, 4, "celltype"), sa.fold_of_cell(cells), sa.uniform_samples(cells, 50)):
+        assert "_cuts" not in d._jdf.queryExecution().optimizedPlan().toString()
+    order = sorted(range(5000), key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))
+    assert {r.cell_id for r in sa.split_simple(cells, 0.3).filter("role = 'test'").collect()} == set(order[:1500])
+    types = {i: "a" if i % 3 == 0 else "b" for i in range(5000)}
+    want, seen = {}, {"a": 0, "b": 0}
+    for i in order:
+        want[i], seen[types[i]] = seen[types[i]] % 5, seen[types[i]] + 1
+    assert {r.cell_id: r.fold for r in sa.fold_of_cell(cells).collect()} == want

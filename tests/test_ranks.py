@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelweave.functions.ranks import exact_quantiles, row_index, row_tie_ranks, running_min_from_end, tie_ranks
+from panelweave.functions.ranks import add_ranges, exact_quantiles, row_index, row_tie_ranks, running_min_from_end, tie_ranks
 
 
 def _skewed(spark, n=3000, seed=0):
@@ -76,3 +76,21 @@ def test_ranks_on_rows_with_ties(spark, rate):
         low = sum(c for k, v, _, c in rows if k == r.k and v < r.v)
         same = sum(c for k, v, _, c in rows if k == r.k and v == r.v)
         assert r.r == low + (same + 1) / 2
+
+
+def test_running_min_frames_grow_from_a_fixed_end(spark):
+    # A frame that ends at the last row is computed anew for every row, with the square of the range.
+    df = spark.createDataFrame([("a", i, float(-i)) for i in range(50)], "k string, id int, v double")
+    out = running_min_from_end(df, ["k"], F.col("id"), F.col("v"), "m", 5)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert all(r.m == -49.0 for r in out.collect())
+
+
+def test_ranges_take_few_comparisons(spark):
+    df = spark.range(3000).withColumn("v", (F.col("id") * 37) % 3001)
+    out = add_ranges(df, [], F.col("v"), 2)
+    rows = out.toPandas()
+    cuts = sorted(rows[rows["_range"] > 0].groupby("_range")["v"].min())
+    assert 200 < len(cuts) <= 256
+    assert (np.searchsorted(np.array(cuts), rows["v"], side="right") == rows["_range"]).all()
+    assert "filter(_cuts" not in out._jdf.queryExecution().analyzed().toString() and "aggregate(array" in out._jdf.queryExecution().analyzed().toString()
