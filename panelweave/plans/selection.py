@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import md5_key
@@ -71,11 +71,16 @@ def with_rank(panel: DataFrame, score: str = "selection_score") -> DataFrame:
     return row_index(panel, [], F.struct((-F.col(score)).alias("s"), F.col("gene").alias("g")), "rank")
 
 
+def _steady_mean(c: Column) -> Column:
+    """Mean of the few values of a group, added up by size: equal values give equal means in every order of the rows."""
+    return F.aggregate(F.array_sort(F.collect_list(c.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.nullif(F.count(c), F.lit(0))
+
+
 def forest_gene_summary(scores: DataFrame) -> DataFrame:
     """Consensus over all fits: ``scores(gene, fold, importance, f1_score)``."""
     imp, f1 = F.col("importance"), F.col("f1_score")
     return scores.groupBy("gene").agg(
-        F.avg(imp).alias("avg_importance"), F.max(imp).alias("max_importance"), F.avg(f1).alias("avg_f1_score"), F.avg(imp * f1).alias("final_score"))
+        _steady_mean(imp).alias("avg_importance"), F.max(imp).alias("max_importance"), _steady_mean(f1).alias("avg_f1_score"), _steady_mean(imp * f1).alias("final_score"))
 
 
 def forest_scores(data: ExprData, candidates: DataFrame, group: str = "celltype", seeds: Sequence[int] = FOREST_SEEDS, folds: int = FOREST_FOLDS,

@@ -208,3 +208,13 @@ def test_hash_orders_need_no_cuts(spark):
     for i in order:
         want[i], seen[types[i]] = seen[types[i]] % 5, seen[types[i]] + 1
     assert {r.cell_id: r.fold for r in sa.fold_of_cell(cells).collect()} == want
+
+
+def test_forest_scores_do_not_depend_on_the_order_of_the_fits(spark):
+    """Genes with the same fits in another order tie and are ranked by name."""
+    fits = [(0.1, 0.7), (0.2, 0.3), (0.3, 0.9), (1e9, 0.1), (0.7, 0.6), (0.013, 0.21), (5.5, 0.44)]
+    rows = [(f"g{i}", f"f{(i + j) % 7}", *fits[(i * 3 + j * (1 + i % 6)) % 7]) for i in range(12) for j in range(7)]
+    t = spark.createDataFrame(rows, "gene string, fold string, importance double, f1_score double").coalesce(1)
+    got = se.select_rf(t, 5).orderBy("rank").collect()
+    assert len({r.final_score for r in got}) == 1 and len({r.avg_importance for r in got}) == 1
+    assert [r.gene for r in got] == sorted(r.gene for r in got)
