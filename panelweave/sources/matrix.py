@@ -28,24 +28,27 @@ def write_expr(data: ExprData, path: str) -> None:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    n = line_numbers(raw_lines(spark, path)).filter("trim(line) <> ''")
+    n = line_numbers(raw_lines(spark, path), per_file=False).filter("trim(line) <> ''")
     return n.select((F.col("line_no") + 1).alias("i"), F.split("line", "\t").alias("f"))
 
 
 def read_mtx_folder(spark: SparkSession, folder: str, matrix: str = "matrix.mtx.gz", barcodes: str = "barcodes.tsv.gz", features: str = "features.tsv.gz") -> ExprData:
     """A 10x folder: gene-by-cell coordinates with barcodes and features by line.
 
-    A features file with one column uses the id as the name.
+    A features file with one column uses the id as the name.  Each of the three may be a folder of
+    parts, which follow each other by name.
     """
     m = raw_lines(spark, os.path.join(folder, matrix)).filter(~F.col("line").startswith("%") & (F.trim("line") != ""))
-    # The size line is the first line that is no comment: smallest position in the first block.
-    first = m.filter("block = 0").agg(F.min("seq")).scalar()
-    m = m.withColumn("_first", first).filter(~((F.col("block") == 0) & (F.col("seq") == F.col("_first"))))
+    # The size line is the first line that is no comment: smallest position in the first block of the first part that has one.
+    place = F.struct("path", "block", "seq")
+    first = m.agg(F.min(place)).scalar()
+    m = m.withColumn("_first", first).filter(place != F.col("_first"))
     f = F.split(F.trim("line"), r"\s+")
     entries = m.select(F.get(f, F.lit(0)).cast("long").alias("gi"), F.get(f, F.lit(1)).cast("long").alias("ci"), F.get(f, F.lit(2)).cast("double").alias("value"))
     b = _numbered(spark, os.path.join(folder, barcodes)).select(F.col("i").alias("ci"), F.get("f", F.lit(0)).alias("cell_id"))
-    g = _numbered(spark, os.path.join(folder, features)).select(
-        F.col("i").alias("gi"), F.get("f", F.lit(0)).alias("gene"), F.coalesce(F.get("f", F.lit(1)), F.get("f", F.lit(0))).alias("symbol"))
+    # Gene-sized: written first so that its size is known when it meets the facts.
+    g = pin(_numbered(spark, os.path.join(folder, features)).select(
+        F.col("i").alias("gi"), F.get("f", F.lit(0)).alias("gene"), F.coalesce(F.get("f", F.lit(1)), F.get("f", F.lit(0))).alias("symbol")))
     expr = entries.filter("value <> 0").join(b, "ci").join(g.select("gi", "gene"), "gi").select("cell_id", "gene", "value")
     return ExprData(expr, b.select("cell_id"), g.select("gene", "symbol"))
 

@@ -19,17 +19,19 @@ def raw_lines(spark: SparkSession, path: str | list[str], glob: str | None = Non
         F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
 
 
-def line_numbers(lines: DataFrame) -> DataFrame:
-    """Add ``line_no`` (from 0 per file).
+def line_numbers(lines: DataFrame, per_file: bool = True) -> DataFrame:
+    """Add ``line_no`` to all lines of :func:`raw_lines`, from 0 per file, or from 0 over all files by their paths.
 
     Lines are numbered within their file split and shifted by the lines of the
-    splits before it, so one big file still spreads over many tasks.
+    splits before it, so one big file still spreads over many tasks.  ``seq``
+    runs without gaps inside a split, so no line has to be moved for its number.
     """
-    counts = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("path", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("seq")) - 1
-    return lines.withColumn("_i", inside).join(offs, ["path", "block"]).withColumn("line_no", F.col("_i") + F.col("_off")).drop("_i", "_off", "_n")
+    files, order = (["path"], ["block"]) if per_file else ([], ["path", "block"])
+    counts = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first"))
+    before = Window.partitionBy(*files).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per split.
+    offs = counts.select("path", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    return lines.join(offs, ["path", "block"]).withColumn("line_no", F.col("seq") + F.col("_off")).drop("_off")
 
 
 def csv_fields(line: Column) -> Column:

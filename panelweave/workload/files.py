@@ -50,13 +50,14 @@ def mtx_folder(spark, sf):
     d = lin(spark, sf)
     b = pin(row_index(d.cells.select("cell_id").distinct(), [], F.col("cell_id"), "ci"))
     g = pin(row_index(d.genes.select("gene").distinct(), [], F.col("gene"), "gi"))
-    e = d.expr.join(b, "cell_id").join(g, "gene")
+    e = pin(d.expr.join(b, "cell_id").join(g, "gene").select("gi", "ci", "value"))
     size = e.agg(F.lit(1).alias("o"), F.concat_ws(" ", F.lit(g.count()), F.lit(b.count()), F.count(F.lit(1))).alias("value"))
     note = spark.range(1).select(F.lit(0).alias("o"), F.lit("%%MatrixMarket matrix coordinate real general").alias("value"))
-    rows = e.select(F.lit(2).alias("o"), F.concat_ws(" ", "gi", "ci", "value").alias("value"))
-    note.unionByName(size).unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{root}/matrix.mtx.gz")
-    b.coalesce(1).sortWithinPartitions("ci").select(F.col("cell_id").cast("string").alias("value")).write.text(f"{root}/barcodes.tsv.gz")
-    g.coalesce(1).sortWithinPartitions("gi").select(F.concat_ws("\t", "gene", F.lower("gene")).alias("value")).write.text(f"{root}/features.tsv.gz")
+    # The two lines of the head are the first part, the coordinates follow in parts of their own.
+    head = note.unionByName(size).coalesce(1).sortWithinPartitions("o").select("value")
+    head.unionByName(e.select(F.concat_ws(" ", "gi", "ci", "value").alias("value"))).write.text(f"{root}/matrix.mtx.gz")
+    b.repartitionByRange("ci").sortWithinPartitions("ci").select(F.col("cell_id").cast("string").alias("value")).write.text(f"{root}/barcodes.tsv.gz")
+    g.repartitionByRange("gi").sortWithinPartitions("gi").select(F.concat_ws("\t", "gene", F.lower("gene")).alias("value")).write.text(f"{root}/features.tsv.gz")
     out = mx.read_mtx_folder(spark, root)
     return out.expr.join(out.genes, "gene").select(F.col("cell_id").cast("long").alias("cell_id"), "gene", "symbol", "value")
 

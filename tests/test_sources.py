@@ -137,3 +137,18 @@ def test_wide_matrix_takes_any_names_and_many_columns(spark, tmp_path):
     assert d.cells.count() == n and sorted(r.gene for r in d.genes.collect()) == ["g,2", "g1"]
     rows = {(r.cell_id, r.gene): r.value for r in d.expr.collect()}
     assert rows == {(f"c.{i}-1", "g1"): 1.0 for i in range(7, n, 1000)} | {(f"c.{n - 1}-1", "g,2"): 2.5}
+
+
+def test_mtx_folder_of_parts(spark, tmp_path):
+    """Matrix, barcodes and features as folders of parts that follow each other by name."""
+    d = str(tmp_path)
+    _write(f"{d}/matrix.mtx.gz/part-00000.txt", "%%MatrixMarket\n3 3 4\n")
+    _write(f"{d}/matrix.mtx.gz/part-00001.txt", "1 1 5\n3 3 4\n")
+    _write(f"{d}/matrix.mtx.gz/part-00002.txt", "3 3 4\n2 2 9\n")
+    _write(f"{d}/barcodes.tsv.gz/part-00000.txt", "AAA\nBBB\n")
+    _write(f"{d}/barcodes.tsv.gz/part-00001.txt", "CCC\n")
+    _write(f"{d}/features.tsv.gz/part-00000.txt", "ENS1\tS1\n")
+    _write(f"{d}/features.tsv.gz/part-00001.txt", "ENS2\tS2\nENS3\tS3\n")
+    got = mx.read_mtx_folder(spark, d)
+    assert sorted(tuple(r) for r in got.expr.collect()) == [("AAA", "ENS1", 5.0), ("BBB", "ENS2", 9.0), ("CCC", "ENS3", 4.0), ("CCC", "ENS3", 4.0)]
+    assert [r.cell_id for r in got.cells.orderBy("cell_id").collect()] == ["AAA", "BBB", "CCC"]
