@@ -10,7 +10,7 @@ from panelweave.schema import ExprData
 from panelweave.workload.markers import P_VALUES, _wilcoxon_sql
 from panelweave.workload.panels import ACROSS, PRIMARY_CTE, _SEL, _resolve_sql
 from panelweave.workload.quality import _SEURAT_IN
-from panelweave.workload.standins import Query, r6, table
+from panelweave.workload.standins import Query, rounded, table
 
 SIZE, BOUNDS = 90, (0.055, 0.066)
 _N = 200
@@ -41,7 +41,7 @@ def _query(strategy: str, analysis_type: str = "per_celltype"):
     def run(spark, sf):
         cfg = se.SelectionConfig(strategy, SIZE, analysis_type, k=4, pool=100 if per_ct else 60, expression_bounds=BOUNDS, blacklist=("P17",), force_include=("P171",), max_pval=0.2)
         log = select_logged(matrix(spark, sf), cfg, _learned(spark, sf, per_ct))
-        return log.provenance().withColumn("selection_score", r6("selection_score"))
+        return log.provenance().withColumn("selection_score", rounded("selection_score"))
 
     return run
 

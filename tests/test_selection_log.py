@@ -120,3 +120,13 @@ def test_mapping_predicts_like_a_model(spark):
     ref = ExprData(d.expr.filter("cell_id < 40"), d.cells.filter("cell_id < 40"), d.genes)
     dens, pred = pr.MappingPredictor().fit(ref).predict(q.expr, q.cells, d.genes.filter("gene < 'g008'"), d.genes.filter("gene >= 'g008'"))
     assert pred.count() == 10 * 4 and dens.count() == 10
+
+
+def test_scores_round_like_their_sql(spark):
+    # Means of five multiples of 1/2048, among them 0.0640625 and its negative: halves of the sixth digit that scale to just below a half.
+    from panelweave.workload.standins import rounded
+
+    x = [k / 2048 / 5 for k in range(-4000, 4000)] + [None, float("nan"), float("inf")]
+    got = [r.y for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").select("i", rounded("x").alias("y")).orderBy("i").collect()]
+    want = [duckdb.execute("SELECT list_transform(?::DOUBLE[], lambda v: round(v, 6))", [x]).fetchall()[0][0]][0]
+    assert [repr(v + 0.0) if v is not None else v for v in got] == [repr(v + 0.0) if v is not None else v for v in want]
