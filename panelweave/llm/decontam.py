@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import shingles, slices, strings
+from panelweave.llm.common import release, shingles, slices, strings
 from panelweave.session import pin
 
 WIDTH = 5
@@ -185,6 +185,7 @@ def _clean_of(block: ItemBlock):
     def clean(texts: pa.Array) -> pa.Array:
         out = np.ones(len(texts), bool)
         out[[d for d, _, _ in block.items().contained(texts)]] = False
+        release()
         return pa.array(out)
 
     return clean

@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from panelweave.llm.common import slices, split_words, strings
+from panelweave.llm.common import release, slices, split_words, strings
 from panelweave.session import fresh_path, pin
 
 BLOCK_IDS = 1 << 20
 #: Words whose ids a worker remembers; beyond it the rarer ones are forgotten.
 KEEP_WORDS = 900_000
+#: Bytes of such words; beyond it they are forgotten likewise.
+KEEP_BYTES = 32 << 20
 #: Marks after a word that never join with its letters.
 STOPS = string.punctuation
 #: Letters below this one are letters to every version of the rules.
@@ -43,6 +45,8 @@ LEAST = 3
 #: A round takes the pairs that are at least this part as frequent as the most frequent one.
 NARROW = 8
 _BUCKETS = 18
+#: Ids that are copied at a time, so that their places stay small beside all ids.
+COPIED = 1 << 18
 
 
 class WordEncoder:
@@ -68,24 +72,26 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.known = pa.array([""], pa.string())
         self.first, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.hits = np.zeros(1 << 12, np.int64)  # blocks of texts that held the piece
         self.flat, self.used = np.zeros(1 << 14, np.uint16 if self.size <= SYMBOLS else np.uint32), 0
 
     def _forget(self) -> None:
         """Drop the pieces that only one block of texts held, and the rarer half beyond that."""
-        words, hits = list(self.known), self.hits[: len(self.known)]
+        words, hits = self.known, self.hits[: len(self.known)]
         keep = np.flatnonzero(hits > 1)
-        keep = np.sort(keep[np.argsort(-hits[keep], kind="stable")[: KEEP_WORDS // 2]])
+        keep = keep[np.argsort(-hits[keep], kind="stable")[: KEEP_WORDS // 2]]
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False)[keep]
+        keep = np.sort(keep[np.cumsum(size, dtype=np.int64) <= KEEP_BYTES // 2])
         keep = keep[keep > 0]
         lengths, hits = self.length[keep], hits[keep] // 2
         ids = self.flat[_spread(self.first[keep], lengths)]
         self._clear()
-        self._store([words[i] for i in keep.tolist()], ids, lengths)
+        self._store(words.take(pa.array(keep)), ids, lengths)
         self.hits[1 : 1 + len(keep)] = hits
 
-    def _store(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _store(self, pieces: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
         n, at = len(pieces), len(self.known)
         while at + n > len(self.first):
             self.first, self.length = np.resize(self.first, 2 * len(self.first)), np.resize(self.length, 2 * len(self.length))
@@ -97,7 +103,7 @@ class WordEncoder:
         self.hits[at : at + n] = 0
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known.update(zip(pieces, range(at, at + n)))
+        self.known = pa.concat_arrays([self.known, pieces])
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known yet."""
@@ -105,32 +111,55 @@ class WordEncoder:
         plain = [p for p in letters if p.isascii()]
         other = [p for p in letters if not p.isascii() and unicodedata.normalize("NFC", p).lower().isalpha()]
         latin = [p for p in other if max(p) < LATIN_END]
+        names: list[str] = []
+        ids, lengths = [np.zeros(0, self.flat.dtype)], [np.zeros(0, np.int64)]
         for library, joined in ((self.bare, plain), (self.latin, latin), (self.library, [p for p in other if max(p) >= LATIN_END])):
             for lo in range(0, len(joined), 2000):
                 part = joined[lo : lo + 2000]
-                ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
-                ends = np.flatnonzero(self.closes[ids]) + 1
+                got = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.flat.dtype)
+                ends = np.flatnonzero(self.closes[got]) + 1
                 if len(ends) == len(part):
-                    self._store(part, ids, np.diff(ends, prepend=0))
-        rest = [p for p in pieces if p not in self.known]
+                    names += part
+                    ids.append(got), lengths.append(np.diff(ends, prepend=0))
+        done = set(names)
+        rest = [p for p in pieces if p not in done]
         for lo in range(0, len(rest), 2000):
             part = rest[lo : lo + 2000]
             each = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
-            self._store(part, np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each], np.int64))
+            names += part
+            ids.append(np.array([i for e in each for i in e], self.flat.dtype)), lengths.append(np.array([len(e) for e in each], np.int64))
+        self._store(pa.array(names, pa.string()), np.concatenate(ids), np.concatenate(lengths))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each of the pieces, all different, is remembered; those not known yet are encoded first."""
+        place = self._found(pieces, self.known)
+        new = pieces.filter(pa.array(place < 0))
+        if len(self.known) + len(new) > KEEP_WORDS or self._bytes(self.known) + self._bytes(new) > KEEP_BYTES:
+            self._forget()
+            place = self._found(pieces, self.known)
+            new = pieces.filter(pa.array(place < 0))
+        before = len(self.known)
+        self._learn(new.to_pylist())
+        place[place < 0] = before + self._found(new, self.known.slice(before))
+        return place
+
+    @staticmethod
+    def _bytes(pieces: pa.Array) -> int:
+        return pc.sum(pc.binary_length(pieces), min_count=0).as_py()
+
+    @staticmethod
+    def _found(pieces: pa.Array, among: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(pieces, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by ``end``, and the number of ids of each text."""
         codes, at, words = split_words(texts)
         head_of, heads, tail_of, tails = _parts(words)
-        names = list(dict.fromkeys([*heads, *tails]))
-        new = [p for p in names if p not in self.known]
-        if len(self.known) + len(new) > KEEP_WORDS:
-            self._forget()
-            new = [p for p in names if p not in self.known]
-        self._learn(new)
+        names = pa.concat_arrays([heads, tails]).dictionary_encode()
+        place = self._places(names.dictionary)[names.indices.to_numpy(zero_copy_only=False)]
         pieces = np.empty(2 * len(words), np.int64)
-        pieces[::2] = np.array([self.known[p] for p in heads], np.int64)[head_of]
-        pieces[1::2] = np.array([self.known[p] for p in tails], np.int64)[tail_of]
+        pieces[::2] = place[: len(heads)][head_of]
+        pieces[1::2] = place[len(heads) :][tail_of]
         used = np.zeros(len(self.known), bool)
         used[pieces] = True
         self.hits[: len(used)] += used
@@ -139,15 +168,13 @@ class WordEncoder:
         length = np.append(n[::2] + n[1::2], 1)
         first = np.cumsum(length) - length
         # The end id is one more word after each text.
-        closed = np.insert(codes.astype(np.int64), at[1:], len(words))
-        n = length[closed]
-        ids = table[_spread(first[closed], n)]
-        word_ends = np.concatenate([[0], np.cumsum(n)])
+        closed = np.insert(codes, at[1:], len(words))
+        ids, word_ends = _gathered(table, first, length, closed)
         stops = word_ends[at[1:] + np.arange(1, len(at))]
         return ids, np.diff(np.concatenate([[0], stops]))
 
 
-def _parts(words: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, list[str]]:
+def _parts(words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
     """The two pieces of every word as places in a list of first and one of second pieces; the second is mostly empty."""
     heads = pc.ascii_rtrim(words, characters=STOPS)
     plain = pc.string_is_ascii(heads)
@@ -156,13 +183,14 @@ def _parts(words: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, list[str
     letters[other] = [h.isalpha() for h in heads.take(pa.array(other)).to_pylist()]
     first = pc.if_else(pa.array(letters), pc.if_else(plain, pc.ascii_lower(heads), heads), words).dictionary_encode()
     stops = np.where(letters, pc.subtract(pc.binary_length(words), pc.binary_length(heads)).to_numpy(zero_copy_only=False), 0)
-    tails, tail_of = [""], np.zeros(len(words), np.int64)
+    tails, seen, tail_of = [pa.array([""], pa.string())], 1, np.zeros(len(words), np.int64)
     for n in np.unique(stops[stops > 0]).tolist():  # stops are one byte each
         cut = np.flatnonzero(stops == n)
         ends = pc.utf8_slice_codeunits(words.take(pa.array(cut)), start=-n).dictionary_encode()
-        tail_of[cut] = len(tails) + ends.indices.to_numpy(zero_copy_only=False)
-        tails += ends.dictionary.to_pylist()
-    return first.indices.to_numpy(zero_copy_only=False), first.dictionary.to_numpy(zero_copy_only=False).tolist(), tail_of, tails
+        tail_of[cut] = seen + ends.indices.to_numpy(zero_copy_only=False)
+        tails.append(ends.dictionary)
+        seen += len(ends.dictionary)
+    return first.indices.to_numpy(zero_copy_only=False), first.dictionary, tail_of, pa.concat_arrays(tails)
 
 
 def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -170,6 +198,20 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def _gathered(table: np.ndarray, first: np.ndarray, length: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``table`` that the codes stand for, one after another, and where each begins (and the end)."""
+    ends = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(length[codes], out=ends[1:])
+    out = np.empty(int(ends[-1]), table.dtype)
+    lo = 0
+    while lo < len(codes):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + COPIED, "right")) - 1)
+        part = codes[lo:hi]
+        out[ends[lo] : ends[hi]] = table[_spread(first[part], length[part])]
+        lo = hi
+    return out, ends
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -292,8 +334,8 @@ class Block:
         if stop <= start:
             return np.zeros(0, np.uint32)
         lo, hi = int(np.searchsorted(self._places, start, "right")) - 1, int(np.searchsorted(self._places, stop, "left"))
-        part = self.symbols[lo:hi]
-        return self._spelled()[_spread(self.first[part], self.lengths[part])][start - int(self._places[lo]) : stop - int(self._places[lo])]
+        ids, _ = _gathered(self._spelled(), self.first, self.lengths, self.symbols[lo:hi])
+        return ids[start - int(self._places[lo]) : stop - int(self._places[lo])]
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2) -> None:
@@ -301,10 +343,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2) -> N
 
     Null texts are empty: their ids are just the end id.  Rows with equal ids stand in the order of a hash of their texts;
     equal rows are stored each.  Other columns are ignored.  Ties spread over shards, so that no id is a hot one.  A shard
-    is cut into blocks; a block holds whole documents.
+    is cut into blocks; a block holds whole documents and ends with the one that brings it to ``BLOCK_IDS``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         coder, shard, block, before = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         ids, counts, owners, held = [], [], [], 0
 
@@ -325,12 +368,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2) -> N
             texts = strings(batch.column(1))
             for lo, hi in slices(texts):
                 got, n = coder.encode(texts.slice(lo, hi - lo), end)
-                ids.append(got), counts.append(n), owners.append(batch.column(0).slice(lo, hi - lo))
-                held += len(got)
-                if held >= BLOCK_IDS:
-                    yield flush()
+                ends = np.concatenate([[0], np.cumsum(n)])
+                a = 0
+                while a < len(n):
+                    b = min(len(n), int(np.searchsorted(ends, ends[a] + BLOCK_IDS - held)))
+                    ids.append(got[ends[a] : ends[b]]), counts.append(n[a:b]), owners.append(batch.column(0).slice(lo + a, b - a))
+                    held += int(ends[b] - ends[a])
+                    if held >= BLOCK_IDS:
+                        yield flush()
+                    a = b
+                release()
         if held:
             yield flush()
+        release()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("tie"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("tie")]
@@ -359,6 +409,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     [batch.column(1).slice(i, 1).flatten(), pa.array(first + batch.column(0)[i].as_py()), pa.array(b.ends - first), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
+        release()
 
     return slim.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

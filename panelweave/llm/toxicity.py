@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import held_out, slices, split_words, strings, training_rows
+from panelweave.llm.common import held_out, release, slices, split_words, strings, training_rows
 from panelweave.session import pin
 
 #: Labelled texts used to learn the lexicon and the weights.
@@ -397,6 +397,8 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts) < THRESHOLD)
+        out = pa.array(model.score(texts) < THRESHOLD)
+        release()
+        return out
 
     return docs.filter(clean(F.col("text").cast("string")))

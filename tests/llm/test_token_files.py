@@ -77,3 +77,48 @@ def test_long_rules_and_all_symbols(monkeypatch):
     assert len(b.rules) == 536 and (b.ids() == x).all()
     b = tf.Block(tf.pack(np.tile(np.arange(1000, dtype=np.uint32), 50), np.array([50_000]), 2000))
     assert b.lengths.max() > 255 and (b.ids() == np.tile(np.arange(1000), 50)).all() and b.ids(700, 1300).tolist() == [*range(700, 1000), *range(300)]
+
+
+def test_blocks_end_with_the_document_that_fills_them(spark, monkeypatch):
+    monkeypatch.setattr(tf, "BLOCK_IDS", 500)
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', cast(pmod(id * 7, 60) AS int)) AS text")
+    path = fresh_path(spark, "tokens")
+    tf.write_tokens(docs, path, PATH)
+    shards = {}
+    for r in spark.read.parquet(path).orderBy("shard", "block").collect():
+        shards.setdefault(r.shard, []).append(r)
+    for blocks in shards.values():
+        assert all(500 <= r.n_tokens < 500 + 60 for r in blocks[:-1]) and blocks[-1].n_tokens < 500 + 60
+        assert [r.before for r in blocks] == [sum(x.n_tokens for x in blocks[:i]) for i in range(len(blocks))]
+    got = sorted(tf.read_tokens(spark, path).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(i, i * 7 % 60 + 1) for i in range(400)]
+
+
+def test_what_encoding_and_decoding_hold_beside_the_ids():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    coder = tf.WordEncoder(PATH)
+    texts = pa.array([" ".join(f"unforeseeable{i % 50}x{i % 7}" for i in range(j, j + 500)) for j in range(500)])
+    coder.encode(texts.slice(0, 2), 2)
+    for once in (lambda: coder.encode(texts, 2)[0], lambda b=tf.Block(tf.pack(coder.encode(texts, 2)[0], np.array([1]), coder.size)): b.ids()):
+        tracemalloc.start()
+        ids = once()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(ids) > 1_500_000 and peak < 16 * len(ids)
+
+
+@pytest.mark.parametrize("limit, value", [("KEEP_WORDS", 60), ("KEEP_BYTES", 300)])
+def test_forgotten_words_are_encoded_again(monkeypatch, limit, value):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tf, limit, value)
+    coder = tf.WordEncoder(PATH)
+    for lo in (0, 30, 60, 0, 90, 30):
+        texts = [" ".join(f"w{'a' * (i % 5)}{i}. Common" for i in range(lo, lo + 45)), "", f"only{lo}"]
+        ids, n = coder.encode(pa.array(texts), 2)
+        at = np.concatenate([[0], np.cumsum(n)])
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(3)] == [[*LIBRARY.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert len(coder.known) < 110
