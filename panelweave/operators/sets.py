@@ -58,10 +58,11 @@ ADDON_SUFFIX = {"mMulti_v1": "mMulti-addon", "5k": "5k-addon"}
 ADDON_MODES = {"both": ["mMulti_v1", "5k"], "all": ["mMulti_v1", "5k"], "mMulti": ["mMulti_v1"], "5k": ["5k"], "no-10x-panel": []}
 
 
-def combine_with_10x(panels: DataFrame, tenx: DataFrame, mode: str = "both") -> DataFrame:
+def combine_with_10x(panels: DataFrame, tenx: DataFrame, mode: str = "both", vendor_start: int | None = None) -> DataFrame:
     """Union of each panel with the vendor lists, own genes first, first occurrence kept.
 
-    ``panels(panel, gene, position)``, ``tenx(tenx, gene, position)``.
+    ``panels(panel, gene, position)``, ``tenx(tenx, gene, position)``.  With ``vendor_start`` both count
+    places of one numbering, in which the vendor lists begin there, and own genes beyond it follow theirs.
     """
     if mode not in ADDON_MODES:
         raise ValueError(f"unknown mode {mode}")
@@ -75,7 +76,11 @@ def combine_with_10x(panels: DataFrame, tenx: DataFrame, mode: str = "both") ->
     suffix = F.create_map(*[F.lit(x) for kv in ADDON_SUFFIX.items() for x in kv])
     present = every_label(lists, "tenx")
     mine = own.withColumn("tenx", F.explode(present)).select("panel", "tenx", "gene", F.lit(0).alias("src"), "position")
-    theirs = lists.withColumn("panel", F.explode(every_label(own, "panel"))).select("panel", "tenx", "gene", F.lit(1).alias("src"), "position")
+    theirs = lists.withColumn("panel", F.explode(every_label(own, "panel")))
+    if vendor_start is None:
+        theirs = theirs.select("panel", "tenx", "gene", F.lit(1).alias("src"), "position")
+    else:
+        theirs = theirs.select("panel", "tenx", "gene", F.lit(0).alias("src"), (F.col("position") + vendor_start).alias("position"))
     both = mine.unionByName(theirs).groupBy("panel", "tenx", "gene").agg(F.min(F.struct("src", "position")).alias("o"))
     w = Window.partitionBy("panel", "tenx").orderBy("o", "gene")
     combined = both.select(
