@@ -67,8 +67,8 @@ def select_deg(deg: DataFrame, size: int, n_groups: int, max_pval: float = 0.05)
 
 
 def with_rank(panel: DataFrame, score: str = "selection_score") -> DataFrame:
-    """Rank a gene table by score, best first, ties by gene."""
-    return row_index(panel, [], F.struct((-F.col(score)).alias("s"), F.col("gene").alias("g")), "rank")
+    """Rank a gene table by score, best first, ties by gene, genes without a score last."""
+    return row_index(panel, [], F.struct(F.col(score).isNull().alias("n"), (-F.col(score)).alias("s"), F.col("gene").alias("g")), "rank")
 
 
 def _steady_mean(c: Column) -> Column:

@@ -15,7 +15,7 @@ from panelweave.session import pin
 from panelweave.workload.markers import DEG, deg_table
 from panelweave.workload.panels import ACROSS, LD, LDG, MEANS, POOL, PRIMARY_CTE, _LISTS, _SEL, _means, _resolve_sql, _two_lists
 from panelweave.workload.quality import HVG_CR
-from panelweave.workload.standins import Query, emb, lin, part_loadings, r6, table
+from panelweave.workload.standins import Query, emb, lin, part_loadings, r6, rounded, table
 
 
 def deg(spark, sf):
@@ -33,11 +33,14 @@ SELECT *, true AS selected_initial FROM first UNION ALL SELECT gene, tier, cellt
 
 
 def forest_summary(spark, sf):
+    value = F.col("value")
+    exact = value.try_cast("decimal(38,12)")
+    # Added up as decimals where they hold every value, so that equal users have equal scores in every order of the rows.
+    total = F.when(F.count_if(exact.cast("double") == value) == F.count(value), F.try_sum(exact).cast("double"))
     t = table(spark, sf, "events").groupBy(F.concat(F.lit("u"), "user_id").alias("gene"), F.concat(F.lit("seed"), F.col("event_id") % 7).alias("fold")).agg(
-        # The mean from an exact number of cents, so that equal users have equal scores.
-        (F.round(F.sum("value") * 100).cast("long").cast("double") / 100.0 / F.count(F.lit(1))).alias("importance"), (F.count(F.lit(1)) / 20).alias("f1_score"))
+        (F.coalesce(total, F.sum(value)) / F.nullif(F.count(value), F.lit(0))).alias("importance"), (F.count(F.lit(1)) / 20).alias("f1_score"))
     s = se.select_rf(t, 40)
-    return s.select("gene", *[r6(c).alias(c) for c in ("avg_importance", "max_importance", "avg_f1_score", "final_score")], "rank", "selected_initial")
+    return s.select("gene", *[rounded(c).alias(c) for c in ("avg_importance", "max_importance", "avg_f1_score", "final_score")], "rank", "selected_initial")
 
 
 FOREST = """WITH t AS (SELECT 'u' || user_id AS gene, event_id % 7 AS fold, AVG(value) AS i, COUNT(*) / 20 AS f FROM events GROUP BY 1, 2),
