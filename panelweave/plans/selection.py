@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,10 +100,13 @@ def forest_scores(data: ExprData, candidates: DataFrame, group: str = "celltype"
         raise ValueError("no candidate genes in the data")
     v = vectors(data.expr, data.cells, candidates.join(data.genes.select("gene"), "gene", "left_semi"))
     v = v.select("cell_id", array_to_vector("vec").alias("x")).join(data.cells.select("cell_id", group), "cell_id")
-    v = StringIndexer(inputCol=group, outputCol="y", stringOrderType="alphabetAsc").fit(v).transform(v).persist()
+    for i, seed in enumerate(seeds):
+        v = v.join(fold_of_cell(data.cells, folds, seed, group).select("cell_id", F.col("fold").alias(f"fold{i}")), "cell_id")
+    # The matrix is kept once, on disk: memory is for the binned points that a fit keeps.
+    v = StringIndexer(inputCol=group, outputCol="y", stringOrderType="alphabetAsc").fit(data.cells).transform(v).persist(StorageLevel.DISK_ONLY)
     rows = []
-    for seed in seeds:
-        f = v.join(fold_of_cell(data.cells, folds, seed, group).select("cell_id", "fold"), "cell_id").persist()
+    for i, seed in enumerate(seeds):
+        f = v.select("x", "y", F.col(f"fold{i}").alias("fold"))
         for fold in range(folds):
             train, test = f.filter(F.col("fold") != fold), f.filter(F.col("fold") == fold)
             sizes = train.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
@@ -112,7 +116,6 @@ def forest_scores(data: ExprData, candidates: DataFrame, group: str = "celltype"
             f1 = float(classification_summary(m.transform(test), "y", "p").first()["macro_f1"])
             imp = m.featureImportances.toArray()
             rows += [(g, f"seed{seed}_fold{fold}", float(imp[i]), f1) for i, g in enumerate(genes)]
-        f.unpersist()
     v.unpersist()
     # Candidates x fits rows, a gene-sized table.
     return spark.createDataFrame(rows, "gene string, fold string, importance double, f1_score double")
